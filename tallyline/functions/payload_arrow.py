@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +20,6 @@ from tallyline.functions.payload_sql import (
     INVALID_UTF8,
     NEGATIVE_LENGTH,
     SUM_OVERFLOW,
-    encode_sum,
 )
 from tallyline.functions.varint import MAX_GROUPS, TOO_LONG, TRUNCATED
 
@@ -42,7 +40,8 @@ _FINE = -1
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Payload bytes of a batch and the n + 1 row bounds in them."""
-    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    large = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    width = np.int64 if large else np.int32
     bounds = np.frombuffer(column.buffers()[1], dtype=width)
     bounds = bounds[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
@@ -146,6 +145,7 @@ def _walk_blocks(varints: _Varints):
 
 
 _SUM = T.StructType().add("sum", T.LongType()).add("error", T.StringType())
+_ENCODED = T.StructType().add("value", T.BinaryType()).add("error", T.StringType())
 _LIST = T.StructType().add("numbers", T.ArrayType(T.LongType())).add("error", T.StringType())
 _MESSAGE = (
     T.StructType()
@@ -184,6 +184,15 @@ def int_list_sum(column: pa.Array) -> pa.Array:
     )
 
 
+@_once(_ENCODED)
+def int_list_sum_bytes(column: pa.Array) -> pa.Array:
+    """The sum already encoded: the whole work of the stream sum in one call."""
+    total, fault = _sum_lists(column)
+    nulls = _nulls(column)
+    sums = _binary(*_varint_bytes(total), nulls | (fault != _FINE))
+    return pa.StructArray.from_arrays([sums, _reasons(fault, nulls)], ["value", "error"])
+
+
 @_once(_LIST)
 def int_list(column: pa.Array) -> pa.Array:
     varints = _Varints(*_bytes_of(column))
@@ -298,21 +307,85 @@ def leading_number(column: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf(T.BinaryType())
-def double_bytes(column: pa.Array) -> pa.Array:
-    """Little-endian bytes of a double; NULL stays NULL."""
-    flat = np.ascontiguousarray(column.fill_null(0.0).to_numpy(zero_copy_only=False), "<f8")
-    fixed = pa.Array.from_buffers(pa.binary(8), len(column), [None, pa.py_buffer(flat)])
-    return pc.if_else(column.is_valid(), fixed.cast(pa.binary()), None)
-
-
-def encode_message(message_id: Column, event_time: Column, content: Column) -> Column:
-    """Message record: varint id, eight bytes of time, sized text. Only the
-    double leaves the JVM."""
-    text = F.encode(content, "UTF-8")
-    return F.concat(
-        encode_sum(message_id),
-        double_bytes(event_time.cast("double")),
-        encode_sum(F.octet_length(text)),
-        text,
-    )
+def _varint_bytes(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Varints of many numbers end to end, and the n + 1 bounds between them."""
+    folded = ((number << 1) ^ (number >> 63)).view(np.uint64)
+    size = np.ones(number.size, dtype=np.int64)
+    longer, groups = np.flatnonzero(folded >> np.uint64(7)), 1
+    while longer.size:
+        size[longer] += 1
+        groups += 1
+        if groups == MAX_GROUPS:
+            break
+        longer = longer[(folded[longer] >> np.uint64(7 * groups)) != 0]
+    bounds = _running(size)
+    data = np.empty(bounds[-1], dtype=np.uint8)
+    rows, start = np.arange(number.size), bounds[:-1]
+    for group in range(groups):
+        rows = rows[size[rows] > group] if group else rows
+        bits = ((folded[rows] >> np.uint64(7 * group)) & np.uint64(0x7F)).astype(np.uint8)
+        bits[size[rows] > group + 1] |= 0x80
+        data[start[rows] + group] = bits
+    return data, bounds
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray, gone: np.ndarray) -> pa.Array:
+    """Row payloads as an Arrow column; ``gone`` rows become NULL."""
+    valid = None
+    if gone.any():
+        valid = pa.py_buffer(np.packbits(~gone, bitorder="little"))
+    buffers = [valid, pa.py_buffer(bounds), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_binary(), gone.size, buffers).cast(pa.binary())
+
+
+@_once(T.BinaryType())
+def number_bytes(column: pa.Array) -> pa.Array:
+    return _binary(*_varint_bytes(_filled(column, np.int64)), _nulls(column))
+
+
+@_once(T.BinaryType())
+def int_list_bytes(column: pa.Array) -> pa.Array:
+    """One block and the closing zero; a NULL item makes a NULL payload."""
+    length = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    items, gone = column.flatten(), _nulls(column)
+    if items.null_count:
+        missing = _running(_nulls(items))
+        edges = _running(length)
+        gone = gone | (missing[edges[1:]] > missing[edges[:-1]])
+    numbers_in_row = np.where(length > 0, length + 2, 1)
+    edges = _running(numbers_in_row)
+    number = np.zeros(edges[-1], dtype=np.int64)
+    is_item = np.ones(edges[-1], dtype=bool)
+    is_item[edges[1:] - 1] = False
+    filled = edges[:-1][length > 0]
+    is_item[filled] = False
+    number[filled] = length[length > 0]
+    number[is_item] = _filled(items, np.int64)
+    data, bounds = _varint_bytes(number)
+    return _binary(data, bounds[edges], gone)
+
+
+@_once(T.BinaryType())
+def message_bytes(message_id: pa.Array, event_time: pa.Array, content: pa.Array) -> pa.Array:
+    """Varint id, eight bytes of time, sized text; NULL where a field is."""
+    text, text_bounds = _bytes_of(content)
+    time = np.ascontiguousarray(_filled(event_time, "<f8")).view(np.uint8)
+    parts = [
+        _varint_bytes(_filled(message_id, np.int64)),
+        (time, np.arange(len(event_time) + 1, dtype=np.int64) * 8),
+        _varint_bytes(np.diff(text_bounds)),
+        (text, text_bounds),
+    ]
+    sizes = [np.diff(bounds) for _, bounds in parts]
+    row_bounds = _running(sum(sizes))
+    data = np.empty(row_bounds[-1], dtype=np.uint8)
+    start = row_bounds[:-1].copy()
+    for (part, bounds), size in zip(parts, sizes, strict=True):
+        data[np.arange(part.size) + np.repeat(start - bounds[:-1], size)] = part
+        start += size
+    gone = _nulls(message_id) | _nulls(event_time) | _nulls(content)
+    return _binary(data, row_bounds, gone)
+
+
+def _filled(column: pa.Array, dtype) -> np.ndarray:
+    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(dtype, copy=False)

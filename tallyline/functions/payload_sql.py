@@ -1,8 +1,7 @@
 """Payload codecs as plain Spark expressions, without Python workers.
 
-All encoding of whole numbers runs here. Decoding runs here on request
-(``engine="sql"``): slower than the Arrow decoders, it needs nothing but the
-JVM and is their independent second opinion in the tests.
+They run on request (``engine="sql"``): slower than the Arrow codecs, they need
+nothing but the JVM and are the independent second opinion in the tests.
 """
 
 from __future__ import annotations
@@ -50,11 +49,15 @@ def encode_sum(number: Column) -> Column:
 
 
 def encode_int_list(numbers: Column) -> Column:
-    """One block (count, then the items) and the closing zero."""
+    """One block (count, then the items) and the closing zero; a NULL item
+    makes a NULL payload."""
     items = F.array_join(F.transform(numbers, varint_text), "")
     end = F.char(F.lit(0))
     filled = F.concat(varint_text(F.size(numbers)), items, end)
-    return to_bytes(F.when(F.size(numbers) > 0, filled).when(F.size(numbers) == 0, end))
+    complete = F.size(F.array_compact(numbers)) == F.size(numbers)
+    return to_bytes(
+        F.when(complete & (F.size(numbers) > 0), filled).when(F.size(numbers) == 0, end)
+    )
 
 
 def list_sum(numbers: Column) -> Column:

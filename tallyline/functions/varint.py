@@ -35,17 +35,22 @@ def varint_text(number: Column) -> Column:
     """The varint of ``number`` as one character per byte."""
     folded = zigzag(number)
 
-    def group(index: int, last: bool) -> Column:
-        bits = F.shiftrightunsigned(folded, 7 * index).bitwiseAND(F.lit(127))
-        return F.char(bits if last else bits.bitwiseOR(F.lit(128)))
-
-    def text(groups: int) -> Column:
-        return F.concat(*[group(i, i == groups - 1) for i in range(groups)])
-
-    sized = F.when(F.shiftrightunsigned(folded, 7) == 0, text(1))
-    for groups in range(2, MAX_GROUPS):
-        sized = sized.when(F.shiftrightunsigned(folded, 7 * groups) == 0, text(groups))
-    return sized.otherwise(text(MAX_GROUPS))
+    def rest(groups: int) -> Column:
+        return F.shiftrightunsigned(folded, 7 * groups)
+
+    def group(index: int) -> Column:
+        bits = rest(index).bitwiseAND(F.lit(127))
+        more = F.when(rest(index + 1) == 0, F.lit(0)).otherwise(F.lit(128))
+        return F.char(bits.bitwiseOR(more))
+
+    last = MAX_GROUPS - 1
+    later = [F.when(rest(i) != 0, group(i)).otherwise(F.lit("")) for i in range(2, last)]
+    later.append(F.when(rest(last) != 0, F.char(rest(last))).otherwise(F.lit("")))
+    return (
+        F.when(rest(1) == 0, F.char(folded))
+        .when(rest(2) == 0, F.concat(group(0), F.char(rest(1))))
+        .otherwise(F.concat(group(0), group(1), *later))
+    )
 
 
 def to_bytes(text: Column) -> Column:

@@ -66,6 +66,19 @@ def sum_int_lists(df: DataFrame, value: str = "value", engine: str = "arrow") ->
     return list_sum(decode_int_lists(df, value, "sql")).drop("numbers")
 
 
+def resum_int_lists(df: DataFrame, value: str = "value", engine: str = "arrow") -> DataFrame:
+    """Decoding, summing and encoding in one step: the sum payload takes the
+    place of the list payload. A payload that cannot be read stays as it is."""
+    _check(engine)
+    if engine == "arrow":
+        kept = df.withColumnRenamed(value, "_payload")
+        summed = _spread(kept, payload_arrow.int_list_sum_bytes(F.col("_payload")), value)
+    else:
+        summed = sum_int_lists(df.withColumn("_payload", F.col(value)), value, engine)
+        summed = summed.withColumn(value, payload_sql.encode_sum(F.col("sum"))).drop("sum")
+    return summed.withColumn(value, F.coalesce(value, "_payload")).drop("_payload")
+
+
 def decode_sums(df: DataFrame, value: str = "value", engine: str = "arrow") -> DataFrame:
     """Adds ``sum`` and ``error``."""
     _check(engine)
@@ -80,12 +93,20 @@ def decode_messages(df: DataFrame, value: str = "value", engine: str = "arrow")
     return _spread(df, read(F.col(value)), "message_id", "event_time", "content")
 
 
-def encode_int_lists(df: DataFrame, numbers: str = "numbers", value: str = "value") -> DataFrame:
-    return df.withColumn(value, payload_sql.encode_int_list(F.col(numbers)))
+def encode_int_lists(
+    df: DataFrame, numbers: str = "numbers", value: str = "value", engine: str = "arrow"
+) -> DataFrame:
+    _check(engine)
+    encode = payload_arrow.int_list_bytes if engine == "arrow" else payload_sql.encode_int_list
+    return df.withColumn(value, encode(F.col(numbers).cast("array<bigint>")))
 
 
-def encode_sums(df: DataFrame, column: str = "sum", value: str = "value") -> DataFrame:
-    return df.withColumn(value, payload_sql.encode_sum(F.col(column)))
+def encode_sums(
+    df: DataFrame, column: str = "sum", value: str = "value", engine: str = "arrow"
+) -> DataFrame:
+    _check(engine)
+    encode = payload_arrow.number_bytes if engine == "arrow" else payload_sql.encode_sum
+    return df.withColumn(value, encode(F.col(column).cast("bigint")))
 
 
 def encode_messages(
@@ -97,7 +118,11 @@ def encode_messages(
 ) -> DataFrame:
     return df.withColumn(
         value,
-        payload_arrow.encode_message(F.col(message_id), F.col(event_time), F.col(content)),
+        payload_arrow.message_bytes(
+            F.col(message_id).cast("bigint"),
+            F.col(event_time).cast("double"),
+            F.col(content).cast("string"),
+        ),
     )
 
 

@@ -12,14 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.payload_sql import encode_sum
 from tallyline.functions.scalars import epoch_seconds
 from tallyline.operators.metrics import throughput
 from tallyline.operators.payloads import (
     decode_messages,
     decode_sums,
     drop_null_values,
-    sum_int_lists,
+    resum_int_lists,
     with_defaults,
 )
 from tallyline.operators.transforms import format_report, with_latency
@@ -39,12 +38,12 @@ def stream_sum(
     encoded sum; a row that cannot be read goes to ``bad_topic`` with its
     payload unchanged and the reason. Both kinds come from one pass.
     """
-    summed = sum_int_lists(drop_null_values(df), engine=engine)
-    good = F.col("error").isNull()
+    summed = resum_int_lists(drop_null_values(df), engine=engine)
+    topic = F.when(F.col("error").isNull(), F.lit(out_topic)).otherwise(F.lit(bad_topic))
     return summed.select(
         "key",
-        F.when(good, encode_sum(F.col("sum"))).otherwise(F.col("value")).alias("value"),
-        F.when(good, F.lit(out_topic)).otherwise(F.lit(bad_topic)).alias("topic"),
+        "value",
+        topic.alias("topic"),
         "partition",
         "offset",
         "timestamp",

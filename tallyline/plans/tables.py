@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.payload_arrow import encode_message
-from tallyline.functions.payload_sql import encode_int_list
+from tallyline.functions.payload_arrow import int_list_bytes, message_bytes
 from tallyline.functions.scalars import epoch_seconds, message_content
 from tallyline.operators.layout import with_offsets
 
@@ -65,7 +64,7 @@ def lineitem_lists(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         "numbers",
         *extra,
         key=text_key("l_orderkey"),
-        value=encode_int_list(F.col("numbers")),
+        value=int_list_bytes("numbers"),
         partition=partition_of("l_orderkey"),
         offset=F.monotonically_increasing_id(),
         timestamp=instant("l_shipdate"),
@@ -80,7 +79,7 @@ def document_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         "documents",
         "doc_id",
         key=text_key("doc_id"),
-        value=encode_int_list(words),
+        value=int_list_bytes(words),
         partition=partition_of("doc_id"),
         offset=F.col("doc_id"),
         timestamp=F.timestamp_seconds(F.col("doc_id")),
@@ -101,7 +100,7 @@ def event_messages(
         "event_type",
         *extra,
         key=text_key("user_id"),
-        value=encode_message(F.col("event_id"), at, message_content(F.col("event_id"))),
+        value=message_bytes(F.col("event_id"), at, message_content(F.col("event_id"))),
         partition=partition_of("user_id"),
         offset=F.col("event_id"),
         timestamp=instant("ts"),
@@ -121,7 +120,7 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders,
         "orders",
         key=text_key("o_custkey"),
-        value=encode_message(
+        value=message_bytes(
             F.col("o_orderkey"),
             epoch_seconds(instant("o_orderdate")),
             message_content(F.col("o_orderkey")),
@@ -138,7 +137,7 @@ def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"),
         "documents",
         key=text_key("source"),
-        value=encode_message(F.col("doc_id"), F.col("n_chars").cast("double"), F.col("text")),
+        value=message_bytes(F.col("doc_id"), F.col("n_chars").cast("double"), F.col("text")),
         partition=partition_of("doc_id"),
         offset=F.col("doc_id"),
         timestamp=F.timestamp_seconds(F.col("doc_id")),

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.payload_arrow import encode_message
-from tallyline.functions.payload_sql import encode_int_list
+from tallyline.functions.payload_arrow import int_list_bytes, message_bytes
 from tallyline.functions.scalars import (
     epoch_seconds,
     epoch_seconds_from_millis,
@@ -38,7 +37,7 @@ def random_list(row_id: Column, seed: int) -> Column:
 def with_random_list(df: DataFrame, id_column: str, seed: int = 0) -> DataFrame:
     """A list per row, as ``numbers`` and encoded as ``value``."""
     df = df.withColumn("numbers", random_list(F.col(id_column), seed))
-    return df.withColumn("value", encode_int_list(F.col("numbers")))
+    return df.withColumn("value", int_list_bytes("numbers"))
 
 
 def gen_int_lists(spark: SparkSession, n: int, seed: int = 0, tasks: int | None = None) -> DataFrame:
@@ -56,15 +55,12 @@ def gen_int_lists_stream(spark: SparkSession, rows_per_second: int, seed: int =
 
 def with_message(df: DataFrame, message_id: Column, event_time: Column) -> DataFrame:
     """The message of a row: id, time and content, and encoded as ``value``."""
-    content = message_content(message_id)
-    return df.withColumns(
-        {
-            "message_id": message_id.cast("bigint"),
-            "event_time": event_time.cast("double"),
-            "content": content,
-            "value": encode_message(message_id, event_time, content),
-        }
-    )
+    fields = {
+        "message_id": message_id.cast("bigint"),
+        "event_time": event_time.cast("double"),
+        "content": message_content(message_id),
+    }
+    return df.withColumns({**fields, "value": message_bytes(*fields.values())})
 
 
 def gen_messages(
