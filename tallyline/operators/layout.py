@@ -38,13 +38,14 @@ def _block_sizes(df: DataFrame) -> DataFrame:
 
 def with_offsets(df: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
     """Adds dense offsets 0, 1, 2, ... per partition in the order of a column
-    of unique whole numbers; a block then never holds more than ``block`` rows."""
+    of unique whole numbers; a block then never holds more than ``block`` rows.
+    A row without partition or order number stays, without an offset."""
     blocked = df.withColumn(_BLOCK, _block_of(order, block))
     starts = _block_sizes(blocked).drop("_rows")
     within = Window.partitionBy("partition", _BLOCK).orderBy(order)
     offset = (F.col("_before") + F.row_number().over(within) - 1).cast("bigint")
     return (
-        blocked.join(starts, ["partition", _BLOCK])
+        blocked.join(starts, ["partition", _BLOCK], "left")
         .withColumn("offset", offset)
         .drop(_BLOCK, "_before")
     )

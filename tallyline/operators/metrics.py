@@ -98,7 +98,7 @@ def progress(
     )
     done = F.col("_before") + F.sum("n").over(within)
     whole = F.col("_total") if total is None else F.lit(total).cast("bigint")
-    return ticks.join(days, "_day").select(
+    return ticks.join(days, "_day", "left").select(
         "tick", done.alias("done"), scalars.percent_done(done, whole).alias("pct")
     )
 

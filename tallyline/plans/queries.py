@@ -446,30 +446,30 @@ def row_counts(spark, sf_dir):
     return count_rows(event_messages(spark, sf_dir))
 
 
-def _committed(spark, sf_dir) -> DataFrame:
-    """What two kinds of consumers have committed: a group per event type stands
-    behind its last own event, the group ``ahead`` past the end."""
-    events = dense_events(spark, sf_dir)
-    own = events.groupBy(F.col("event_type").alias("group"), "topic", "partition").agg(
-        (F.max("offset") + 1).alias("committed")
+def _offset_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """What consumers have committed, and where the partitions end: a group per
+    event type stands behind its last own event, the group ``ahead`` past the
+    end."""
+    own = dense_events(spark, sf_dir).groupBy(
+        F.col("event_type").alias("group"), "topic", "partition"
     )
-    ahead = end_offsets(events).select(
+    own = own.agg((F.max("offset") + 1).alias("committed"))
+    ends = own.groupBy("topic", "partition").agg(F.max("committed").alias("end"))
+    ahead = ends.select(
         F.lit("ahead").alias("group"), "topic", "partition", (F.col("end") + 100).alias("committed")
     )
-    return own.unionByName(ahead)
+    return own.unionByName(ahead), ends
 
 
 @query
 def lag(spark, sf_dir):
-    ends = end_offsets(dense_events(spark, sf_dir))
-    return consumer_lag(_committed(spark, sf_dir), ends)
+    return consumer_lag(*_offset_tables(spark, sf_dir))
 
 
 @query
 def lag_unknown_group(spark, sf_dir):
     """One group per nation name besides; none of them has ever read."""
-    ends = end_offsets(dense_events(spark, sf_dir))
-    committed = _committed(spark, sf_dir)
+    committed, ends = _offset_tables(spark, sf_dir)
     nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("group"))
     groups = committed.select("group").union(nations)
     return lag_lines(consumer_lag(committed, ends, groups))

@@ -27,15 +27,21 @@ def _topic_columns(df: DataFrame, topic: str) -> DataFrame:
     return df.where(F.col("topic") == topic).select(*STORED_TOPIC.names)
 
 
-def _bounds(offsets: Offsets | None, compare) -> Column | None:
-    """A condition per named partition, in a form that reaches the file scan."""
+def _bounds(
+    df: DataFrame, offsets: Offsets | None, compare, widest, partitions: list[int] | None
+) -> DataFrame:
+    """Rows on the right side of the offset named for their partition, if one
+    is. Where every partition read has an offset, the widest of them is also
+    asked for alone: in that form it reaches the statistics in the files."""
     if not offsets:
-        return None
+        return df
+    if partitions is not None and set(partitions) <= set(offsets):
+        df = df.where(compare(F.col("offset"), widest(offsets[p] for p in partitions)))
     named = reduce(
         Column.__or__,
         [(F.col("partition") == p) & compare(F.col("offset"), o) for p, o in offsets.items()],
     )
-    return named | ~F.col("partition").isin(*offsets)
+    return df.where(named | ~F.col("partition").isin(*offsets))
 
 
 def read_topic_batch(
@@ -53,9 +59,8 @@ def read_topic_batch(
     df = _topic_columns(spark.read.schema(STORED_TOPIC).parquet(spec.path), spec.topic)
     if partitions is not None:
         df = df.where(F.col("partition").isin(*partitions))
-    for bound in (_bounds(start, Column.__ge__), _bounds(end, Column.__lt__)):
-        df = df if bound is None else df.where(bound)
-    return df
+    df = _bounds(df, start, Column.__ge__, min, partitions)
+    return _bounds(df, end, Column.__lt__, max, partitions)
 
 
 def end_offsets(df: DataFrame) -> DataFrame:
@@ -111,8 +116,7 @@ def read_topic_stream(spark: SparkSession, spec: TopicSpec, job: str = "read") -
     if spec.max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", spec.max_files_per_batch)
     df = _topic_columns(reader.parquet(spec.path), spec.topic)
-    begin = _bounds(_first_offsets(spark, spec, job), Column.__ge__)
-    return df if begin is None else df.where(begin)
+    return _bounds(df, _first_offsets(spark, spec, job), Column.__ge__, min, None)
 
 
 def _next_offset(spark: SparkSession, spec: TopicSpec) -> int:

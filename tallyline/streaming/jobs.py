@@ -58,13 +58,21 @@ def start_message_monitor(
 
 
 def start_result_tail(
-    spark: SparkSession, source: TopicSpec, out: str, seconds: int = 5, drain: bool = True
+    spark: SparkSession,
+    source: TopicSpec,
+    out: str,
+    seconds: int = 5,
+    watermark: str | None = None,
+    drain: bool = True,
 ) -> StreamingQuery:
     """Results per window. Every batch stores the windows it changed under its
     own number, so that a batch which runs again replaces itself; read the
-    table with ``latest_windows``."""
+    table with ``latest_windows``. With a watermark Spark forgets windows that
+    are older, and results that come later than that are not counted."""
     job = "result_tail"
-    counted = jobs.result_tail(read_topic_stream(spark, source, job), seconds)
+    rows = read_topic_stream(spark, source, job)
+    rows = rows if watermark is None else rows.withWatermark("timestamp", watermark)
+    counted = jobs.result_tail(rows, seconds)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
