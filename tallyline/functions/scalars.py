@@ -33,11 +33,12 @@ def latency(received: Column, event_time: Column) -> Column:
 
 
 def seconds_text(seconds: Column, style: str = "fixed") -> Column:
-    """Three decimals: ``fixed`` keeps trailing zeros, ``rounded`` drops them."""
+    """Three decimals; ``rounded`` drops zeros after the first one."""
+    text = F.format_string("%.3f", seconds)
     if style == "fixed":
-        return F.format_string("%.3f", seconds)
+        return text
     if style == "rounded":
-        return F.round(seconds, 3).cast("string")
+        return F.regexp_replace(text, "0{1,2}$", "")
     raise ValueError(f"style must be 'fixed' or 'rounded', got {style!r}")
 
 

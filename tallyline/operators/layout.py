@@ -41,7 +41,7 @@ def with_offsets(df: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
     of unique whole numbers; a block then never holds more than ``block`` rows.
     A row without partition or order number stays, without an offset."""
     blocked = df.withColumn(_BLOCK, _block_of(order, block))
-    starts = _block_sizes(blocked).drop("_rows")
+    starts = _block_sizes(blocked.where(F.col(_BLOCK).isNotNull())).drop("_rows")
     within = Window.partitionBy("partition", _BLOCK).orderBy(order)
     offset = (F.col("_before") + F.row_number().over(within) - 1).cast("bigint")
     return (
