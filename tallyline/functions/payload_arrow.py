@@ -105,10 +105,34 @@ class _Varints:
         self.number = _numbers_at(data, start, np.minimum(size, MAX_GROUPS))
 
 
+def _one_block(varints: _Varints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows are an intact single block (or the bare zero), as nearly all
+    are, and where the items of those lie."""
+    first, limit = varints.of_row[:-1], varints.of_row[1:]
+    if not varints.number.size:
+        return np.zeros(first.size, dtype=bool), first, first
+    last = varints.number.size - 1
+    count = varints.number[np.minimum(first, last)]
+    inside = (count >= 0) & (count < limit - first)
+    end = np.where(inside, first + 1 + count, first)
+    closed = (count == 0) | ((end < limit) & (varints.number[np.minimum(end, last)] == 0))
+    intact = inside & closed
+    if varints.broken.any():
+        before = _running(varints.broken)
+        upto = np.minimum(np.where(count == 0, first, end) + 1, last + 1)
+        intact &= before[upto] == before[first]
+    return intact, np.minimum(first + 1, end), end
+
+
 def _walk_blocks(varints: _Varints):
-    """Yield (rows, first item, end of items) per round of blocks; every row
-    takes part until its closing zero or its first fault. The last value is
+    """Yield (rows, first item, end of items) until all blocks of all rows have
+    been seen: the intact single blocks at once, then one block of each other
+    row per round, up to its closing zero or its first fault. The last value is
     the fault of each row."""
+    intact, first, end = _one_block(varints)
+    rows = np.flatnonzero(intact)
+    if rows.size:
+        yield rows, first[rows], end[rows]
     here, limit = varints.of_row[:-1].copy(), varints.of_row[1:]
     fault = np.full(here.size, _FINE, dtype=np.int32)
     long_before = _running(varints.too_long) if varints.too_long.any() else None
@@ -124,7 +148,7 @@ def _walk_blocks(varints: _Varints):
             found[long_before[seen] > long_before[first]] = _TOO_LONG
         return found
 
-    rows = np.arange(here.size)
+    rows = np.flatnonzero(~intact)
     while rows.size:
         found = faults_in(rows, here[rows], here[rows] + 1)
         fault[rows] = found
@@ -159,19 +183,32 @@ _MESSAGE = (
 def _sum_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     varints = _Varints(*_bytes_of(column))
     number = varints.number
+    if number.size == 0 or _far_from_overflow(number):
+        total, fault = _span_sums(varints, [number])
+        return total[0], fault
     # Halves keep the running sums themselves from overflowing.
-    low, high = _running(number & 0xFFFFFFFF), _running(number >> 32)
-    low_sum = np.zeros(len(column), dtype=np.int64)
-    high_sum = np.zeros(len(column), dtype=np.int64)
+    (low, high), fault = _span_sums(varints, [number & 0xFFFFFFFF, number >> 32])
+    high += low >> 32
+    fault[(fault == _FINE) & (high != high.astype(np.int32))] = _OVERFLOW
+    return (high << 32) | (low & 0xFFFFFFFF), fault
+
+
+def _far_from_overflow(number: np.ndarray) -> bool:
+    """Whether no sum over any of the numbers can leave 64 bits."""
+    largest = max(-int(number.min()), int(number.max()))
+    return largest * number.size < 2**62
+
+
+def _span_sums(varints: _Varints, values: list[np.ndarray]):
+    """Per row, the sum of each kind of value over the items of all blocks."""
+    running = [_running(v) for v in values]
+    sums = [np.zeros(varints.of_row.size - 1, dtype=np.int64) for _ in values]
     for rows, first, end in _walk_blocks(varints):
         if rows is None:
-            fault = end
-        else:
-            low_sum[rows] += low[end] - low[first]
-            high_sum[rows] += high[end] - high[first]
-    high_sum += low_sum >> 32
-    fault[(fault == _FINE) & (high_sum != high_sum.astype(np.int32))] = _OVERFLOW
-    return (high_sum << 32) | (low_sum & 0xFFFFFFFF), fault
+            return sums, end
+        for total, upto in zip(sums, running, strict=True):
+            total[rows] += upto[end] - upto[first]
+    raise AssertionError("the walk ends with the faults")
 
 
 @_once(_SUM)
@@ -320,12 +357,11 @@ def _varint_bytes(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         longer = longer[(folded[longer] >> np.uint64(7 * groups)) != 0]
     bounds = _running(size)
     data = np.empty(bounds[-1], dtype=np.uint8)
-    rows, start = np.arange(number.size), bounds[:-1]
-    for group in range(groups):
-        rows = rows[size[rows] > group] if group else rows
-        bits = ((folded[rows] >> np.uint64(7 * group)) & np.uint64(0x7F)).astype(np.uint8)
-        bits[size[rows] > group + 1] |= 0x80
-        data[start[rows] + group] = bits
+    start, rest = bounds[:-1], folded
+    for _ in range(groups):
+        more = size > 1
+        data[start] = (rest & np.uint64(0x7F)).astype(np.uint8) | (more.view(np.uint8) << 7)
+        start, rest, size = start[more] + 1, rest[more] >> np.uint64(7), size[more] - 1
     return data, bounds
 
 

@@ -47,7 +47,6 @@ def stream_sum(
         "partition",
         "offset",
         "timestamp",
-        "timestampType",
         "error",
     )
 

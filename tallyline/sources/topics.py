@@ -22,9 +22,17 @@ from tallyline.sources.spec import (
 
 _LAYOUT = ("topic", "partition")
 
+# Growing offsets are stored as differences, which takes a fraction of the
+# space; a dictionary of values that never repeat only costs time.
+_FILE_OPTIONS = {"parquet.writer.version": "v2", "parquet.enable.dictionary#offset": "false"}
+
 
 def _topic_columns(df: DataFrame, topic: str) -> DataFrame:
-    return df.where(F.col("topic") == topic).select(*STORED_TOPIC.names)
+    """One topic of a table. Columns its writer had nothing for are empty; a
+    record without a time type was timed by its producer (0)."""
+    kind = F.coalesce("timestampType", F.lit(0)).alias("timestampType")
+    columns = [kind if n == "timestampType" else F.col(n) for n in STORED_TOPIC.names]
+    return df.where(F.col("topic") == topic).select(*columns)
 
 
 def _bounds(
@@ -130,27 +138,21 @@ def _next_offset(spark: SparkSession, spec: TopicSpec) -> int:
 def sink_rows(df: DataFrame, spec: TopicSpec) -> DataFrame:
     """Rows in the layout a table sink stores. Columns the frame lacks take the
     values a broker would give: the topic of the sink, one partition, the time
-    of writing, and growing offsets (with gaps, which offsets may have)."""
-    defaults = {
-        "key": F.lit(None),
+    of writing, and growing offsets (with gaps, which offsets may have). Key,
+    time type and error are not stored for a frame that has none."""
+    given = {
         "topic": F.lit(spec.topic),
         "partition": F.lit(0),
         "timestamp": F.current_timestamp(),
-        "timestampType": F.lit(0),
-        "error": F.lit(None),
     }
     if "offset" not in df.columns:
         if df.isStreaming:
             raise ValueError("a stream into a table needs an offset that survives a restart")
         start = _next_offset(df.sparkSession, spec)
-        defaults["offset"] = F.monotonically_increasing_id() + F.lit(start)
+        given["offset"] = F.monotonically_increasing_id() + F.lit(start)
+    given.update({name: F.col(name) for name in df.columns if name in STORED_TOPIC.names})
     return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else defaults[f.name])
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in STORED_TOPIC
-        ]
+        *[given[f.name].cast(f.dataType).alias(f.name) for f in STORED_TOPIC if f.name in given]
     )
 
 
@@ -185,9 +187,9 @@ def write_topic(df: DataFrame, spec: TopicSpec, spread: bool = False) -> None:
         return
     rows = sink_rows(df, spec)
     if spread:
-        rows = rows.hint("rebalance", *_LAYOUT)
-    rows = rows.sortWithinPartitions(*_LAYOUT, "offset")
-    rows.write.mode("append").partitionBy(*_LAYOUT).parquet(spec.path)
+        rows = rows.hint("rebalance", *_LAYOUT).sortWithinPartitions(*_LAYOUT, "offset")
+    writer = rows.write.mode("append").options(**_FILE_OPTIONS)
+    writer.partitionBy(*_LAYOUT).parquet(spec.path)
 
 
 def write_topic_stream(
@@ -197,7 +199,7 @@ def write_topic_stream(
     its checkpoint. ``drain`` stops once everything present has been read."""
     if spec.is_table:
         writer = sink_rows(df, spec).writeStream.format("parquet").partitionBy(*_LAYOUT)
-        writer = writer.option("path", spec.path)
+        writer = writer.options(path=spec.path, **_FILE_OPTIONS)
     else:
         options = write_options(spec)
         if "error" in df.columns:
