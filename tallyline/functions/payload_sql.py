@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from tallyline.functions.varint import (
     MAX_GROUPS,
     ONE_VARINT,
+    TOO_LONG,
     TRUNCATED,
+    byte_at,
     to_bytes,
     to_text,
+    unzigzag,
     varint_fault,
     varint_size,
     varint_text,
@@ -76,44 +79,92 @@ def decode_sum(value: Column) -> Column:
     )
 
 
-def varints(value: Column) -> Column:
-    """Every varint of a payload as array<struct<n, why>>; one that is cut off
-    or too long has a reason in place of a number."""
-    pieces = F.regexp_extract_all(
+def decode_int_list(value: Column) -> Column:
+    """struct<numbers, error>, all blocks."""
+
+    def read(pieces: Column) -> Column:
+        return _let(_piece_numbers(pieces), lambda numbers: blocks(pieces, numbers))
+
+    def blocks(pieces: Column, numbers: Column) -> Column:
+        return _let(
+            _list_blocks(pieces, numbers),
+            lambda found: F.struct(
+                _list_items(numbers, found["spans"]).alias("numbers"),
+                found["error"].alias("error"),
+            ),
+        )
+
+    return _let(_varint_pieces(value), read)
+
+
+def _varint_pieces(value: Column) -> Column:
+    """A payload cut behind every varint, as texts; a last one may be cut off."""
+    return F.regexp_extract_all(
         to_text(value), F.lit(f"{ONE_VARINT}|[\\x80-\\xFF]+$"), F.lit(0)
     )
 
-    def read(piece: Column) -> Column:
-        why = varint_fault(piece, varint_size(piece))
-        number = varint_value(piece, F.length(piece))
-        return F.struct(F.when(why.isNull(), number).alias("n"), why.alias("why"))
 
-    return F.transform(pieces, read)
+def _number(piece: Column) -> Column:
+    """The number of a piece; NULL when it is cut off or too long."""
+    size = F.length(piece)
+    first, second = byte_at(piece, 1).cast("bigint"), byte_at(piece, 2).cast("bigint")
+    pair = first.bitwiseAND(F.lit(127)).bitwiseOR(F.shiftleft(second, 7))
+    intact = (size <= MAX_GROUPS) & (byte_at(piece, size) < 128)
+    return (
+        F.when(size == 1, F.when(first < 128, unzigzag(first)))
+        .when(size == 2, F.when(second < 128, unzigzag(pair)))
+        .when(intact, varint_value(piece, size))
+    )
+
+
+def _why(piece: Column) -> Column:
+    """The fault of a piece that is none of a number, or of none at all."""
+    return F.when(F.length(piece) >= MAX_GROUPS, F.lit(TOO_LONG)).otherwise(F.lit(TRUNCATED))
+
+
+def _piece_numbers(pieces: Column) -> Column:
+    return F.transform(pieces, _number)
 
 
 # What the next varint of an integer list stands for.
 _COUNT, _SIZE, _ITEM, _DONE, _BROKEN = range(5)
 
 
-def list_blocks(read: Column) -> Column:
-    """struct<spans, error> of the ``varints`` of a list payload: where the
-    items of each block lie, or why there is no list."""
+def _list_blocks(pieces: Column, numbers: Column) -> Column:
+    """struct<spans, error>: where the items of each block of a list lie among
+    its numbers, or why there is no list."""
+    count = F.get(numbers, F.lit(0))
+    fits = (count >= 0) & (count <= F.size(numbers) - 2)
+    closing = F.get(numbers, F.when(fits, count + 1).cast("int"))
+    items = F.slice(numbers, F.lit(2), F.when(fits, count).cast("int"))
+    one_block = fits & (closing == 0) & F.forall(items, lambda n: n.isNotNull())
+    span = F.struct(F.lit(2).cast("bigint").alias("first"), count.alias("n"))
+    no_error = F.lit(None).cast("string").alias("error")
+    return (
+        F.when(count == 0, F.struct(F.array().cast(_SPANS).alias("spans"), no_error))
+        .when(one_block, F.struct(F.array(span).alias("spans"), no_error))
+        .when(numbers.isNotNull(), _walk_blocks(pieces, numbers))
+    )
+
+
+_SPANS = "array<struct<first:bigint,n:bigint>>"
+
+
+def _walk_blocks(pieces: Column, numbers: Column) -> Column:
+    """The same, one varint after the other, for lists of any form."""
     bigint = F.lit(0).cast("bigint")
     start = F.struct(
         F.lit(_COUNT).alias("expects"),
         bigint.alias("at"),
         bigint.alias("left"),
-        F.lit(None).cast("string").alias("why"),
-        F.array().cast("array<struct<first:bigint,n:bigint>>").alias("spans"),
+        F.array().cast(_SPANS).alias("spans"),
     )
 
-    def step(s: Column, varint: Column) -> Column:
-        n, why = varint["n"], varint["why"]
+    def step(s: Column, n: Column) -> Column:
         count = s["expects"] == _COUNT
         size = F.abs(F.greatest(n, F.lit(1 - 2**63)))
         expects = (
-            F.when(s["expects"] >= _DONE, s["expects"])
-            .when(why.isNotNull(), F.lit(_BROKEN))
+            F.when(n.isNull(), F.lit(_BROKEN))
             .when(count & (n == 0), F.lit(_DONE))
             .when(count & (n < 0), F.lit(_SIZE))
             .when((s["expects"] == _ITEM) & (s["left"] == 1), F.lit(_COUNT))
@@ -123,28 +174,30 @@ def list_blocks(read: Column) -> Column:
         span = F.struct(
             (s["at"] + F.when(n < 0, 3).otherwise(2)).alias("first"), size.alias("n")
         )
-        opens = count & (n != 0)
-        return F.struct(
-            expects.alias("expects"),
-            (s["at"] + 1).alias("at"),
-            left.otherwise(s["left"]).alias("left"),
-            F.coalesce(s["why"], F.when(expects == _BROKEN, why)).alias("why"),
-            F.when(opens, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"),
+        return F.when(s["expects"] >= _DONE, s).otherwise(
+            F.struct(
+                expects.alias("expects"),
+                (s["at"] + 1).alias("at"),
+                left.otherwise(s["left"]).alias("left"),
+                F.when(count & (n != 0), F.array_append(s["spans"], span))
+                .otherwise(s["spans"])
+                .alias("spans"),
+            )
         )
 
     def finish(s: Column) -> Column:
         done = s["expects"] == _DONE
+        fault = F.when(s["expects"] == _BROKEN, _why(F.get(pieces, (s["at"] - 1).cast("int"))))
         return F.struct(
             F.when(done, s["spans"]).alias("spans"),
-            F.when(~done, F.coalesce(s["why"], F.lit(TRUNCATED))).alias("error"),
+            F.when(~done, F.coalesce(fault, F.lit(TRUNCATED))).alias("error"),
         )
 
-    return F.aggregate(read, start, step, finish)
+    return F.aggregate(numbers, start, step, finish)
 
 
-def list_items(read: Column, spans: Column) -> Column:
+def _list_items(numbers: Column, spans: Column) -> Column:
     """The items at ``spans``, in order."""
-    numbers = F.transform(read, lambda varint: varint["n"])
     return F.flatten(
         F.transform(
             spans,

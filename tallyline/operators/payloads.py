@@ -19,7 +19,6 @@ from tallyline.sources.schemas import INT_LIST, SUM, record_kind, record_type
 
 _ENGINES = ("arrow", "sql")
 _DECODED = "_decoded"
-_VARINTS = "_varints"
 
 
 def _spread(df: DataFrame, decoded: Column, *fields: str) -> DataFrame:
@@ -37,14 +36,8 @@ def _check(engine: str) -> None:
 def decode_int_lists(df: DataFrame, value: str = "value", engine: str = "arrow") -> DataFrame:
     """Adds ``numbers`` (64-bit items of all blocks) and ``error``."""
     _check(engine)
-    if engine == "arrow":
-        return _spread(df, payload_arrow.int_list(F.col(value)), "numbers")
-    read = F.col(_VARINTS)
-    blocks = df.withColumn(_VARINTS, payload_sql.varints(F.col(value)))
-    blocks = blocks.withColumn("_blocks", payload_sql.list_blocks(read))
-    numbers = payload_sql.list_items(read, F.col("_blocks.spans"))
-    both = F.struct(numbers.alias("numbers"), F.col("_blocks.error").alias("error"))
-    return _spread(blocks, both, "numbers").drop(_VARINTS, "_blocks")
+    read = payload_arrow.int_list if engine == "arrow" else payload_sql.decode_int_list
+    return _spread(df, read(F.col(value)), "numbers")
 
 
 def list_sum(df: DataFrame, numbers: str = "numbers", out: str = "sum") -> DataFrame:
@@ -162,7 +155,9 @@ def split_quarantine(df: DataFrame, value: str = "value") -> tuple[DataFrame, Da
 MISSING_FIELDS = {"message_id": 0, "event_time": 0.0, "content": "Unknown"}
 
 
-def with_defaults(df: DataFrame, policy: str = "zero", received: str = "received_time") -> DataFrame:
+def with_defaults(
+    df: DataFrame, policy: str = "zero", received: str = "received_time"
+) -> DataFrame:
     """Fills missing message fields: ``zero`` with fixed values, ``received``
     only the event time, with the time of receipt. Set-aside rows stay empty."""
     if policy == "zero":

@@ -105,7 +105,8 @@ def load_backlog(
     """Fills a topic with generated lists, spread over its partitions."""
     lists = gen_int_lists(spark, rows, seed, tasks)
     partition = F.pmod(F.spark_partition_id(), F.lit(spec.partitions)).cast("int")
-    write_topic(lists.select("value", partition.alias("partition"), F.col("id").alias("offset")), spec)
+    offset = F.col("id").alias("offset")
+    write_topic(lists.select("value", partition.alias("partition"), offset), spec)
 
 
 def process_backlog(spark: SparkSession, source: TopicSpec, sink: TopicSpec) -> float:

@@ -98,6 +98,9 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len({_WORDS})::INTEGER AS items, list_sum({_WORDS})::BIGINT AS sum
         FROM documents
     """,
+    "fused_list_sums": f"""
+        SELECT l_orderkey, l_linenumber, list_sum({_LIST})::BIGINT AS sum FROM lineitem
+    """,
     "sum_codec": _SIGNED,
     "sum_codec_sql_engine": _SIGNED,
     "messages": _MESSAGES,
@@ -160,6 +163,13 @@ ORACLES: dict[str, str] = {
                printf('Latency: %.3f seconds', floor(value)) AS latency_line
         FROM (SELECT event_id, value, (epoch_us(ts) // 1000)::DOUBLE / 1000.0 AS sent FROM events)
     """,
+    "report_lines_rounded": """
+        SELECT event_id,
+               'New message: [ID=' || event_id || '] Message ' || event_id || ' at '
+                   || regexp_replace(printf('%.3f', sent), '0{1,2}$', '') AS line,
+               'Latency: ' || floor(value)::BIGINT || '.0 seconds' AS latency_line
+        FROM (SELECT event_id, value, (epoch_us(ts) // 1000)::DOUBLE / 1000.0 AS sent FROM events)
+    """,
     "throughput_5s": """
         SELECT time_bucket(INTERVAL '5 seconds', ts) AS window_start, count(*)::BIGINT AS n,
                (count(*) // 5)::BIGINT AS per_sec, count(*) / 5.0::DOUBLE AS rate

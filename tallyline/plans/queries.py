@@ -238,6 +238,13 @@ def list_sums(spark, sf_dir):
     return list_sum(decoded).select("doc_id", F.size("numbers").alias("items"), "sum")
 
 
+@query
+def fused_list_sums(spark, sf_dir):
+    """Decoding and summing as one step."""
+    summed = sum_int_lists(lineitem_lists(spark, sf_dir).drop("numbers"))
+    return summed.select("l_orderkey", "l_linenumber", "sum")
+
+
 def _signed_micros(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
     micros = F.unix_micros(instant("ts"))
@@ -324,7 +331,8 @@ def _cut_events(spark, sf_dir) -> DataFrame:
 def quarantine(spark, sf_dir):
     """Records that cannot be read, with origin and reason."""
     _, bad = split_quarantine(decode_messages(_cut_events(spark, sf_dir)))
-    return bad.select("topic", "partition", "offset", "error", F.octet_length("value").alias("size"))
+    size = F.octet_length("value").alias("size")
+    return bad.select("topic", "partition", "offset", "error", size)
 
 
 @query
@@ -401,6 +409,14 @@ def report_lines(spark, sf_dir):
     return format_report(timed).select("event_id", "line", "latency_line")
 
 
+@query
+def report_lines_rounded(spark, sf_dir):
+    """The other style of the same lines, without trailing zeros."""
+    decoded = decode_messages(event_messages(spark, sf_dir, _whole_millis(), "delay"))
+    timed = with_latency(decoded, F.col("event_time") + F.floor("delay"))
+    return format_report(timed, "rounded").select("event_id", "line", "latency_line")
+
+
 # Figures ---------------------------------------------------------------------
 
 

@@ -40,7 +40,9 @@ def with_random_list(df: DataFrame, id_column: str, seed: int = 0) -> DataFrame:
     return df.withColumn("value", int_list_bytes("numbers"))
 
 
-def gen_int_lists(spark: SparkSession, n: int, seed: int = 0, tasks: int | None = None) -> DataFrame:
+def gen_int_lists(
+    spark: SparkSession, n: int, seed: int = 0, tasks: int | None = None
+) -> DataFrame:
     """``n`` topic values holding lists; no key. The row number is kept as id."""
     rows = spark.range(0, n, 1, tasks)
     return with_random_list(rows, "id", seed).select("id", "value")

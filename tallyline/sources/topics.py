@@ -164,10 +164,8 @@ def broker_rows(df: DataFrame, spec: TopicSpec) -> DataFrame:
     columns += [F.col("value"), topic.alias("topic")]
     if "error" in df.columns:
         facts = [n for n in ("error", "partition", "offset") if n in df.columns]
-        entries = [
-            F.struct(F.lit(n).alias("key"), F.encode(F.col(n).cast("string"), "UTF-8").alias("value"))
-            for n in facts
-        ]
+        texts = {n: F.encode(F.col(n).cast("string"), "UTF-8") for n in facts}
+        entries = [F.struct(F.lit(n).alias("key"), t.alias("value")) for n, t in texts.items()]
         columns.append(F.when(F.col("error").isNotNull(), F.array(*entries)).alias("headers"))
     return df.select(*columns)
 

@@ -183,7 +183,8 @@ def damaged_payloads(seed, how_many):
             for _ in range(dice.randint(1, 3)):
                 payload[dice.randrange(len(payload))] = dice.choice([0, 1, 2, 127, 128, 255])
         elif kind == 3:
-            payload = bytes(dice.choice([0, 1, 2, 3, 4, 128, 200]) for _ in range(dice.randint(0, 30)))
+            noise = [0, 1, 2, 3, 4, 128, 200]
+            payload = bytes(dice.choice(noise) for _ in range(dice.randint(0, 30)))
         out.append(bytes(payload))
     return out
 

@@ -82,7 +82,8 @@ def test_lag_joins_by_broadcast_when_the_tables_are_small(spark):
     ends = spark.range(8).select(
         F.lit("t").alias("topic"), F.col("id").alias("partition"), F.lit(9).alias("end")
     )
-    committed = ends.select(F.lit("g").alias("group"), "topic", "partition", F.lit(3).alias("committed"))
+    group, read = F.lit("g").alias("group"), F.lit(3).alias("committed")
+    committed = ends.select(group, "topic", "partition", read)
     assert "BroadcastHashJoin" in plan(metrics.consumer_lag(committed, ends))
 
 
@@ -96,7 +97,9 @@ def test_progress_reads_the_topic_once(spark, events):
 def test_no_query_has_a_cross_product_of_rows(spark, sf_dir):
     """Only ``backlog`` joins without a key: one row with one row."""
     for name, query in queries.QUERIES.items():
-        if name.endswith(("streaming", "resumed")) or name in ("independent_groups", "latest_start"):
+        if name in ("independent_groups", "latest_start", "lag_of_running_job"):
+            continue  # these run streams first
+        if name.endswith(("streaming", "resumed")):
             continue
         text = plan(query(spark, sf_dir))
         assert "CartesianProduct" not in text, name

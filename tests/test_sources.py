@@ -262,12 +262,14 @@ def test_bounded_reads(spark, stored, partitions, start, end):
 
 def test_end_offsets(spark, stored):
     ends = topics.end_offsets(topics.read_topic_batch(spark, stored[0])).collect()
-    assert {(r["topic"], r["partition"]): r["end"] for r in ends} == {("t", p): 20 for p in range(3)}
+    found = {(r["topic"], r["partition"]): r["end"] for r in ends}
+    assert found == {("t", p): 20 for p in range(3)}
 
 
 def test_offsets_grow_over_writes(spark):
     topic = TopicSpec("t", path=session.scratch_path(spark, "grow"))
-    values = spark.range(0, 100, 1, 3).select(F.encode(F.col("id").cast("string"), "UTF-8").alias("value"))
+    text = F.encode(F.col("id").cast("string"), "UTF-8")
+    values = spark.range(0, 100, 1, 3).select(text.alias("value"))
     for _ in range(3):
         topics.write_topic(values, topic)
     offsets = [r["offset"] for r in topics.read_topic_batch(spark, topic).collect()]
