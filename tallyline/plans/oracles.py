@@ -245,6 +245,11 @@ ORACLES: dict[str, str] = {
         FROM events ORDER BY 1, 2 LIMIT 5000
     """,
     "latest_start": f"SELECT event_id AS message_id, {_CONTENT} AS content FROM events",
+    "repeated_delivery": f"""
+        SELECT {_PARTITION} AS partition, event_id AS "offset", event_id AS message_id,
+               {_CONTENT} AS content
+        FROM events
+    """,
     "interop_union": f"""
         SELECT topic, count(*)::BIGINT AS n, 0::BIGINT AS unreadable,
                min(id)::BIGINT AS first_id, max(id)::BIGINT AS last_id,

@@ -55,6 +55,7 @@ from tallyline.session import scratch_path
 from tallyline.sources.generators import with_message, with_random_list
 from tallyline.sources.spec import TopicSpec
 from tallyline.sources.topics import (
+    drop_repeats,
     end_offsets,
     read_topic_batch,
     union_topics,
@@ -577,6 +578,14 @@ def latest_start(spark, sf_dir):
     return spark.read.parquet(sink.path).select("message_id", "content")
 
 
+@query
+def repeated_delivery(spark, sf_dir):
+    """A topic that was delivered twice, each record counted once."""
+    events = event_messages(spark, sf_dir)
+    decoded = decode_messages(drop_repeats(union_topics(events, events)))
+    return decoded.select("partition", "offset", "message_id", "content")
+
+
 @query
 def interop_union(spark, sf_dir):
     """Three producers, one topic, one decoder."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,7 @@ from tallyline.sources.spec import (
 )
 
 _LAYOUT = ("topic", "partition")
+_PLACE = ("topic", "partition", "offset")
 
 # Growing offsets are stored as differences, which takes a fraction of the
 # space; a dictionary of values that never repeat only costs time.
@@ -76,6 +78,34 @@ def end_offsets(df: DataFrame) -> DataFrame:
     return df.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("end"))
 
 
+def track_ends(spark: SparkSession, spec: TopicSpec) -> Callable[[], DataFrame]:
+    """``end_offsets`` of a table topic, to be asked for again and again: each
+    call reads only from the ends of the call before, which skips all older
+    parts of the files. Keeps one number per partition on the driver."""
+    known: dict[int, int] = {}
+
+    def ends() -> DataFrame:
+        seen = list(known)
+        older = read_topic_batch(spark, spec, partitions=seen, start=known)
+        newer = read_topic_batch(spark, spec).where(~F.col("partition").isin(seen))
+        fresh = end_offsets(older.select(*_PLACE).union(newer.select(*_PLACE)))
+        known.update({row["partition"]: row["end"] for row in fresh.collect()})
+        rows = [(spec.topic, partition, end) for partition, end in known.items()]
+        return spark.createDataFrame(rows, "topic string, partition int, end bigint")
+
+    return ends
+
+
+def drop_repeats(df: DataFrame, within: str | None = None) -> DataFrame:
+    """Each record once, where a sink may have delivered it again. A stream
+    remembers records for the time ``within`` after the newest one."""
+    if not df.isStreaming:
+        return df.dropDuplicates(list(_PLACE))
+    if within is None:
+        raise ValueError("a stream needs a time to remember records for")
+    return df.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(list(_PLACE))
+
+
 def _first_offsets(spark: SparkSession, spec: TopicSpec, job: str) -> Offsets:
     """Where a group begins that has committed nothing yet. ``latest`` is
     looked up once and kept with the group, so that records which arrive while

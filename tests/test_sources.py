@@ -266,6 +266,35 @@ def test_end_offsets(spark, stored):
     assert found == {("t", p): 20 for p in range(3)}
 
 
+def test_tracked_ends_follow_new_rows_and_partitions(spark):
+    topic = TopicSpec("t", path=session.scratch_path(spark, "tracked"))
+
+    def send(*places):
+        rows = [(p, o, b"x") for p, o in places]
+        df = spark.createDataFrame(rows, "partition int, offset bigint, value binary")
+        topics.write_topic(df, topic)
+
+    ends = topics.track_ends(spark, topic)
+    send((0, 0), (0, 1), (1, 0))
+    for new, expected in [
+        ([], {0: 2, 1: 1}),
+        ([(1, 1), (1, 2)], {0: 2, 1: 3}),
+        ([(0, 2), (2, 0), (2, 7)], {0: 3, 1: 3, 2: 8}),
+    ]:
+        if new:
+            send(*new)
+        assert {r["partition"]: r["end"] for r in ends().collect()} == expected
+
+
+def test_repeats_are_dropped(spark, stored):
+    topic, rows = stored
+    df = topics.read_topic_batch(spark, topic)
+    assert rows_of(topics.drop_repeats(df.union(df).union(df.limit(5)))) == rows
+    feed = spark.readStream.format("rate").load().withColumnRenamed("value", "offset")
+    with pytest.raises(ValueError, match="remember"):
+        topics.drop_repeats(feed)
+
+
 def test_offsets_grow_over_writes(spark):
     topic = TopicSpec("t", path=session.scratch_path(spark, "grow"))
     text = F.encode(F.col("id").cast("string"), "UTF-8")

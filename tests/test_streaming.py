@@ -12,7 +12,14 @@ from tallyline import session
 from tallyline.operators.payloads import decode_messages, decode_sums
 from tallyline.plans import jobs
 from tallyline.sources.spec import TopicSpec
-from tallyline.sources.topics import end_offsets, read_topic_batch, write_topic
+from tallyline.sources.topics import (
+    drop_repeats,
+    read_topic_batch,
+    read_topic_stream,
+    track_ends,
+    write_topic,
+    write_topic_stream,
+)
 from tallyline.streaming import jobs as streams
 
 GOOD = wire.put_list([1, 2, 3])
@@ -231,6 +238,24 @@ def test_list_feed(spark):
     assert all(2 <= len(wire.take_list(bytes(r["value"]))) <= 5 for r in rows)
 
 
+def test_a_stream_drops_repeats(spark):
+    source, sink = topic(spark, "repeats", max_files_per_batch=1)
+    for _ in range(2):
+        write_topic(timed_rows(spark, 30), source)
+    stream = drop_repeats(read_topic_stream(spark, source), within="1 hour")
+    run(write_topic_stream(stream.withColumn("topic", F.lit("sums")), sink, source.group, "once"))
+    assert sorted(r["offset"] for r in stored(spark, sink)) == list(range(30))
+
+
+def timed_rows(spark, n):
+    return spark.range(n).select(
+        F.lit(GOOD).alias("value"),
+        F.lit(0).alias("partition"),
+        F.col("id").alias("offset"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("timestamp"),
+    )
+
+
 def test_lag_monitor(spark, capsys):
     source, _ = topic(spark, "lag")
     send(spark, source, lists(0, 10))
@@ -241,7 +266,7 @@ def test_lag_monitor(spark, capsys):
     query = streams.start_lag_monitor(
         spark,
         lambda: committed,
-        lambda: end_offsets(read_topic_batch(spark, source)),
+        track_ends(spark, source),
         groups=spark.createDataFrame([("g",), ("h",)], "group string"),
         every="1 second",
     )
