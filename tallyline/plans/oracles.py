@@ -65,6 +65,17 @@ _TAIL = """
            count(*) / 5.0::DOUBLE AS rate
     FROM lineitem GROUP BY 1
 """
+_GENERATED_LISTS = """
+    SELECT count(*)::BIGINT AS lists, 0::BIGINT AS unreadable, 2::BIGINT AS shortest,
+           5::BIGINT AS longest, 0::BIGINT AS smallest_item, 99::BIGINT AS largest_item
+    FROM orders
+"""
+_GENERATED_MESSAGES = """
+    SELECT o_orderkey AS message_id, 1704067200.0::DOUBLE + o_orderkey * 2 AS event_time,
+           'Message ' || o_orderkey AS content,
+           make_timestamp((1704067200 + o_orderkey * 2) * 1000000) AS timestamp
+    FROM orders
+"""
 _ELAPSED = "(epoch_us(max({ts})) - epoch_us(min({ts})))::DOUBLE / 1e6"
 _EVENTS_ELAPSED = _ELAPSED.format(ts="ts")
 _LINES_ELAPSED = _ELAPSED.format(ts="l_shipdate")
@@ -123,6 +134,11 @@ ORACLES: dict[str, str] = {
                count(*) FILTER (WHERE event_type <> 'error')::BIGINT AS "left"
         FROM events GROUP BY event_type
     """,
+    "observed_rows": """
+        SELECT count(*)::BIGINT AS n,
+               count(*) FILTER (WHERE event_type = 'error')::BIGINT AS null_value
+        FROM events
+    """,
     "quarantine": f"""
         SELECT 'events' AS topic, {_PARTITION} AS partition, event_id AS "offset",
                'truncated' AS error,
@@ -260,17 +276,10 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 'documents', doc_id, text FROM documents
         ) GROUP BY topic
     """,
-    "generated_lists": """
-        SELECT count(*)::BIGINT AS lists, 0::BIGINT AS unreadable, 2::BIGINT AS shortest,
-               5::BIGINT AS longest, 0::BIGINT AS smallest_item, 99::BIGINT AS largest_item
-        FROM orders
-    """,
-    "generated_messages": """
-        SELECT o_orderkey AS message_id, 1704067200.0::DOUBLE + o_orderkey * 2 AS event_time,
-               'Message ' || o_orderkey AS content,
-               make_timestamp((1704067200 + o_orderkey * 2) * 1000000) AS timestamp
-        FROM orders
-    """,
+    "generated_lists": _GENERATED_LISTS,
+    "generated_lists_streaming": _GENERATED_LISTS,
+    "generated_messages": _GENERATED_MESSAGES,
+    "message_feed_streaming": _GENERATED_MESSAGES,
     "message_monitor": _MONITOR,
     "message_monitor_streaming": _MONITOR,
     "result_tail": _TAIL,

@@ -17,6 +17,7 @@ from tallyline.operators.metrics import (
     consumer_lag,
     count_rows,
     lag_lines,
+    observe_rows,
     progress,
     run_summary,
     throughput,
@@ -49,6 +50,7 @@ from tallyline.plans.tables import (
     order_messages,
     partition_of,
     table,
+    table_stream,
     text_key,
 )
 from tallyline.session import scratch_path
@@ -60,6 +62,7 @@ from tallyline.sources.topics import (
     read_topic_batch,
     union_topics,
     write_topic,
+    write_topic_stream,
 )
 from tallyline.streaming import jobs as streams
 
@@ -318,6 +321,19 @@ def null_payloads(spark, sf_dir):
     return seen.join(left, "event_type", "left").fillna(0, ["left"])
 
 
+@query
+def observed_rows(spark, sf_dir):
+    """The counters of a job, taken while it runs."""
+    events = event_messages(spark, sf_dir)
+    sent = events.withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
+    seen, figures = observe_rows(sent)
+    jobs.message_monitor(seen).write.format("noop").mode("overwrite").save()
+    counted = figures.get
+    return spark.createDataFrame(
+        [(counted["n"], counted["null_value"])], "n bigint, null_value bigint"
+    )
+
+
 def _cut_events(spark, sf_dir) -> DataFrame:
     """Event messages, those of sign-ups cut by one byte."""
     events = event_messages(spark, sf_dir)
@@ -608,11 +624,8 @@ def interop_union(spark, sf_dir):
 # Generators ------------------------------------------------------------------
 
 
-@query
-def generated_lists(spark, sf_dir):
-    """A random list per order, through the payload and back."""
-    made = with_random_list(table(spark, sf_dir, "orders"), "o_orderkey", seed=7)
-    decoded = list_sum(decode_int_lists(made.select("o_orderkey", "value")))
+def _list_figures(lists: DataFrame) -> DataFrame:
+    decoded = list_sum(decode_int_lists(lists))
     return decoded.agg(
         F.count(F.lit(1)).alias("lists"),
         F.count("error").alias("unreadable"),
@@ -624,24 +637,59 @@ def generated_lists(spark, sf_dir):
 
 
 @query
-def generated_messages(spark, sf_dir):
-    """A message per order, one every two seconds, into a topic and back."""
-    source, _ = _specs(spark, "generated_messages")
-    orders = table(spark, sf_dir, "orders")
+def generated_lists(spark, sf_dir):
+    """A random list per order, through the payload and back."""
+    made = with_random_list(table(spark, sf_dir, "orders"), "o_orderkey", seed=7)
+    return _list_figures(made.select("value"))
+
+
+@query
+def generated_lists_streaming(spark, sf_dir):
+    """The same from a stream of orders into a topic."""
+    source, _ = _specs(spark, "generated_lists_streaming")
+    made = with_random_list(table_stream(spark, sf_dir, "orders"), "o_orderkey", seed=7)
+    rows = made.select(
+        "value", partition_of("o_custkey").alias("partition"), F.col("o_orderkey").alias("offset")
+    )
+    _drained(write_topic_stream(rows, source, source.group, "list_feed"))
+    return _list_figures(read_topic_batch(spark, source))
+
+
+def _timed_orders(orders: DataFrame) -> DataFrame:
+    """A message per order, one every two seconds."""
     at = F.lit(1_704_067_200.0) + F.col("o_orderkey") * 2.0
-    sent = with_message(orders, F.col("o_orderkey"), at).select(
+    return with_message(orders, F.col("o_orderkey"), at).select(
         "value",
         text_key("o_custkey").alias("key"),
         partition_of("o_custkey").alias("partition"),
         F.col("o_orderkey").alias("offset"),
         to_timestamp(F.col("event_time")).alias("timestamp"),
     )
-    write_topic(sent, source)
-    return decode_messages(read_topic_batch(spark, source)).select(
+
+
+def _timed_messages(stored: DataFrame) -> DataFrame:
+    return decode_messages(stored).select(
         "message_id", "event_time", "content", _no_zone("timestamp")
     )
 
 
+@query
+def generated_messages(spark, sf_dir):
+    """Timed messages into a topic and back."""
+    source, _ = _specs(spark, "generated_messages")
+    write_topic(_timed_orders(table(spark, sf_dir, "orders")), source)
+    return _timed_messages(read_topic_batch(spark, source))
+
+
+@query
+def message_feed_streaming(spark, sf_dir):
+    """The same as a feed: a stream of orders into a topic."""
+    source, _ = _specs(spark, "message_feed_streaming")
+    feed = _timed_orders(table_stream(spark, sf_dir, "orders"))
+    _drained(write_topic_stream(feed, source, source.group, "message_feed"))
+    return _timed_messages(read_topic_batch(spark, source))
+
+
 # Monitor and result tail -----------------------------------------------------
 
 

@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files."""
+    batch = table(spark, sf_dir, name)
+    files = spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet")
+    return files.parquet(sf_dir)
+
+
 def instant(ts: str) -> Column:
     return F.col(ts).cast("timestamp")
 

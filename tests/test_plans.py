@@ -94,6 +94,25 @@ def test_progress_reads_the_topic_once(spark, events):
     assert text.count("FileScan") == 1 and "ReusedExchange" in text
 
 
+def test_a_large_partition_is_written_by_several_tasks(spark):
+    """Two thirds of the rows in one partition: more than one file for it."""
+    spec = TopicSpec("hot", path=session.scratch_path(spark, "hot"))
+    rows = spark.range(0, 60_000, 1, 6).select(
+        F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("value"),
+        F.when(F.col("id") % 3 == 0, F.col("id") % 4 + 1).otherwise(0).alias("partition"),
+        F.col("id").alias("offset"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        write_topic(rows, spec, spread=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = read_topic_batch(spark, spec).withColumn("file", F.input_file_name())
+    files = stored.groupBy("partition").agg(F.count_distinct("file").alias("files")).collect()
+    assert {r["partition"]: r["files"] > 1 for r in files}[0]
+    assert stored.count() == 60_000
+
+
 def test_no_query_has_a_cross_product_of_rows(spark, sf_dir):
     """Only ``backlog`` joins without a key: one row with one row."""
     for name, query in queries.QUERIES.items():
