@@ -73,6 +73,12 @@ def read_topic_batch(
     return _bounds(df, end, Column.__lt__, max, partitions)
 
 
+def never_written(problem: AnalysisException) -> None:
+    """Lets a missing table pass, as one that nothing was written to yet."""
+    if problem.getCondition() != "PATH_NOT_FOUND":
+        raise problem
+
+
 def end_offsets(df: DataFrame) -> DataFrame:
     """One past the last record of every partition."""
     return df.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("end"))
@@ -131,7 +137,8 @@ def _current_ends(spark: SparkSession, spec: TopicSpec) -> DataFrame:
     marker = spark.createDataFrame([(_COMPLETE, 0)], schema)
     try:
         present = end_offsets(read_topic_batch(spark, spec)).select("partition", "end")
-    except AnalysisException:  # nothing was ever written to the topic
+    except AnalysisException as problem:
+        never_written(problem)
         return marker
     return marker.union(present)
 
@@ -139,7 +146,8 @@ def _current_ends(spark: SparkSession, spec: TopicSpec) -> DataFrame:
 def _kept_offsets(spark: SparkSession, path: str) -> Offsets | None:
     try:
         rows = spark.read.schema("partition int, end bigint").json(path).collect()
-    except AnalysisException:  # first start
+    except AnalysisException as problem:
+        never_written(problem)
         return None
     offsets = {row["partition"]: row["end"] for row in rows}
     return offsets if offsets.pop(_COMPLETE, None) is not None else None
@@ -160,7 +168,8 @@ def read_topic_stream(spark: SparkSession, spec: TopicSpec, job: str = "read") -
 def _next_offset(spark: SparkSession, spec: TopicSpec) -> int:
     try:
         last = read_topic_batch(spark, spec).agg(F.max("offset")).first()[0]
-    except AnalysisException:  # nothing was ever written to the topic
+    except AnalysisException as problem:
+        never_written(problem)
         return 0
     return 0 if last is None else last + 1
 

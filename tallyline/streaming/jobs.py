@@ -20,7 +20,7 @@ from tallyline.plans import jobs
 from tallyline.session import checkpoint_path
 from tallyline.sources.generators import gen_int_lists_stream, gen_messages_stream
 from tallyline.sources.spec import TopicSpec
-from tallyline.sources.topics import read_topic_stream, write_topic_stream
+from tallyline.sources.topics import never_written, read_topic_stream, write_topic_stream
 
 LAG_EVERY = "2 seconds"
 
@@ -83,10 +83,11 @@ def start_result_tail(
 
 def latest_windows(spark: SparkSession, out: str) -> DataFrame:
     """The last state of each window that ``start_result_tail`` stored."""
+    schema = "window_start timestamp, n bigint, per_sec bigint, rate double"
     try:
-        stored = spark.read.parquet(out)
-    except AnalysisException:
-        schema = "window_start timestamp, n bigint, per_sec bigint, rate double"
+        stored = spark.read.schema(f"{schema}, batch bigint").parquet(out)
+    except AnalysisException as problem:
+        never_written(problem)
         return spark.createDataFrame([], schema)
     newest = Window.partitionBy("window_start").orderBy(F.col("batch").desc())
     ranked = stored.withColumn("_rank", F.row_number().over(newest))

@@ -200,6 +200,10 @@ def test_result_tail(spark):
     ]
 
 
+def test_result_tail_that_never_ran(spark):
+    assert streams.latest_windows(spark, session.scratch_path(spark, "no_tail")).count() == 0
+
+
 def wait_for(check, seconds=60):
     end = time.monotonic() + seconds
     while not check():
