@@ -6,7 +6,7 @@ costs one row per task in the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars
@@ -103,11 +103,14 @@ def progress(
     )
 
 
-def run_summary(df: DataFrame, ts: str = "timestamp", by: tuple[str, ...] = ()) -> DataFrame:
-    """Records, seconds from first to last, and records per second."""
+def run_summary(
+    df: DataFrame, ts: str = "timestamp", by: tuple[str, ...] = (), more: tuple[Column, ...] = ()
+) -> DataFrame:
+    """Records, seconds from first to last, and records per second; ``more``
+    aggregates come from the same pass."""
     return (
         df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("total"), _elapsed(ts).alias("seconds"))
+        .agg(F.count(F.lit(1)).alias("total"), _elapsed(ts).alias("seconds"), *more)
         .withColumn("per_sec", F.try_divide("total", "seconds"))
     )
 

@@ -212,8 +212,7 @@ def backlog(spark, sf_dir):
     write_topic(_as_topic(lineitem_lists(spark, sf_dir), source).drop("offset"), source)
     jobs.process_backlog(spark, source, sink)
     results = decode_sums(read_topic_batch(spark, sink))
-    summed = results.agg(F.sum("sum").alias("sum_of_sums"))
-    return run_summary(results).crossJoin(F.broadcast(summed))
+    return run_summary(results, more=(F.sum("sum").alias("sum_of_sums"),))
 
 
 # Payload jobs ----------------------------------------------------------------

@@ -6,8 +6,16 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-# Names and defaults of the settings, and the client settings
-# that go with each delivery mode.
+# Names and defaults of the environment settings, and the client
+# settings that go with each delivery mode.
+ENV_SERVERS = "KAFKA_BOOTSTRAP_SERVERS"
+ENV_MESSAGE_TOPIC = "TOPIC_NAME"
+ENV_MESSAGE_GROUP = "CONSUMER_GROUP_ID"
+ENV_START = "AUTO_OFFSET_RESET"
+ENV_LIST_TOPIC = "INPUT_TOPIC"
+ENV_SUM_TOPIC = "OUTPUT_TOPIC"
+ENV_SUM_GROUP = "APPLICATION_ID"
+ENV_DURABLE = "DURABLE"
 DEFAULT_SERVERS = "127.0.0.1:9094"
 DEFAULT_START = "latest"
 DEFAULT_MESSAGE_TOPIC = "my-topic-1"
@@ -70,6 +78,10 @@ class TopicSpec:
             raise ValueError("start must be 'earliest', 'latest' or offsets by partition")
         if self.partitions < 1:
             raise ValueError("a topic has at least one partition")
+        if self.is_table and self.max_rows_per_batch:
+            raise ValueError("batches of a table are limited by files, not by rows")
+        if not self.is_table and self.max_files_per_batch:
+            raise ValueError("batches of a broker topic are limited by rows, not by files")
 
     @property
     def is_table(self) -> bool:
@@ -128,29 +140,29 @@ def write_options(spec: TopicSpec) -> dict[str, str]:
 
 
 def _servers(env: Mapping[str, str]) -> str:
-    return env.get("KAFKA_BOOTSTRAP_SERVERS", DEFAULT_SERVERS)
+    return env.get(ENV_SERVERS, DEFAULT_SERVERS)
 
 
 def message_topic_from_env(env: Mapping[str, str]) -> TopicSpec:
     return TopicSpec(
-        topic=env.get("TOPIC_NAME", DEFAULT_MESSAGE_TOPIC),
+        topic=env.get(ENV_MESSAGE_TOPIC, DEFAULT_MESSAGE_TOPIC),
         servers=_servers(env),
-        group=env.get("CONSUMER_GROUP_ID", DEFAULT_MESSAGE_GROUP),
-        start=env.get("AUTO_OFFSET_RESET", DEFAULT_START),
+        group=env.get(ENV_MESSAGE_GROUP, DEFAULT_MESSAGE_GROUP),
+        start=env.get(ENV_START, DEFAULT_START),
         delivery="durable",
     )
 
 
 def sum_topics_from_env(env: Mapping[str, str]) -> tuple[TopicSpec, TopicSpec]:
     """Input and output topic of the list sum job."""
-    delivery = "durable" if "DURABLE" in env else "leader"
+    delivery = "durable" if ENV_DURABLE in env else "leader"
     source = TopicSpec(
-        topic=env.get("INPUT_TOPIC", DEFAULT_LIST_TOPIC),
+        topic=env.get(ENV_LIST_TOPIC, DEFAULT_LIST_TOPIC),
         servers=_servers(env),
-        group=env.get("APPLICATION_ID", "stream-sum"),
+        group=env.get(ENV_SUM_GROUP, "stream-sum"),
         start="earliest",
     )
     sink = TopicSpec(
-        topic=env.get("OUTPUT_TOPIC", DEFAULT_SUM_TOPIC), servers=_servers(env), delivery=delivery
+        topic=env.get(ENV_SUM_TOPIC, DEFAULT_SUM_TOPIC), servers=_servers(env), delivery=delivery
     )
     return source, sink

@@ -114,7 +114,6 @@ def test_a_large_partition_is_written_by_several_tasks(spark):
 
 
 def test_no_query_has_a_cross_product_of_rows(spark, sf_dir):
-    """Only ``backlog`` joins without a key: one row with one row."""
     for name, query in queries.QUERIES.items():
         if name in ("independent_groups", "latest_start", "lag_of_running_job"):
             continue  # these run streams first
@@ -122,4 +121,4 @@ def test_no_query_has_a_cross_product_of_rows(spark, sf_dir):
             continue
         text = plan(query(spark, sf_dir))
         assert "CartesianProduct" not in text, name
-        assert "BroadcastNestedLoopJoin" not in text or name == "backlog", name
+        assert "BroadcastNestedLoopJoin" not in text, name

@@ -35,6 +35,8 @@ LIST = {"type": "array", "items": "int"}
         {"path": "p", "delivery": "maybe"},
         {"path": "p", "start": "yesterday"},
         {"path": "p", "partitions": 0},
+        {"path": "p", "max_rows_per_batch": 5},
+        {"servers": "s", "max_files_per_batch": 5},
     ],
 )
 def test_bad_settings(settings):
