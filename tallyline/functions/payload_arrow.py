@@ -105,67 +105,71 @@ class _Varints:
         self.number = _numbers_at(data, start, np.minimum(size, MAX_GROUPS))
 
 
-def _one_block(varints: _Varints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which rows are an intact single block (or the bare zero), as nearly all
-    are, and where the items of those lie."""
+def _one_block(varints: _Varints) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows, at first sight, are a single closed block or the bare zero,
+    as nearly all are; and where their closing zero lies."""
     first, limit = varints.of_row[:-1], varints.of_row[1:]
     if not varints.number.size:
-        return np.zeros(first.size, dtype=bool), first, first
+        return np.zeros(first.size, dtype=bool), first
     last = varints.number.size - 1
     count = varints.number[np.minimum(first, last)]
-    inside = (count >= 0) & (count < limit - first)
-    end = np.where(inside, first + 1 + count, first)
-    closed = (count == 0) | ((end < limit) & (varints.number[np.minimum(end, last)] == 0))
-    intact = inside & closed
+    inside = (first < limit) & (count >= 0) & (count < limit - first)
+    close = np.where(inside, first + np.where(count > 0, 1 + count, 0), first)
+    closed = inside & (close < limit) & (varints.number[np.minimum(close, last)] == 0)
+    return closed, close
+
+
+def _block_starts(number: np.ndarray, first: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Where blocks, and closing zeros, begin in rows of any form. Every varint
+    points to where the next block would begin if it were a count itself; the
+    pointers are followed from the first varint of each row in strides of 1, 2,
+    4, ... blocks, so the rounds grow with the logarithm of the blocks."""
+    here = np.arange(number.size)
+    room = np.repeat(limit, limit - first) - here
+    size = np.where((number > room) | (number < -room), room, np.abs(number))
+    step = here + np.where(number == 0, 0, 1 + size + (number < 0))
+    stride = np.append(np.where(step < here + room, step, number.size), number.size)
+    seen = np.zeros(number.size + 1, dtype=bool)
+    seen[first[first < limit]] = True
+    before = 0
+    while (found := np.count_nonzero(seen)) > before:
+        before = found
+        seen[stride[seen]] = True
+        stride = stride[stride]
+    return np.flatnonzero(seen[:-1])
+
+
+def _read_lists(varints: _Varints):
+    """(row, first item, end of items) of every block, and the fault of each
+    row. A row is read up to its closing zero, and has a fault if it has none or
+    if a broken varint comes before it."""
+    first, limit = varints.of_row[:-1], varints.of_row[1:]
+    simple, close = _one_block(varints)
+    close = np.where(simple, close, limit)
+    blocks = [(np.flatnonzero(simple), first[simple] + 1, close[simple])]
+    odd = np.flatnonzero(~simple)
+    if odd.size:
+        # The varints of the other rows on their own, then back to their places.
+        kept = np.repeat(~simple, limit - first)
+        place = np.flatnonzero(kept)
+        bounds = _running((limit - first)[odd])
+        starts = _block_starts(varints.number[kept], bounds[:-1], bounds[1:])
+        row = odd[np.searchsorted(bounds, starts, side="right") - 1]
+        at, count = place[starts], varints.number[place[starts]]
+        close[row[count == 0]] = at[count == 0]
+        row, at, count = row[count != 0], at[count != 0], count[count != 0]
+        items = at + 1 + (count < 0)
+        blocks.append((row, items, items + np.abs(count)))
+    fault = np.where(close < limit, _FINE, _TRUNCATED)
     if varints.broken.any():
-        before = _running(varints.broken)
-        upto = np.minimum(np.where(count == 0, first, end) + 1, last + 1)
-        intact &= before[upto] == before[first]
-    return intact, np.minimum(first + 1, end), end
-
-
-def _walk_blocks(varints: _Varints):
-    """Yield (rows, first item, end of items) until all blocks of all rows have
-    been seen: the intact single blocks at once, then one block of each other
-    row per round, up to its closing zero or its first fault. The last value is
-    the fault of each row."""
-    intact, first, end = _one_block(varints)
-    rows = np.flatnonzero(intact)
-    if rows.size:
-        yield rows, first[rows], end[rows]
-    here, limit = varints.of_row[:-1].copy(), varints.of_row[1:]
-    fault = np.full(here.size, _FINE, dtype=np.int32)
-    long_before = _running(varints.too_long) if varints.too_long.any() else None
-    broken_before = _running(varints.broken) if varints.broken.any() else None
-
-    def faults_in(rows, first, end):
-        """Fault of the varints first..end of each row, read in order."""
-        seen = np.minimum(end, limit[rows])
-        found = np.where(end > limit[rows], _TRUNCATED, _FINE)
-        if broken_before is not None:
-            found[broken_before[seen] > broken_before[first]] = _TRUNCATED
-        if long_before is not None:
-            found[long_before[seen] > long_before[first]] = _TOO_LONG
-        return found
-
-    rows = np.flatnonzero(~intact)
-    while rows.size:
-        found = faults_in(rows, here[rows], here[rows] + 1)
-        fault[rows] = found
-        rows = rows[found == _FINE]
-        count = varints.number[here[rows]]
-        rows, count = rows[count != 0], count[count != 0]
-        first = here[rows] + np.where(count < 0, 2, 1)
-        room = limit[rows] - here[rows] + 1
-        items = np.where((count > room) | (count < -room), room, np.abs(count))
-        found = faults_in(rows, here[rows] + 1, first + items)
-        fault[rows] = found
-        fine = found == _FINE
-        rows, first, end = rows[fine], first[fine], (first + items)[fine]
-        here[rows] = end
-        if rows.size:
-            yield rows, first, end
-    yield None, None, fault
+        bad = np.append(np.flatnonzero(varints.broken), varints.number.size)
+        stop = bad[np.searchsorted(bad, first)]
+        broken = stop < np.minimum(close + 1, limit)
+        too_long = np.append(varints.too_long, False)[stop]
+        fault[broken] = np.where(too_long, _TOO_LONG, _TRUNCATED)[broken]
+    row, items, end = (np.concatenate(parts) for parts in zip(*blocks, strict=True))
+    fine = fault[row] == _FINE
+    return row[fine], items[fine], np.maximum(items[fine], end[fine]), fault
 
 
 _SUM = T.StructType().add("sum", T.LongType()).add("error", T.StringType())
@@ -182,35 +186,23 @@ _MESSAGE = (
 
 def _sum_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     varints = _Varints(*_bytes_of(column))
+    row, first, end, fault = _read_lists(varints)
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        upto, total = _running(values), np.zeros(len(column), dtype=np.int64)
+        np.add.at(total, row, upto[end] - upto[first])
+        return total
+
     number = varints.number
-    if number.size == 0 or _far_from_overflow(number):
-        total, fault = _span_sums(varints, [number])
-        return total[0], fault
+    if not number.size or max(-int(number.min()), int(number.max())) * number.size < 2**62:
+        return sums(number), fault
     # Halves keep the running sums themselves from overflowing.
-    (low, high), fault = _span_sums(varints, [number & 0xFFFFFFFF, number >> 32])
+    low, high = sums(number & 0xFFFFFFFF), sums(number >> 32)
     high += low >> 32
     fault[(fault == _FINE) & (high != high.astype(np.int32))] = _OVERFLOW
     return (high << 32) | (low & 0xFFFFFFFF), fault
 
 
-def _far_from_overflow(number: np.ndarray) -> bool:
-    """Whether no sum over any of the numbers can leave 64 bits."""
-    largest = max(-int(number.min()), int(number.max()))
-    return largest * number.size < 2**62
-
-
-def _span_sums(varints: _Varints, values: list[np.ndarray]):
-    """Per row, the sum of each kind of value over the items of all blocks."""
-    running = [_running(v) for v in values]
-    sums = [np.zeros(varints.of_row.size - 1, dtype=np.int64) for _ in values]
-    for rows, first, end in _walk_blocks(varints):
-        if rows is None:
-            return sums, end
-        for total, upto in zip(sums, running, strict=True):
-            total[rows] += upto[end] - upto[first]
-    raise AssertionError("the walk ends with the faults")
-
-
 @_once(_SUM)
 def int_list_sum(column: pa.Array) -> pa.Array:
     total, fault = _sum_lists(column)
@@ -233,25 +225,17 @@ def int_list_sum_bytes(column: pa.Array) -> pa.Array:
 @_once(_LIST)
 def int_list(column: pa.Array) -> pa.Array:
     varints = _Varints(*_bytes_of(column))
+    row, first, end, fault = _read_lists(varints)
     edges = np.zeros(varints.number.size + 1, dtype=np.int64)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, end, -1)
     length = np.zeros(len(column), dtype=np.int64)
-    for rows, first, end in _walk_blocks(varints):
-        if rows is None:
-            fault = end
-        else:
-            edges[first] += 1
-            edges[end] -= 1
-            length[rows] += end - first
+    np.add.at(length, row, end - first)
     nulls = _nulls(column)
-    gone = nulls | (fault != _FINE)
-    is_item = np.cumsum(edges[:-1]) > 0
-    row_of = np.repeat(np.arange(len(column)), np.diff(varints.of_row))
-    is_item &= ~gone[row_of]
-    length[gone] = 0
     lists = pa.ListArray.from_arrays(
         pa.array(_running(length).astype(np.int32)),
-        pa.array(varints.number[is_item]),
-        mask=pa.array(gone),
+        pa.array(varints.number[np.cumsum(edges[:-1]) > 0]),
+        mask=pa.array(nulls | (fault != _FINE)),
     )
     return pa.StructArray.from_arrays([lists, _reasons(fault, nulls)], ["numbers", "error"])
 

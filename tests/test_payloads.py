@@ -170,6 +170,15 @@ def test_random_blocks(spark, engine):
     assert [(r["sum"], r["error"]) for r in sums] == [(sum(n), None) for n in lists]
 
 
+def test_a_payload_of_very_many_blocks(spark):
+    numbers = [i % 7 for i in range(200_000)]
+    payloads = [wire.put_list(numbers, [1, -2] * 66_666 + [2]), wire.put_list(numbers)]
+    payloads += [payloads[0][:-1], wire.put_list([5], [-1])]
+    row = [(sum(numbers), None)] * 2 + [(None, "truncated"), (5, None)]
+    found = by_row(P.sum_int_lists(payload_frame(spark, payloads, slices=1)))
+    assert [(r["sum"], r["error"]) for r in found] == row
+
+
 def damaged_payloads(seed, how_many):
     """Valid payloads, cut, with bytes changed, and plain noise."""
     dice = random.Random(seed)
