@@ -300,7 +300,7 @@ def _visits(members: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
         "node", "root", "shingles", F.lit(False).alias("visitor"),
     )
     sizes = places.select("cluster", "blocks", "chunks").distinct()
-    visiting = guests.join(sizes, "cluster").select(
+    visiting = guests.select("cluster", "node", "root", "shingles").join(sizes, "cluster").select(
         "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         chunk.alias("chunk"), "node", "root", "shingles", F.lit(True).alias("visitor"),
     )
