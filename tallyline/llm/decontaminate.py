@@ -128,6 +128,11 @@ def contamination(
             F.lit(length).alias("length"), at.alias("at"), value.alias("print")
         )
 
+    def spans(length: int) -> Column:
+        """All spans of the length, for short items."""
+        starts = _upto(F.size(words) - length + 1)
+        return F.transform(starts, lambda i: mark(length, i, _content(words, i, length)))
+
     fresh = F.filter(
         _upto(F.size(minima)),
         lambda i: (i % RUN == 0) | (F.get(minima, i) != F.get(minima, i - 1)),
@@ -136,8 +141,7 @@ def contamination(
     marks = [F.array(mark(0, F.lit(-1), F.xxhash64("row")))]
     marks.append(F.transform(fresh, lambda i: mark(window, i, F.get(minima, i))))
     for length in sorted(set(lengths) - {window}):
-        starts = _upto(F.size(words) - length + 1)
-        marks.append(F.transform(starts, lambda i, n=length: mark(n, i, _content(words, i, n))))
+        marks.append(spans(length))
     prints = windows.select("length", "print").distinct().withColumn("known", F.lit(True))
     found = (
         rows.withColumn("mark", F.explode(F.concat(*marks)))

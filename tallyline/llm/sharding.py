@@ -36,7 +36,11 @@ def _placed(nodes: DataFrame, shards: int, rows: int, blocks: int) -> DataFrame:
     # Ties fall differently in each piece, so that no shard is preferred by many.
     strength = F.struct("n", F.xxhash64("piece", "shard"), "shard")
     target = counts.groupBy("piece").agg(F.max(strength)["shard"].alias("target"))
-    wishes = nodes.join(target, "piece", "left")
+    # Unlinked rows are looked up under their own random number, which spreads them.
+    target = target.withColumnRenamed("piece", "group")
+    wishes = nodes.withColumn("group", F.coalesce("piece", "mark")).join(target, "group", "left")
+    linked = F.col("piece").isNotNull()
+    wishes = wishes.withColumn("target", F.when(linked, F.col("target"))).drop("group")
     kind = F.when(F.col("target").isNull(), 2).when(F.col("target") == F.col("shard"), 0)
     place = F.pmod(F.coalesce(F.xxhash64("piece", F.lit(1)), F.col("mark")), F.lit(blocks))
     wishes = (
@@ -109,6 +113,8 @@ def balanced_shards(
     groups = groups.filter((F.col("n") > 1) & F.col("text").isNotNull())
     cuts = F.ceil(F.col("n") / piece_rows)
     piece = F.xxhash64("text", F.pmod(F.col("mark"), cuts))
+    # A null text is looked up as the row's own random number, which no hash equals.
+    nodes = nodes.withColumn("text", F.coalesce("text", F.to_binary(F.hex("mark"), F.lit("hex"))))
     nodes = nodes.join(groups, "text", "left").select(
         "id", "size", "text_crc32", "mark", F.when(F.col("n") > 1, piece).alias("piece")
     )
