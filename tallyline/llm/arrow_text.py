@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 # Texts are worked on in pieces of about so many bytes; a longer text is a piece
 # of its own, and whole.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)

@@ -18,6 +18,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -385,7 +386,7 @@ def decode(rows: DataFrame, path: str, ids_column: str = "ids", into: str = "dec
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     @F.pandas_udf("string")
-    def shown(column: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def shown(column: pd.Series) -> pd.Series:
         table = shared.value
         return column.map(
             lambda ids: table.decode_bytes(np.asarray(ids, np.int64)).decode()
