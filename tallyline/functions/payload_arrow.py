@@ -101,6 +101,8 @@ class _Varints:
         whole = np.ones(end.size, dtype=bool)
         whole[before[cut]] = False
         self.too_long = (size > MAX_GROUPS) | (~whole & (size == MAX_GROUPS))
+        # Of the tenth byte only the lowest bit still fits 64 bits.
+        self.too_long |= (size == MAX_GROUPS) & (data[end] > 1)
         self.broken = ~whole | self.too_long
         self.number = _numbers_at(data, start, np.minimum(size, MAX_GROUPS))
 
@@ -256,7 +258,8 @@ class _Cursor:
         window = self.data[self.at[:, None] + np.arange(MAX_GROUPS)] < 0x80
         size = np.where(window.any(axis=1), window.argmax(axis=1) + 1, MAX_GROUPS + 1)
         room = self.end - self.at
-        self.fail((size > MAX_GROUPS) & (room >= MAX_GROUPS), _TOO_LONG)
+        beyond = (size == MAX_GROUPS) & (self.data[self.at + MAX_GROUPS - 1] > 1)
+        self.fail(((size > MAX_GROUPS) | beyond) & (room >= MAX_GROUPS), _TOO_LONG)
         self.fail(size > room, _TRUNCATED)
         size = np.where(self.fault == _FINE, size, 1)
         number = _numbers_at(self.data, self.at, size)

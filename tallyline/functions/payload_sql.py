@@ -109,7 +109,9 @@ def _number(piece: Column) -> Column:
     size = F.length(piece)
     first, second = byte_at(piece, 1).cast("bigint"), byte_at(piece, 2).cast("bigint")
     pair = first.bitwiseAND(F.lit(127)).bitwiseOR(F.shiftleft(second, 7))
-    intact = (size <= MAX_GROUPS) & (byte_at(piece, size) < 128)
+    # Of the tenth byte only the lowest bit still fits 64 bits.
+    over = (size == MAX_GROUPS) & (byte_at(piece, size) > 1)
+    intact = (size <= MAX_GROUPS) & (byte_at(piece, size) < 128) & ~over
     return (
         F.when(size == 1, F.when(first < 128, unzigzag(first)))
         .when(size == 2, F.when(second < 128, unzigzag(pair)))

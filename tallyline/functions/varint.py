@@ -87,6 +87,7 @@ def varint_value(text: Column, size: Column) -> Column:
 
 def varint_fault(text: Column, size: Column) -> Column:
     """Why the varint at the front cannot be read; NULL when it can."""
-    return F.when(size > MAX_GROUPS, F.lit(TOO_LONG)).when(
+    over = (size == MAX_GROUPS) & (byte_at(text, MAX_GROUPS) > 1)
+    return F.when((size > MAX_GROUPS) | over, F.lit(TOO_LONG)).when(
         size > F.length(text), F.lit(TRUNCATED)
     )

@@ -4,7 +4,8 @@ Offsets and record counts need running totals over a whole partition. A window
 over a partition would put all its rows in one task, so rows are first cut into
 blocks of neighbouring order numbers: blocks are counted with a partial
 aggregate, running totals run over the few block counts, and only rows of one
-block ever meet in a task.
+block ever meet in a task. Where order numbers are sparse, the range of each
+partition is cut into as many blocks as its rows need.
 """
 
 from __future__ import annotations
@@ -38,9 +39,24 @@ def _block_sizes(df: DataFrame) -> DataFrame:
 
 def with_offsets(df: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
     """Adds dense offsets 0, 1, 2, ... per partition in the order of a column
-    of unique whole numbers; a block then never holds more than ``block`` rows.
-    A row without partition or order number stays, without an offset."""
-    blocked = df.withColumn(_BLOCK, _block_of(order, block))
+    of unique whole numbers; a block holds about ``block`` rows, as far as the
+    numbers are spread evenly over their range. A row without partition or order
+    number stays, without an offset."""
+    span = F.col("_high").cast("double") - F.col("_low").cast("double") + 1
+    blocks = F.ceil(F.col("_n") / F.lit(block))
+    ranges = (
+        df.where(F.col(order).isNotNull())
+        .groupBy("partition")
+        .agg(
+            F.min(order).alias("_low"),
+            F.max(order).alias("_high"),
+            F.count(F.lit(1)).alias("_n"),
+        )
+        .select("partition", "_low", (span / blocks).alias("_width"))
+    )
+    place = (F.col(order).cast("double") - F.col("_low").cast("double")) / F.col("_width")
+    ranged = df.join(ranges, "partition", "left").withColumn(_BLOCK, F.floor(place))
+    blocked = ranged.drop("_low", "_width")
     starts = _block_sizes(blocked.where(F.col(_BLOCK).isNotNull())).drop("_rows")
     within = Window.partitionBy("partition", _BLOCK).orderBy(order)
     offset = (F.col("_before") + F.row_number().over(within) - 1).cast("bigint")

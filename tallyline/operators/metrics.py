@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars
+from tallyline.operators.layout import with_offsets
 
 # Fixed values of the reports.
 REPORT_SECONDS = 5
 REPORT_ROWS = 10_000
 LAG_LINE = "Group: %s | Total Lag: %d messages"
+NO_END_LINE = "Group: %s | Total Lag: unknown"
 NO_GROUP_LINE = "Group '%s' not found or has no offsets..."
 
 
@@ -47,27 +49,70 @@ def throughput_by(
     min_rows: int = REPORT_ROWS,
     min_seconds: float = REPORT_SECONDS,
 ) -> DataFrame:
-    """Records per second of each worker over the time it was seen, per window
-    if one is given; reported from ``min_rows`` and ``min_seconds`` on."""
-    keys = [F.col(by)] + ([F.window(ts, window)["start"].alias("window_start")] if window else [])
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), _elapsed(ts).alias("seconds"))
-        .where((F.col("n") >= min_rows) & (F.col("seconds") >= min_seconds))
-        .withColumn("per_sec", F.floor(F.try_divide("n", "seconds")).cast("bigint"))
+    """Records per second of each worker over the time it was seen; reported from
+    ``min_rows`` and ``min_seconds`` on. With ``window`` a worker reports at the end
+    of a window; if it has not reached both limits, its records are carried on into
+    its next window, and the report has the start of the first."""
+    rate = F.floor(F.try_divide("n", "seconds")).cast("bigint")
+    enough = (F.col("n") >= min_rows) & (F.col("seconds") >= min_seconds)
+    if window is None:
+        seen = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), _elapsed(ts).alias("seconds"))
+        return seen.where(enough).withColumn("per_sec", rate)
+    # One row per worker and window, then the windows of a worker in order.
+    counts = df.groupBy(by, F.window(ts, window)["start"].alias("window_start")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.unix_micros(F.min(ts)).alias("low"),
+        F.unix_micros(F.max(ts)).alias("high"),
+    )
+    parts = ("window_start", "n", "low", "high")
+    kept = counts.schema
+    row = ",".join(f"{name}:{kept[name].dataType.simpleString()}" for name in parts)
+    windows = F.array_sort(F.collect_list(F.struct(*parts)))
+
+    def add(state, now):
+        last = state["last"]
+        done = last.isNull() | (
+            (last["n"] >= min_rows) & (last["high"] - last["low"] >= min_seconds * 1e6)
+        )
+        carried = F.struct(
+            last["window_start"].alias("window_start"), (last["n"] + now["n"]).alias("n"),
+            last["low"].alias("low"), now["high"].alias("high"),
+        )
+        finished = F.when(done & last.isNotNull(), F.array(last)).otherwise(
+            F.array().cast(f"array<struct<{row}>>")
+        )
+        return F.struct(
+            F.concat(state["reports"], finished).alias("reports"),
+            F.when(done, now).otherwise(carried).alias("last"),
+        )
+
+    start = F.struct(
+        F.array().cast(f"array<struct<{row}>>").alias("reports"),
+        F.lit(None).cast(f"struct<{row}>").alias("last"),
+    )
+    reports = F.aggregate(
+        windows, start, add, lambda s: F.concat(s["reports"], F.array(s["last"]))
     )
+    found = counts.groupBy(by).agg(reports.alias("_reports"))
+    found = found.select(by, F.explode("_reports").alias("_r")).select(
+        by, "_r.window_start", "_r.n",
+        ((F.col("_r.high") - F.col("_r.low")).cast("double") / F.lit(1e6)).alias("seconds"),
+    )
+    return found.where(enough).withColumn("per_sec", rate)
 
 
 def throughput_per_rows(
     df: DataFrame, rows: int = REPORT_ROWS, ts: str = "timestamp"
 ) -> DataFrame:
-    """A report after every ``rows`` records of a partition, by offset."""
+    """A report after every ``rows`` records of a partition, in the order of
+    offsets, which may have gaps."""
+    numbered = with_offsets(df.withColumn("_given", F.col("offset")), order="_given")
     report = F.call_function("div", F.col("offset"), F.lit(rows)).alias("report")
     return (
-        df.groupBy("partition", report)
+        numbered.groupBy("partition", report)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.max("offset").alias("last_offset"),
+            F.max("_given").alias("last_offset"),
             _elapsed(ts).alias("seconds"),
         )
         .where(F.col("n") == rows)
@@ -149,7 +194,9 @@ def consumer_lag(
 def lag_lines(lag: DataFrame) -> DataFrame:
     known = F.format_string(LAG_LINE, F.col("group"), F.col("total_lag"))
     unknown = F.format_string(NO_GROUP_LINE, F.col("group"))
-    return lag.withColumn("line", F.when(F.col("found"), known).otherwise(unknown))
+    no_end = F.format_string(NO_END_LINE, F.col("group"))
+    found = F.when(F.col("total_lag").isNull(), no_end).otherwise(known)
+    return lag.withColumn("line", F.when(F.col("found"), found).otherwise(unknown))
 
 
 def count_rows(df: DataFrame, by: tuple[str, ...] = ("topic", "partition")) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-_LIST = (
-    "list_slice([l_linenumber::BIGINT, l_quantity::BIGINT, l_suppkey, l_partkey, l_orderkey], "
-    "1, least(l_linenumber, 5))"
-)
+_LIST = "[l_linenumber::BIGINT, l_quantity::BIGINT, l_suppkey, l_partkey, l_orderkey]"
 _LINE_SUMS = f"SELECT l_orderkey, list_sum({_LIST})::BIGINT AS sum FROM lineitem"
 _ITEMS = f"""
     SELECT l_orderkey, l_linenumber, (pos - 1)::INTEGER AS pos, numbers[pos]::BIGINT AS item
@@ -198,11 +195,31 @@ ORACLES: dict[str, str] = {
         HAVING count(*) >= 100 AND {_EVENTS_ELAPSED} >= 5
     """,
     "throughput_by_worker_daily": f"""
-        SELECT {_PARTITION} AS partition, date_trunc('day', ts)::TIMESTAMP AS window_start,
-               count(*)::BIGINT AS n, {_EVENTS_ELAPSED} AS seconds,
-               floor(count(*) / ({_EVENTS_ELAPSED}))::BIGINT AS per_sec
-        FROM events GROUP BY 1, 2
-        HAVING count(*) >= 2 AND {_EVENTS_ELAPSED} >= 5
+        WITH RECURSIVE days AS (
+            SELECT {_PARTITION} AS partition, date_trunc('day', ts)::TIMESTAMP AS day,
+                   count(*) AS n, epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high,
+                   row_number() OVER (PARTITION BY {_PARTITION}
+                                      ORDER BY min(ts)) AS place
+            FROM events GROUP BY 1, 2
+        ), run AS (
+            SELECT *, n >= 2 AND high - low >= 5000000 AS done FROM days WHERE place = 1
+            UNION ALL
+            SELECT *, n >= 2 AND high - low >= 5000000 AS done FROM (
+                SELECT d.partition, CASE WHEN r.done THEN d.day ELSE r.day END AS day,
+                       CASE WHEN r.done THEN d.n ELSE r.n + d.n END AS n,
+                       CASE WHEN r.done THEN d.low ELSE r.low END AS low, d.high, d.place
+                FROM run r JOIN days d ON d.partition = r.partition AND d.place = r.place + 1
+            )
+        )
+        SELECT partition, day AS window_start, n::BIGINT AS n,
+               (high - low)::DOUBLE / 1e6 AS seconds,
+               floor(n / ((high - low)::DOUBLE / 1e6))::BIGINT AS per_sec
+        FROM run WHERE done
+    """,
+    "throughput_every_100_by_gaps": f"""
+        SELECT partition, ("offset" // 100)::BIGINT AS report, count(*)::BIGINT AS n,
+               max(event_id)::BIGINT AS last_offset, {_EVENTS_ELAPSED} AS seconds
+        FROM ({_DENSE}) GROUP BY 1, 2 HAVING count(*) = 100
     """,
     "throughput_every_100": f"""
         SELECT partition, ("offset" // 100)::BIGINT AS report, count(*)::BIGINT AS n,

@@ -23,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream of its files."""
+    """A given table, one file or a folder of files, as a stream of its files."""
     batch = table(spark, sf_dir, name)
-    files = spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet")
-    return files.parquet(sf_dir)
+    # As a pattern, since the stream source takes no path of a single file.
+    return spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def instant(ts: str) -> Column:
@@ -52,8 +52,7 @@ def _record(df: DataFrame, topic: str, *extra: str, **columns: Column) -> DataFr
 
 
 def lineitem_lists(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """A list per line: the first ``l_linenumber`` of five whole numbers.
-    Offsets grow with the file order, with gaps between the scan's tasks."""
+    """A list per line: its five whole numbers. Offsets grow with the file order, with gaps between the scan's tasks."""
     lines = table(spark, sf_dir, "lineitem")
     five = F.array(
         F.col("l_linenumber").cast("bigint"),
@@ -62,7 +61,7 @@ def lineitem_lists(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         F.col("l_partkey"),
         F.col("l_orderkey"),
     )
-    lines = lines.withColumn("numbers", F.slice(five, F.lit(1), F.least("l_linenumber", F.lit(5))))
+    lines = lines.withColumn("numbers", five)
     return _record(
         lines,
         "lists",

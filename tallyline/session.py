@@ -10,13 +10,15 @@ from pyspark.sql import SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 # Worth setting on any cluster that runs the Arrow codecs and writes topic
-# tables. Python workers keep the memory of one batch for the next, in place of
+# tables. A batch of payloads is small, as decoding one needs several times its
+# size; Python workers keep the memory of one batch for the next, in place of
 # handing it back; a task keeps the files of several partitions open, so that
 # it need not sort its rows first; times are stored with statistics that
 # filters can use.
 SETTINGS = {
     "spark.executorEnv.MALLOC_TRIM_THRESHOLD_": str(128 << 20),
     "spark.executorEnv.MALLOC_MMAP_THRESHOLD_": str(32 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.maxConcurrentOutputFileWriters": "32",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }

@@ -87,10 +87,16 @@ def gen_messages_stream(
     """Messages without end. With ``start_millis`` the clock is simulated: each
     micro-batch adds ``per_batch`` rows and moves the time by one step."""
     if start_millis is None:
-        rows = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        step = int(every_seconds)
-        rows = rows.where(F.col("value") % step == 0)
-        rows = rows.withColumn("value", F.call_function("div", F.col("value"), F.lit(step)))
+        # Ticks at least as often as messages; the first tick of each step is one.
+        step = max(1, round(every_seconds * 1000))
+        ticks = max(1, -(-1000 // step))
+        rows = spark.readStream.format("rate").option("rowsPerSecond", ticks).load()
+
+        def number(tick):
+            return F.call_function("div", tick * 1000, F.lit(step * ticks))
+
+        now, before = number(F.col("value")), number(F.col("value") - 1)
+        rows = rows.where((F.col("value") == 0) | (now != before)).withColumn("value", now)
         event_time = epoch_seconds(F.col("timestamp"))
     else:
         rows = (

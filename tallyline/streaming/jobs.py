@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -89,9 +89,9 @@ def latest_windows(spark: SparkSession, out: str) -> DataFrame:
     except AnalysisException as problem:
         never_written(problem)
         return spark.createDataFrame([], schema)
-    newest = Window.partitionBy("window_start").orderBy(F.col("batch").desc())
-    ranked = stored.withColumn("_rank", F.row_number().over(newest))
-    return ranked.where("_rank = 1").drop("_rank", "batch")
+    newest = F.max(F.struct("batch", "n", "per_sec", "rate")).alias("_last")
+    last = stored.groupBy("window_start").agg(newest)
+    return last.select("window_start", "_last.n", "_last.per_sec", "_last.rate")
 
 
 def start_message_feed(
@@ -122,15 +122,19 @@ def start_lag_monitor(
     groups: DataFrame | None = None,
     report: Callable[[DataFrame], None] | None = None,
     every: str = LAG_EVERY,
+    name: str = "lag_monitor",
 ) -> StreamingQuery:
-    """Looks at both offset tables at a fixed pace and reports the lag."""
+    """Looks at both offset tables at a fixed pace and reports the lag. Without
+    ``report`` the lines are printed, which is meant for a few named groups."""
 
     def look(_: DataFrame, __: int) -> None:
         lag = lag_lines(consumer_lag(committed(), ends(), groups))
         (report or _print_lines)(lag)
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return ticks.writeStream.foreachBatch(look).trigger(processingTime=every).start()
+    place = f"{checkpoint_path(spark, name, 'lag_monitor')}/progress"
+    writer = ticks.writeStream.foreachBatch(look).option("checkpointLocation", place)
+    return writer.trigger(processingTime=every).start()
 
 
 def _print_lines(lag: DataFrame) -> None:

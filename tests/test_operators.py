@@ -253,3 +253,39 @@ def test_partition_of_a_key(spark):
         homes.setdefault(row["key"] and bytes(row["key"]), set()).add(row["partition"])
     assert len(homes.pop(None)) == 6
     assert all(len(home) == 1 for home in homes.values())
+
+
+def test_reports_over_offsets_with_gaps(spark):
+    """Offsets as the engine's own sink gives them: gaps between its tasks."""
+    df = spark.range(800).select(
+        (F.col("id") % 8).cast("int").alias("partition"),
+        (F.col("id") * 8589934592 + F.col("id")).alias("offset"),
+        F.timestamp_seconds("id").alias("timestamp"),
+    )
+    rows = metrics.throughput_per_rows(df, rows=10).collect()
+    assert len(rows) == 80
+    assert all(r["n"] == 10 and r["seconds"] == 72.0 for r in rows)
+
+
+def test_small_windows_are_carried_on(spark):
+    """A window below the limits reports together with the next ones."""
+    seconds = [0, 10, 70, 130, 140, 150, 190, 250]
+    df = timed(spark, seconds, worker=[7] * len(seconds))
+    rows = metrics.throughput_by(df, "worker", window="1 minute", min_rows=3, min_seconds=5)
+    found = [(r["window_start"].minute, r["n"], r["seconds"]) for r in rows.collect()]
+    assert sorted(found) == [(0, 3, 70.0), (2, 3, 20.0)]
+
+
+def test_hashed_order_numbers_make_few_blocks(spark):
+    df = spark.range(4000).select(
+        F.lit(0).alias("partition"), F.xxhash64("id").alias("order")
+    )
+    found = layout.with_offsets(df, "order", 500)
+    assert [r["offset"] for r in found.orderBy("order").collect()] == list(range(4000))
+    plan = found._jdf.queryExecution().toString()
+    assert "_width" in plan
+
+
+def test_lag_without_an_end_has_its_own_line(spark):
+    lag = spark.createDataFrame([("g", None, True)], "group string, total_lag long, found boolean")
+    assert metrics.lag_lines(lag).first()["line"] == "Group: g | Total Lag: unknown"

@@ -334,3 +334,15 @@ def test_quarantine_split(spark):
 def test_unknown_engine(spark):
     with pytest.raises(ValueError, match="engine"):
         P.decode_sums(payload_frame(spark, [b""]), engine="c")
+
+
+@pytest.mark.parametrize("engine", ENGINES)
+def test_numbers_beyond_64_bits(spark, engine):
+    """Ten bytes can hold 70 bits; what does not fit is no number."""
+    most, over = b"\xff" * 9 + b"\x01", b"\xff" * 9 + b"\x02"
+    sums = by_row(P.decode_sums(payload_frame(spark, [most, over]), engine=engine))
+    assert [(r["sum"], r["error"]) for r in sums] == [(-(2**63), None), (None, "varint_too_long")]
+    lists = payload_frame(spark, [b"\x02" + most + b"\x00", b"\x02" + over + b"\x00"])
+    found = by_row(P.decode_int_lists(lists, engine=engine))
+    assert [r["error"] for r in found] == [None, "varint_too_long"]
+    assert found[0]["numbers"] == [-(2**63)] and found[1]["numbers"] is None

@@ -291,3 +291,20 @@ def test_backlog_run(spark):
     assert {r[0] for r in partitions} <= {0, 1, 2}
     row = jobs.run_row(spark, result, "local").first()
     assert row["total"] == 5000 and row["per_sec"] > 0
+
+
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    from tallyline.plans.tables import table_stream
+
+    spark.range(30).repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/part")
+    (one,) = (tmp_path / "part").glob("part-*.parquet")
+    one.rename(tmp_path / "single.parquet")
+    for name, rows in (("many", 30), ("single", 5)):
+        stream = table_stream(spark, str(tmp_path), name)
+        query = (
+            stream.writeStream.format("memory").queryName(f"rows_of_{name}")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        assert spark.table(f"rows_of_{name}").count() == rows

@@ -27,6 +27,8 @@ def take(payload: bytes, at: int) -> tuple[int, int]:
         if at + group >= len(payload):
             raise Broken("truncated")
         byte = payload[at + group]
+        if group == 9 and byte > 1:  # beyond 64 bits
+            break
         folded += (byte % 128) * 128**group
         if byte < 128:
             folded %= WRAP
