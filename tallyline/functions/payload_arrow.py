@@ -27,12 +27,40 @@ from tallyline.functions.varint import MAX_GROUPS, TOO_LONG, TRUNCATED
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+PIECE = 4 << 20  # payload bytes that are decoded at once
+
+
 def _once(returns: T.DataType):
     """An Arrow function that Spark must not compute twice for one row, which it
     would do to test ``error`` below a projection that uses the other fields."""
     return lambda body: F.arrow_udf(returns)(body).asNondeterministic()
 
 
+def _pieces(bounds: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Runs of rows of about ``size`` bytes; a longer row is a run by itself."""
+    marks = np.arange(size, bounds[-1], size)
+    after = np.searchsorted(bounds, marks, side="right")
+    edges = np.unique(np.concatenate(([0], after - 1, after, [bounds.size - 1])))
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+def _decoder(returns: T.DataType):
+    """A function over payloads that takes a batch piece by piece. Decoding needs
+    many times the size of its input, so the size of a piece bounds its memory,
+    whatever the session allows a batch; only a single longer payload goes beyond."""
+
+    def wrap(body):
+        def decode(column: pa.Array) -> pa.Array:
+            pieces = _pieces(_bytes_of(column)[1], PIECE)
+            if len(pieces) < 2:
+                return body(column)
+            return pa.concat_arrays([body(column.slice(a, b - a)) for a, b in pieces])
+
+        return _once(returns)(decode)
+
+    return wrap
+
+
 REASONS = [TRUNCATED, TOO_LONG, NEGATIVE_LENGTH, INVALID_UTF8, SUM_OVERFLOW]
 _TRUNCATED, _TOO_LONG, _NEGATIVE, _UTF8, _OVERFLOW = range(5)
 _FINE = -1
@@ -205,7 +233,7 @@ def _sum_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (high << 32) | (low & 0xFFFFFFFF), fault
 
 
-@_once(_SUM)
+@_decoder(_SUM)
 def int_list_sum(column: pa.Array) -> pa.Array:
     total, fault = _sum_lists(column)
     nulls = _nulls(column)
@@ -215,7 +243,7 @@ def int_list_sum(column: pa.Array) -> pa.Array:
     )
 
 
-@_once(_ENCODED)
+@_decoder(_ENCODED)
 def int_list_sum_bytes(column: pa.Array) -> pa.Array:
     """The sum already encoded: the whole work of the stream sum in one call."""
     total, fault = _sum_lists(column)
@@ -224,7 +252,7 @@ def int_list_sum_bytes(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([sums, _reasons(fault, nulls)], ["value", "error"])
 
 
-@_once(_LIST)
+@_decoder(_LIST)
 def int_list(column: pa.Array) -> pa.Array:
     varints = _Varints(*_bytes_of(column))
     row, first, end, fault = _read_lists(varints)
@@ -290,19 +318,26 @@ class _Cursor:
             return self._valid_text(raw)
 
     def _valid_text(self, raw: pa.Array) -> pa.Array:
-        """Row by row, only for a batch that holds bytes that are no UTF-8."""
+        """For a batch that holds bytes that are no UTF-8: halved again and again,
+        until such rows stand alone."""
         texts, wrong = [], np.zeros(len(raw), dtype=bool)
-        for row, content in enumerate(raw.to_pylist()):
+        spans = [(0, len(raw))]
+        while spans:
+            begin, end = spans.pop()
             try:
-                texts.append(content.decode("utf-8"))
-            except UnicodeDecodeError:
-                texts.append("")
-                wrong[row] = True
+                texts.append(raw.slice(begin, end - begin).cast(pa.large_string()))
+            except pa.ArrowInvalid:
+                if end - begin == 1:
+                    wrong[begin] = True
+                    texts.append(pa.array([""], pa.large_string()))
+                else:
+                    middle = (begin + end) // 2
+                    spans += [(middle, end), (begin, middle)]
         self.fail(wrong, _UTF8)
-        return pa.array(texts, pa.string())
+        return pa.concat_arrays(texts).cast(pa.string())
 
 
-@_once(_MESSAGE)
+@_decoder(_MESSAGE)
 def message(column: pa.Array) -> pa.Array:
     cursor = _Cursor(*_bytes_of(column))
     message_id, event_time, content = cursor.varint(), cursor.double(), cursor.text()
@@ -320,7 +355,7 @@ def message(column: pa.Array) -> pa.Array:
     )
 
 
-@_once(_SUM)
+@_decoder(_SUM)
 def leading_number(column: pa.Array) -> pa.Array:
     cursor = _Cursor(*_bytes_of(column))
     number = cursor.varint()

@@ -69,10 +69,11 @@ def with_offsets(df: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
 
 def first_records(df: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     """Exactly the first ``n`` records of a topic in the order of partition and
-    offset, gaps allowed. One block is cut; all others are taken or left whole
-    by conditions on partition and offset that reach the file scan."""
-    sizes = _block_sizes(df.withColumn(_BLOCK, _block_of("offset", block)))
-    totals = df.groupBy("partition").agg(F.count(F.lit(1)).alias("_total"))
+    offset, gaps allowed. The place of the cut is found from offsets alone, within
+    one block; payloads are only filtered, by conditions that reach the file scan."""
+    places = df.select("partition", "offset")
+    sizes = _block_sizes(places.withColumn(_BLOCK, _block_of("offset", block)))
+    totals = sizes.groupBy("partition").agg(F.sum("_rows").alias("_total"))
     ahead = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(ahead), F.lit(0)))
     counted = sizes.join(totals, "partition").withColumn(
@@ -83,6 +84,11 @@ def first_records(df: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
         return df if n > 0 else df.limit(0)
     same = F.col("partition") == cut["partition"]
     start, end = cut[_BLOCK] * block, (cut[_BLOCK] + 1) * block
-    whole = df.where((F.col("partition") < cut["partition"]) | (same & (F.col("offset") < start)))
-    partial = df.where(same & (F.col("offset") >= start) & (F.col("offset") < end))
-    return whole.unionByName(partial.orderBy("offset").limit(n - cut["_done"]))
+    inside = places.where(same & (F.col("offset") >= start) & (F.col("offset") < end))
+    taken = inside.orderBy("offset").limit(n - cut["_done"])
+    last = taken.groupBy("offset").count().orderBy(F.desc("offset")).first()
+    # A repeated record can stand at the cut; of its copies only some are taken.
+    before = F.col("offset") < last["offset"]
+    whole = df.where((F.col("partition") < cut["partition"]) | (same & before))
+    edge = df.where(same & (F.col("offset") == last["offset"]))
+    return whole.unionByName(edge.limit(last["count"]))

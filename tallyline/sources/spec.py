@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 # Names and defaults of the environment settings, and the client
@@ -24,6 +24,7 @@ DEFAULT_LIST_TOPIC = "integer-list-input-avro"
 DEFAULT_SUM_TOPIC = "integer-sum-output-avro"
 DEFAULT_PARTITIONS = 12
 FETCH_MIN_BYTES = 1_000_000
+FIRST, LAST = -2, -1  # a partition's first record, and the end of its last
 DELIVERY = {
     "best_effort": {
         "kafka.acks": "0",
@@ -92,9 +93,19 @@ def offsets_json(topic: str, offsets: Offsets) -> str:
     return json.dumps({topic: {str(p): int(o) for p, o in sorted(offsets.items())}})
 
 
+def _for_all(spec: TopicSpec, partitions: Iterable[int], given: Offsets, rest: int) -> str:
+    """Offsets for every partition that is read, as Spark asks for. As in the table
+    form, a partition that has none of its own is read whole."""
+    named = sorted(set(partitions) | set(given))
+    return offsets_json(spec.topic, {p: given.get(p, rest) for p in named})
+
+
 def stream_read_options(spec: TopicSpec) -> dict[str, str]:
-    """Options of a continuing subscription at a broker."""
-    start = spec.start if isinstance(spec.start, str) else offsets_json(spec.topic, spec.start)
+    """Options of a continuing subscription at a broker; a start given by offsets
+    covers all of ``spec.partitions``."""
+    start = spec.start
+    if not isinstance(start, str):
+        start = _for_all(spec, range(spec.partitions), start, FIRST)
     options = {
         "kafka.bootstrap.servers": spec.servers,
         "subscribe": spec.topic,
@@ -114,22 +125,19 @@ def batch_read_options(
     end: Offsets | None = None,
 ) -> dict[str, str]:
     """Options of a bounded read at a broker. Partitions without an offset of
-    their own are read from the first (-2) to the last (-1) record."""
+    their own are read from the first to the last record."""
     options = {"kafka.bootstrap.servers": spec.servers}
-    named = sorted(set(partitions or []) | set(start or {}) | set(end or {}))
-    if partitions is not None:
-        named = sorted(partitions)
-        options["assign"] = json.dumps({spec.topic: named})
-    else:
+    if partitions is None:
         options["subscribe"] = spec.topic
-    options["startingOffsets"] = (
-        offsets_json(spec.topic, {p: (start or {}).get(p, -2) for p in named})
-        if start
-        else "earliest"
-    )
-    options["endingOffsets"] = (
-        offsets_json(spec.topic, {p: (end or {}).get(p, -1) for p in named}) if end else "latest"
-    )
+        read = set(range(spec.partitions))
+    else:
+        read = set(partitions)
+        options["assign"] = json.dumps({spec.topic: sorted(read)})
+        start, end = (
+            {p: o for p, o in (given or {}).items() if p in read} for given in (start, end)
+        )
+    options["startingOffsets"] = _for_all(spec, read, start, FIRST) if start else "earliest"
+    options["endingOffsets"] = _for_all(spec, read, end, LAST) if end else "latest"
     return {**options, **spec.options}
 
 

@@ -89,7 +89,7 @@ def latest_windows(spark: SparkSession, out: str) -> DataFrame:
     except AnalysisException as problem:
         never_written(problem)
         return spark.createDataFrame([], schema)
-    newest = F.max(F.struct("batch", "n", "per_sec", "rate")).alias("_last")
+    newest = F.max_by(F.struct("n", "per_sec", "rate"), "batch").alias("_last")
     last = stored.groupBy("window_start").agg(newest)
     return last.select("window_start", "_last.n", "_last.per_sec", "_last.rate")
 

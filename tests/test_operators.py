@@ -244,6 +244,24 @@ def test_first_records(spark, n, block):
     assert sorted(tuple(r) for r in found) == sorted(rows)[:n]
 
 
+def test_first_records_with_repeats(spark):
+    rows = [(0, 1), (0, 2), (0, 2), (0, 2), (1, 0)]
+    df = spark.createDataFrame(rows, "partition int, offset bigint")
+    for n in range(6):
+        found = layout.first_records(df, n, 2).collect()
+        assert sorted(tuple(r) for r in found) == rows[:n]
+
+
+def test_first_records_sorts_no_payloads(spark, tmp_path):
+    df = spark.range(1000).selectExpr("0 AS partition", "id AS offset", "'x' AS value")
+    df.write.parquet(str(tmp_path / "topic"))
+    first = layout.first_records(spark.read.parquet(str(tmp_path / "topic")), 700, 100)
+    text = first._jdf.queryExecution().toString()
+    assert first.count() == 700
+    assert "TakeOrderedAndProject" not in text and "Sort" not in text
+    assert "LessThan(offset,699)" in text
+
+
 def test_partition_of_a_key(spark):
     rows = [(i, None if i % 5 == 0 else b"k%d" % (i % 11)) for i in range(400)]
     df = layout.with_partition(spark.createDataFrame(rows, "i bigint, key binary"), 6, "key", "i")

@@ -6,13 +6,21 @@ from __future__ import annotations
 import math
 import random
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import wire
 from pyspark.sql import functions as F
 
+from tallyline.functions import payload_arrow
 from tallyline.operators import payloads as P
 
+ROOT = Path(__file__).resolve().parents[1]
+
 ENGINES = ["arrow", "sql"]
 INT64 = (-(2**63), 2**63 - 1)
 
@@ -346,3 +354,49 @@ def test_numbers_beyond_64_bits(spark, engine):
     found = by_row(P.decode_int_lists(lists, engine=engine))
     assert [r["error"] for r in found] == [None, "varint_too_long"]
     assert found[0]["numbers"] == [-(2**63)] and found[1]["numbers"] is None
+
+
+_MEMORY = """
+import resource, struct, sys
+import pyarrow as pa
+from tallyline.functions import payload_arrow as A
+
+if sys.argv[1] == "lists":
+    payload, decode = bytes([0xFA, 0x0F]) + b"\\x02" * 1021 + b"\\x00", A.int_list_sum.func
+else:
+    payload = b"\\x02" + struct.pack("<d", 1.5) + bytes([0xEA, 0x0F]) + b"x" * 1013
+    decode = A.message.func
+column = pa.array([payload] * (1 << 16), pa.binary())
+decode(column.slice(0, 1000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = decode(column)
+more = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+assert len(found) == 1 << 16 and found.field("error").null_count == 1 << 16
+print(more >> 10)
+"""
+
+
+@pytest.mark.parametrize("kind", ["lists", "messages"])
+def test_memory_of_a_batch_of_64_mib(kind):
+    run = subprocess.run(
+        [sys.executable, "-c", _MEMORY, kind], cwd=ROOT, capture_output=True, text=True, check=True
+    )
+    assert int(run.stdout) < 512
+
+
+def test_pieces_of_a_batch():
+    bounds = np.array([0, 3, 3, 5, 30, 31, 32, 40])
+    for size in (1, 4, 10, 39, 40, 100):
+        pieces = payload_arrow._pieces(bounds, size)
+        assert [a for a, _ in pieces] == [0] + [b for _, b in pieces[:-1]]
+        assert pieces[-1][1] == 7
+        assert all(b - a == 1 or bounds[b] - bounds[a] <= size for a, b in pieces)
+    assert payload_arrow._pieces(np.array([0]), 4) == []
+
+
+def test_bad_text_among_good():
+    texts = [b"ok", b"\xff", "ä".encode(), b"", b"\xc3", b"end"]
+    payloads = [b"\x02" + struct.pack("<d", 1.0) + bytes([2 * len(t)]) + t for t in texts]
+    found = payload_arrow.message.func(pa.array(payloads, pa.binary())).to_pylist()
+    assert [r["content"] for r in found] == ["ok", None, "ä", "", None, "end"]
+    assert [r["error"] is None for r in found] == [True, False, True, True, False, True]

@@ -56,7 +56,9 @@ def test_subscription_options():
 
 
 def test_explicit_first_offsets_and_extra_options():
-    named = TopicSpec("t", servers="h", start={1: 7, 0: -2}, options={"minPartitions": "64"})
+    named = TopicSpec(
+        "t", servers="h", start={1: 7, 0: -2}, options={"minPartitions": "64"}, partitions=2
+    )
     options = spec.stream_read_options(named)
     assert json.loads(options["startingOffsets"]) == {"t": {"0": -2, "1": 7}}
     assert options["minPartitions"] == "64"
@@ -75,6 +77,19 @@ def test_bounded_read_options():
     assert json.loads(part["endingOffsets"]) == {"t": {"0": -1, "2": 9}}
 
 
+def test_offsets_of_some_partitions():
+    """Spark wants all partitions of a topic named; the others are read whole."""
+    three = TopicSpec("t", servers="h", start={1: 7}, partitions=3)
+    options = spec.stream_read_options(three)
+    assert json.loads(options["startingOffsets"]) == {"t": {"0": -2, "1": 7, "2": -2}}
+    part = spec.batch_read_options(three, start={1: 7}, end={0: 3})
+    assert part["subscribe"] == "t"
+    assert json.loads(part["startingOffsets"]) == {"t": {"0": -2, "1": 7, "2": -2}}
+    assert json.loads(part["endingOffsets"]) == {"t": {"0": 3, "1": -1, "2": -1}}
+    one = spec.batch_read_options(three, partitions=[1], start={0: 5, 1: 7})
+    assert json.loads(one["startingOffsets"]) == {"t": {"1": 7}}
+
+
 @pytest.mark.parametrize(
     ("delivery", "acks", "idempotent"),
     [("best_effort", "0", "false"), ("leader", "1", "false"), ("durable", "all", "true")],
