@@ -10,7 +10,9 @@ with the windows of the items.
 
 All of it is DataFrame functions, and each document passes once: the row that
 stands for the document itself goes through the joins with its fingerprints, so
-the texts are not read again for the result.
+the texts are not read again for the result. Where the items have too many windows
+to be sent to all executors, the hashed words are written once and looked up again
+for the fingerprints that hit.
 """
 
 from __future__ import annotations
@@ -143,12 +145,18 @@ def contamination(
     for length in sorted(set(lengths) - {window}):
         marks.append(spans(length))
     prints = windows.select("length", "print").distinct().withColumn("known", F.lit(True))
+    if not few:
+        # Only fingerprints are dealt by key then; the words follow for hits alone.
+        rows = stored(rows, "word_hashes")
+    marked = rows.withColumn("mark", F.explode(F.concat(*marks)))
+    texts = ["id", "words", "minima"]
     found = (
-        rows.withColumn("mark", F.explode(F.concat(*marks)))
-        .select("row", "id", "words", "minima", "mark.*")
+        marked.select("row", *(texts if few else []), "mark.*")
         .join(hint(prints), ["length", "print"], "left")
         .filter((F.col("length") == 0) | F.col("known"))
     )
+    if not few:
+        found = found.join(rows, "row")
 
     # From a fingerprint to the windows it stands for.
     last = F.least(F.col("at") + (RUN - 1) - F.col("at") % RUN, F.size(minima) - 1)
