@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.scalars import epoch_seconds
 from tallyline.operators.metrics import throughput
 from tallyline.operators.payloads import (
     decode_messages,
@@ -21,7 +20,7 @@ from tallyline.operators.payloads import (
     resum_int_lists,
     with_defaults,
 )
-from tallyline.operators.transforms import format_report, with_latency
+from tallyline.operators.transforms import format_report, receipt_time, with_latency
 from tallyline.sources.generators import gen_int_lists
 from tallyline.sources.spec import TopicSpec
 from tallyline.sources.topics import read_topic_batch, write_topic
@@ -63,7 +62,7 @@ def message_monitor(
     and reason and have no report."""
     decoded = decode_messages(drop_null_values(df), engine=engine)
     if policy is not None:
-        at = epoch_seconds(F.col("timestamp")) if received is None else received
+        at = receipt_time(df) if received is None else received
         decoded = with_defaults(decoded.withColumn("received_time", at), policy)
     reported = format_report(with_latency(decoded, received), style)
     return reported.select(

@@ -52,7 +52,7 @@ _MONITOR = f"""
            CASE WHEN event_type <> 'signup' THEN event_id END AS message_id,
            CASE WHEN event_type <> 'signup' THEN {_SECONDS} END AS event_time,
            CASE WHEN event_type <> 'signup' THEN {_CONTENT} END AS content,
-           CASE WHEN event_type <> 'signup' THEN {_SECONDS} - {_SECONDS} END AS latency,
+           CASE WHEN event_type <> 'signup' THEN {_SECONDS} + event_id % 10 - {_SECONDS} END AS latency,
            CASE WHEN event_type = 'signup' THEN 'truncated' END AS error
     FROM events
 """

@@ -180,6 +180,18 @@ def test_monitor_with_a_policy_keeps_whole_messages(spark, policy):
     assert (seen["message_id"], seen["event_time"], seen["latency"]) == (4, 5.0, 3.0)
 
 
+def test_receipt_is_the_time_of_the_broker_or_the_clock(spark):
+    row = (b"", wire.put_message(4, 5.0, "x"), 0, 0, None)
+    df = spark.createDataFrame([row], SCHEMA).withColumn("topic", F.lit("in"))
+    df = df.withColumn("timestamp", F.timestamp_seconds(F.lit(8)))
+    for kind, near in ((1, 8.0), (0, time.time())):
+        timed = df.withColumn("timestampType", F.lit(kind))
+        for policy in (None, "zero"):
+            seen = jobs.message_monitor(timed, policy=policy).first()
+            assert abs(seen["received_time"] - near) < 60
+            assert seen["latency"] == seen["received_time"] - 5.0
+
+
 def test_result_tail(spark):
     source, sink = topic(spark, "tail", max_files_per_batch=1)
     rows = spark.range(90).select(
