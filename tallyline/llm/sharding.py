@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.graph import stored
@@ -29,6 +29,13 @@ PIECE_ROWS = 20_000  # members that move as one at most
 BLOCK_ROWS = 20_000  # rows that are sorted together, about
 
 
+def _block(blocks: int) -> Column:
+    """The block a row is sorted in: one for a piece, any for an unlinked row. (The
+    hash of a null is a number like any other, so it cannot serve as a test.)"""
+    linked = F.xxhash64("piece", F.lit(1))
+    return F.pmod(F.when(F.col("piece").isNotNull(), linked).otherwise(F.col("mark")), F.lit(blocks))
+
+
 def _placed(nodes: DataFrame, shards: int, rows: int, blocks: int) -> DataFrame:
     """One round: the shard each row is admitted to."""
     here = nodes.filter(F.col("piece").isNotNull()).groupBy("piece", "shard")
@@ -42,7 +49,7 @@ def _placed(nodes: DataFrame, shards: int, rows: int, blocks: int) -> DataFrame:
     linked = F.col("piece").isNotNull()
     wishes = wishes.withColumn("target", F.when(linked, F.col("target"))).drop("group")
     kind = F.when(F.col("target").isNull(), 2).when(F.col("target") == F.col("shard"), 0)
-    place = F.pmod(F.coalesce(F.xxhash64("piece", F.lit(1)), F.col("mark")), F.lit(blocks))
+    place = _block(blocks)
     wishes = (
         wishes.withColumn("prefer", F.coalesce("target", "shard"))
         .withColumn("order", F.when(F.col("piece").isNull(), 2).otherwise(
@@ -133,7 +140,7 @@ def balanced_shards(
         if now >= cut:
             break
         nodes, cut = moved, now
-    place = F.pmod(F.coalesce(F.xxhash64("piece", F.lit(1)), F.col("mark")), F.lit(blocks))
+    place = _block(blocks)
     nodes = ranked(nodes.withColumn("order", place), "shard", "order", ["piece", "mark"], "slot")
     return nodes.select(
         F.col("id").alias(id_column), "size", "text_crc32", "shard", F.col("slot").cast("bigint")

@@ -66,3 +66,11 @@ def test_each_round_lowers_the_cut(spark):
     moved = sharding._placed(nodes, 5, 200, 64)
     assert sharding.cut_rows(moved) < before // 4
     assert {r["count"] for r in moved.groupBy("shard").count().collect()} == {40}
+
+
+def test_unlinked_rows_are_spread_over_blocks(spark):
+    rows = spark.range(2000).selectExpr("CAST(null AS bigint) AS piece", "xxhash64(id) AS mark")
+    found = rows.groupBy(sharding._block(64).alias("block")).count()
+    assert found.count() == 64 and found.agg({"count": "max"}).first()[0] < 100
+    pieces = spark.range(2000).selectExpr("7L AS piece", "xxhash64(id) AS mark")
+    assert pieces.select(sharding._block(64)).distinct().count() == 1
