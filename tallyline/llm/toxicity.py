@@ -1,14 +1,19 @@
 """Toxicity by two Kneser-Ney word-pair models, one per class.
 
 Training counts word pairs of toxic and of ordinary labelled documents, all of
-them, in hashed tables of fixed size, so the model stays small whatever the
-corpus. A class's probability of a word after another rests on its discounted pair
-count; what the discount leaves, and a few shared counts, go to the number of
-different words that the word follows in the class, and from there to both classes
-together. So a rare expression says little for either class, and one that many
-toxic and no ordinary documents have says much. The difference of the two
-log-likelihoods is taken per word: over the whole document, and over its most toxic
-passages, as an insult in a long text would vanish in the mean.
+them, one row per different pair (known by a 64-bit hash) in a Spark table that grows
+with the corpus, and from them the different words before each word. A class's
+probability of a word after another rests on its discounted pair count; what the
+discount leaves, and a few shared counts, go to the number of different words that
+the word follows in the class, and from there to both classes together. So a rare
+expression says little for either class, and one that many toxic and no ordinary
+documents have says much. The difference of the two log-likelihoods is taken per
+word: over the whole document, and over its most toxic passages, as an insult in a
+long text would vanish in the mean.
+
+The most frequent counts, a bounded number, are sent to all executors. Texts are
+scored in chunks; what a chunk needs besides is joined, each key once per chunk, so
+no key has many rows, and brought back to the chunk's texts.
 
 A logistic curve turns these into a probability. It is fitted on a bounded sample
 of the training documents, each scored without its own counts.
@@ -16,10 +21,11 @@ of the training documents, each scored without its own counts.
 
 from __future__ import annotations
 
-import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,27 +33,21 @@ from pyspark.sql import types as T
 from tallyline.llm.arrow_text import GOLDEN, NOT_ALNUM, Words, mix, pieces
 from tallyline.llm.graph import stored
 
-WORDS = 1 << 21  # word numbers; best not below the number of different words
-PAIRS = 1 << 21  # pair numbers
+FREQUENT = 1 << 21  # counts (24 bytes each) sent to all executors, at most
+COUNT_WORDS = 1 << 20  # words whose pairs are counted together before the shuffle
 DISCOUNT = 0.75
 BACKOFF = 3.0  # shared counts that every class has of everything
-COMMON = 120  # different words before a common word
 PASSAGES = (1, 4, 12)  # words of a passage
 CALIBRATION_ROWS = 6000  # documents the curve is fitted on, at most
 LABEL_ROWS = 2_000_000  # most labels (about 10 bytes each) sent to all executors
-_CHUNK = 1 << 17
 _START = np.uint64(0x7E57A47)  # stands before the first word
-# Pair counts of a class add up; the marks of what stands before a word unite.
-_TABLES = {
-    ("pairs", 0): (PAIRS, np.int32), ("pairs", 1): (PAIRS, np.int32),
-    ("marks", 0): (WORDS, np.uint64), ("marks", 1): (WORDS, np.uint64),
-}
-_MERGED = "name string, kind int, chunk int, data binary"
+_ALONE = np.uint64(0x0A10E)  # tells the key of a word from that of a pair
+_LIST = T.ArrayType(T.DoubleType())
+_EXACT = float(1 << 20)  # ratios are multiples of its inverse, so their sums are exact
 
 
 class Pairs:
-    """The word pairs of some texts: numbers of the pair and of its second word, and
-    a mark (one of 64 bits) for its first."""
+    """The word pairs of some texts: keys of the pair and of its second word."""
 
     def __init__(self, texts: pa.Array):
         words = Words(texts, NOT_ALNUM)
@@ -55,72 +55,72 @@ class Pairs:
         before = np.empty_like(words.hash)
         before[1:] = words.hash[:-1]
         before[words.first[:-1][words.count > 0]] = _START
-        before = mix(before + GOLDEN)
-        self.word = (words.hash % np.uint64(WORDS)).astype(np.int64)
-        self.pair = (mix(before ^ words.hash) % np.uint64(PAIRS)).astype(np.int64)
-        self.mark = np.uint64(1) << (before >> np.uint64(58))
-
-
-def _packed(tables: dict):
-    for (name, kind), table in tables.items():
-        for chunk, values in enumerate(table.reshape(-1, _CHUNK)):
-            if values.any():
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "name": [name],
-                        "kind": pa.array([kind], pa.int32()),
-                        "chunk": pa.array([chunk], pa.int32()),
-                        "data": [zlib.compress(values.astype("<u8").tobytes(), 1)],
-                    }
-                )
+        self.word = mix(words.hash ^ _ALONE)
+        self.pair = mix(mix(before + GOLDEN) ^ words.hash)
+
+
+def _summed(parts: list) -> pa.RecordBatch:
+    """Documents of each class by pair, in which a pair counts once in a document."""
+    pair, word, text, toxic = (np.concatenate(columns) for columns in zip(*parts))
+    order = np.argsort(pair, kind="stable")  # the texts of a pair stay in order
+    new, once = np.ones((2, len(order)), bool)
+    new[1:] = pair[order[1:]] != pair[order[:-1]]
+    once[1:] = new[1:] | (text[order[1:]] != text[order[:-1]])
+    order, starts = order[once], np.flatnonzero(new[once])
+    counts = [np.add.reduceat(mine[order].astype(np.int64), starts) for mine in (~toxic, toxic)]
+    heads = order[starts]
+    columns = [pair[heads].view(np.int64), word[heads].view(np.int64), *counts]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in columns], names=["pair", "word", "ordinary", "toxic"]
+    )
 
 
 def _count(batches):
-    tables = {key: np.zeros(size, kind) for key, (size, kind) in _TABLES.items()}
+    parts, words, texts = [], 0, 0
     for batch in batches:
         for part in pieces(batch, "text"):
             pairs = Pairs(part.column("text"))
             toxic = part.column("toxic").to_numpy(zero_copy_only=False)[pairs.text] == 1
-            for kind, mine in ((0, ~toxic), (1, toxic)):
-                # A pair counts once in a document, however often it repeats there.
-                seen = np.unique(pairs.text[mine] * PAIRS + pairs.pair[mine]) % PAIRS
-                tables["pairs", kind] += np.bincount(seen, minlength=PAIRS).astype(np.int32)
-                np.bitwise_or.at(tables["marks", kind], pairs.word[mine], pairs.mark[mine])
-    yield from _packed(tables)
-
-
-def _merged(batches):
-    """Chunks of a partition, put together by table and place."""
-    found: dict[tuple, np.ndarray] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            values = np.frombuffer(zlib.decompress(row["data"]), "<u8")
-            key = (row["name"], row["kind"], row["chunk"])
-            if key not in found:
-                found[key] = values
-            elif row["name"] == "marks":
-                found[key] = found[key] | values
-            else:
-                found[key] = found[key] + values
-    for (name, kind, chunk), values in found.items():
-        yield pa.RecordBatch.from_pydict(
-            {
-                "name": [name],
-                "kind": pa.array([kind], pa.int32()),
-                "chunk": pa.array([chunk], pa.int32()),
-                "data": [zlib.compress(values.tobytes(), 1)],
-            }
-        )
-
-
-def distinct(marks: np.ndarray) -> np.ndarray:
-    """How many different words stand behind 64 marks, by linear counting."""
-    free = np.maximum(64.0 - np.bitwise_count(marks), 0.5)
-    return (-64 * np.log(free / 64)).astype(np.float32)
+            if len(pairs.pair):
+                parts.append((pairs.pair, pairs.word, pairs.text + texts, toxic))
+            words, texts = words + len(pairs.pair), texts + part.num_rows
+            if words >= COUNT_WORDS:
+                yield _summed(parts)
+                parts, words = [], 0
+    if parts:
+        yield _summed(parts)
+
+
+def count_tables(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of texts with a class: documents of each class by pair (``pair, word, ordinary,
+    toxic``), and different words before each word in each class (``word, ...``)."""
+    rows = known.mapInArrow(_count, "pair long, word long, ordinary long, toxic long")
+    sums = [F.sum(name).alias(name) for name in ("ordinary", "toxic")]
+    pairs = stored(rows.groupBy("pair", "word").agg(*sums), "pairs")
+    some = [F.sum((F.col(n) > 0).cast("long")).alias(n) for n in ("ordinary", "toxic")]
+    return pairs, stored(pairs.groupBy("word").agg(*some), "follows")
+
+
+class Counts:
+    """Counts of both classes by key, looked up in sorted keys."""
+
+    def __init__(self, table: pa.Table):
+        keys = table.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.values = np.stack([table.column(n).to_numpy()[order] for n in ("ordinary", "toxic")])
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts (zero if there are none here), and which keys are here."""
+        if not len(self.keys):
+            return np.zeros((2, len(keys)), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = self.keys[at] == keys
+        return np.where(here, self.values[:, at], 0), here
 
 
 class ClassModels:
-    """Both classes' counts and what follows from them.
+    """The frequent counts, and what follows from counts of both classes.
 
     ``P_c(w | v) = P(w | v) * gain_c(v, w)``, with a common ``P(w | v)`` that falls out
     of the comparison, and for a class c with a share ``s_c`` of all counts
@@ -130,47 +130,59 @@ class ClassModels:
 
     Here n counts documents with a pair, f(w) the different words before w (the lower-order counts of
     Kneser and Ney); ``cut`` takes the discount off, ``back`` is BACKOFF and what was
-    taken off, and ``sum`` runs over both classes. From pair counts is also taken
-    what other pairs of the same number may have brought."""
-
-    def __init__(self, chunks: list):
-        tables = {key: np.zeros(size, np.uint64) for key, (size, _) in _TABLES.items()}
-        for name, kind, chunk, data in chunks:
-            values = np.frombuffer(zlib.decompress(bytes(data)), "<u8")
-            tables[name, kind][chunk * _CHUNK : (chunk + 1) * _CHUNK] = values
-        self.pairs = [tables["pairs", kind].astype(np.float32) for kind in (0, 1)]
-        self.follows = [distinct(tables["marks", kind]) for kind in (0, 1)]
-        load = [n.mean() for n in self.pairs]
-        self.discounts = [DISCOUNT + n + 3 * np.sqrt(n) for n in load]
-        sizes = np.array([f.sum(dtype=np.float64) for f in self.follows]) + 1
+    taken off, and ``sum`` runs over both classes."""
+
+    def __init__(self, frequent: Counts, sizes: tuple[int, int]):
+        self.frequent = frequent
+        sizes = np.array(sizes, np.float64) + 1
         self.shares = sizes / sizes.sum()
 
-    def _gains(self, counts: list, discounts: list, lower: list) -> list[np.ndarray]:
-        cuts = [np.maximum(n - d, 0) for n, d in zip(counts, discounts)]
+    def _gains(self, counts: list, lower: list) -> list[np.ndarray]:
+        cuts = [np.maximum(n - DISCOUNT, 0) for n in counts]
         total = sum(cuts) + BACKOFF + DISCOUNT * sum(c > 0 for c in cuts)
         return [
             (cut + (BACKOFF + DISCOUNT * (cut > 0)) * share * low) / total / share
             for cut, share, low in zip(cuts, self.shares, lower)
         ]
 
-    def log_ratios(self, pairs: Pairs, own: int | None = None) -> np.ndarray:
-        """Log of toxic over ordinary probability, word by word; without the texts'
-        own counts if they belong to a class."""
-        count = [n[pairs.pair].astype(float) for n in self.pairs]
-        follows = [n[pairs.word].astype(float) for n in self.follows]
-        if own is not None and len(pairs.pair):
-            count[own] = np.maximum(count[own] - 1, 0)
-            words, which = np.unique(pairs.word, return_inverse=True)
-            marks = np.zeros(len(words), np.uint64)
-            np.bitwise_or.at(marks, which, pairs.mark)
-            follows[own] = np.maximum(follows[own] - distinct(marks)[which], 0)
-        word = self._gains(follows, [DISCOUNT] * 2, [1.0, 1.0])
-        # A word with most marks set among ordinary texts is a common one, whose
-        # number is not known any more: by itself it says nothing.
-        common = follows[0] > COMMON
-        word = [np.where(common, 1.0, gain) for gain in word]
-        ordinary, toxic = self._gains(count, self.discounts, word)
-        return np.log(toxic) - np.log(ordinary)
+    def log_ratios(self, count: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Log of toxic over ordinary probability, word by word."""
+        word = self._gains(follows, [1.0, 1.0])
+        ordinary, toxic = self._gains(count, word)
+        return np.round((np.log(toxic) - np.log(ordinary)) * _EXACT) / _EXACT
+
+    def measured(self, part: pa.RecordBatch, found: Counts | None = None) -> tuple[list, list]:
+        """Features of each text; and, for texts with a class in ``own``, features
+        without the text's own counts (else null)."""
+        pairs = Pairs(part.column("text"))
+        size = len(pairs.pair)
+        keys, which = np.unique(np.concatenate([pairs.pair, pairs.word]), return_inverse=True)
+        counts = sum(t.of(keys)[0] for t in (self.frequent, found) if t is not None)
+        counts = counts[:, which].astype(float)
+        count, follows = counts[:, :size], counts[:, size:]
+        features = text_features(self.log_ratios(count, follows), pairs.first).tolist()
+        alone: list = [None] * part.num_rows
+        for i, own in enumerate(part.column("own").to_pylist()):
+            if own is not None:
+                mine = slice(pairs.first[i], pairs.first[i + 1])
+                ratios = self.log_ratios(
+                    *_without_own(pairs.pair[mine], pairs.word[mine],
+                                  count[:, mine].copy(), follows[:, mine].copy(), own)
+                )
+                ends = np.array([0, len(ratios)])
+                alone[i] = text_features(ratios, ends)[0].tolist()
+        return features, alone
+
+
+def _without_own(pair, word, count, follows, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """A learned text's counts without what only this text brought in."""
+    first = np.unique(pair, return_index=True)[1]
+    only = first[count[own, first] == 1]  # pairs of no other document of the class
+    words, which = np.unique(word, return_inverse=True)
+    lost = np.bincount(which[only], minlength=len(words))[which]
+    count[own] = np.maximum(count[own] - 1, 0)
+    follows[own] = np.maximum(follows[own] - lost, 0)
+    return count, follows
 
 
 def text_features(ratios: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -217,41 +229,108 @@ def held_out_rows(id_column: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[ClassModels, dict]:
-    """Models from all labelled rows that are not held out, and the curve. ``docs``:
-    ``id, text``; ``labels``: ``id, toxic``. An id with several labels is toxic if
-    any of them says so; null ids and null labels are passed over."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, labels: DataFrame) -> tuple[ClassModels, DataFrame | None, DataFrame]:
+    """From all labelled rows that are not held out: models with the frequent counts,
+    the other counts (``key, ordinary, toxic``; none if there are no others), and the
+    sample for the curve (``id, own``). ``docs``: ``id, text``; ``labels``: ``id, toxic``.
+    An id with several labels is toxic if any of them says so; null ids and null
+    labels are passed over."""
     labels = labels.filter(F.col("id").isNotNull() & F.col("toxic").isNotNull())
     labels = labels.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     labels = stored(labels.filter(~held_out_rows("id")), "labels")
     few = F.broadcast(labels) if labels.count() <= LABEL_ROWS else labels
-    known = docs.join(few, "id").select("text", "toxic")
-    counted = known.mapInArrow(_count, _MERGED)
-    merged = counted.repartition(32, "name", "kind", "chunk").mapInArrow(_merged, _MERGED)
-    models = ClassModels([tuple(row) for row in merged.collect()])  # tables of fixed size
-    shared = spark.sparkContext.broadcast(models)
+    pairs, follows = count_tables(docs.join(few, "id").select("text", "toxic"))
+    sizes = follows.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in ("ordinary", "toxic"))).first()
+    counts = pairs.drop("word").withColumnRenamed("pair", "key")
+    counts = counts.unionByName(follows.withColumnRenamed("word", "key"))
+    level = F.floor(F.log2(F.col("ordinary") + F.col("toxic")) * 8).cast("int")
+    levels = counts.groupBy(level.alias("level")).count().collect()  # 8 by power of two
+    least, room = 1 << 30, FREQUENT
+    for row in sorted(levels, key=lambda row: -row["level"]):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["level"]
+    models = ClassModels(Counts(counts.filter(level >= least).toArrow()), tuple(sizes))
     sample = labels.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(CALIBRATION_ROWS)
+    sample = sample.select("id", F.col("toxic").alias("own"))
+    return models, counts.filter(level < least) if room < 0 else None, sample
 
-    def measure(batches):
-        for batch in batches:
-            found, toxic = [], batch.column("toxic").to_pylist()
-            for i in range(batch.num_rows):
-                pairs = Pairs(batch.column("text").slice(i, 1))
-                ratios = shared.value.log_ratios(pairs, toxic[i])
-                found.append(text_features(ratios, pairs.first)[0].tolist())
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "features": found})
-
-    picked = docs.join(F.broadcast(sample), "id").select("text", "toxic")
-    rows = picked.mapInArrow(measure, "toxic int, features array<double>").collect()
-    if len({row["toxic"] for row in rows}) < 2:
+
+def _with_features(part: pa.RecordBatch, names: list, features: list, alone: list):
+    kind = pa.list_(pa.float64())
+    return pa.RecordBatch.from_arrays(
+        [*(part.column(n) for n in names), pa.array(features, kind), pa.array(alone, kind)],
+        names=[*names, "features", "alone"],
+    )
+
+
+def _chunked(batches, names: list):
+    """Rows with the number of their chunk, about half a megabyte of whole texts."""
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(n) for n in names), pa.array(np.full(part.num_rows, chunk))],
+                names=[*names, "chunk"],
+            )
+            chunk += 1
+
+
+def _wanted(batches, shared):
+    """Keys of a chunk that are not among the frequent ones, once each."""
+    for batch in batches:
+        of = batch.column("chunk").to_numpy()
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        for start, stop in zip(starts, np.append(starts[1:], len(of))):
+            pairs = Pairs(batch.column("text").slice(start, stop - start))
+            keys = np.unique(np.concatenate([pairs.pair, pairs.word]))
+            keys = keys[~shared.value.frequent.of(keys)[1]].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), of[start])), pa.array(keys)], names=["chunk", "key"]
+            )
+
+
+def measure(given: DataFrame, models: ClassModels, rare: DataFrame | None) -> DataFrame:
+    """Rows of ``given`` (``text``, ``own`` and others), without the text but with
+    ``features`` and ``alone``."""
+    shared = given.sparkSession.sparkContext.broadcast(models)
+    names = [name for name in given.columns if name != "text"]
+    schema = T.StructType([given.schema[name] for name in names])
+    schema = schema.add("features", _LIST).add("alone", _LIST)
+    if rare is None:
+
+        def direct(batches):
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    yield _with_features(part, names, *shared.value.measured(part))
+
+        return given.mapInArrow(direct, schema)
+    chunked = T.StructType(list(given.schema.fields)).add("chunk", "long")
+    texts = stored(given.mapInArrow(partial(_chunked, names=given.columns), chunked), "chunks")
+    wanted = texts.select("chunk", "text").mapInArrow(
+        partial(_wanted, shared=shared), "chunk long, key long"
+    )
+    # A chunk on both sides of a file split asks twice for the same.
+    found = wanted.join(rare, "key").select("chunk", "key", "ordinary", "toxic")
+
+    def joined(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        parts, found = rows.combine_chunks().to_batches(), Counts(counts)
+        done = [_with_features(p, names, *shared.value.measured(p, found)) for p in parts]
+        return pa.Table.from_batches(done)
+
+    return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(joined, schema)
+
+
+def curve_from(rows: list) -> dict:
+    """The curve from rows ``(own, alone)``."""
+    if len({own for own, _ in rows}) < 2:
         zeros = np.zeros(1 + len(PASSAGES))
-        share = sum(row["toxic"] for row in rows) / max(len(rows), 1)
+        share = sum(own for own, _ in rows) / max(len(rows), 1)
         odds = float(np.clip(np.log((share + 1e-3) / (1 - share + 1e-3)), -6, 6))
-        curve = {"mean": zeros, "spread": zeros + 1, "weights": np.append(odds, zeros)}
-        return models, curve
-    features = np.array([row["features"] for row in rows])
-    return models, fit_curve(features, np.array([row["toxic"] for row in rows]))
+        return {"mean": zeros, "spread": zeros + 1, "weights": np.append(odds, zeros)}
+    rows = sorted(rows)
+    return fit_curve(np.array([alone for _, alone in rows]), np.array([own for own, _ in rows]))
 
 
 def toxicity(
@@ -278,23 +357,24 @@ def toxicity(
         *(F.col(name).alias(f"_keep{i}") for i, name in enumerate(keep)),
     )
     marked = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("toxic"))
-    models, curve = train(given.select("id", "text"), marked)
-    shared = spark.sparkContext.broadcast((models, curve))
+    models, rare, sample = train(given.select("id", "text"), marked)
+    given = given.join(F.broadcast(sample), "id", "left")
+    measured = stored(measure(given, models, rare), "measured")
+    fitted = measured.filter(F.col("own").isNotNull())
+    fitted = fitted.orderBy(F.xxhash64("id", F.lit(7)), "id", "alone").select("own", "alone")
+    curve = curve_from([tuple(row) for row in fitted.limit(CALIBRATION_ROWS).collect()])
 
     def score(batches):
-        models, curve = shared.value
         for batch in batches:
-            for part in pieces(batch, "text"):
-                pairs = Pairs(part.column("text"))
-                features = text_features(models.log_ratios(pairs), pairs.first)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names), pa.array(apply_curve(curve, features))],
-                    names=[*names, "score"],
-                )
+            features = batch.column("features").flatten().to_numpy()
+            scores = apply_curve(curve, features.reshape(batch.num_rows, -1))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), pa.array(scores)], names=[*names, "score"]
+            )
 
     names = ["id", *(f"_keep{i}" for i in range(len(keep)))]
     schema = T.StructType([given.schema[name] for name in names]).add("score", "double")
-    return given.mapInArrow(score, schema).select(
+    return measured.mapInArrow(score, schema).select(
         F.col("id").alias(id_column),
         *(F.col(f"_keep{i}").alias(name) for i, name in enumerate(keep)),
         held_out_rows("id").alias("held_out"),

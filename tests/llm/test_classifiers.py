@@ -61,6 +61,64 @@ def test_toxicity_edge_rows(spark):
     assert toxicity.toxicity(edge_docs(spark).limit(0), labels).count() == 0
 
 
+def counted(rows):
+    """Documents of each class by word pair, and different words before a word."""
+    pairs, before = {}, {}
+    for text, toxic in rows:
+        words = ["", *text.split(" ")]
+        for pair in set(zip(words, words[1:])):
+            pairs.setdefault(pair, [0, 0])[toxic] += 1
+            before.setdefault(pair[1], (set(), set()))[toxic].add(pair[0])
+    return pairs, {word: [len(kind) for kind in kinds] for word, kinds in before.items()}
+
+
+def test_toxicity_counts_are_exact(spark, monkeypatch):
+    """Words with more than 310 different words before them and counts summed up in
+    several flushes; hashed cells and marks of 64 bits would end below."""
+    monkeypatch.setattr(toxicity, "COUNT_WORDS", 500)
+    rows = [(f"a{i} the b{i % 7} the a{i} the", i % 4 == 0) for i in range(2000)]
+    known = spark.createDataFrame([(t, int(k)) for t, k in rows], "text string, toxic int")
+    pairs, follows = counted([(t, int(k)) for t, k in rows])
+    found_pairs, found_follows = toxicity.count_tables(known)
+    key = lambda text: toxicity.Pairs(pa.array([text]))
+    by_pair = {r.pair: [r.ordinary, r.toxic] for r in found_pairs.collect()}
+    assert len(by_pair) == len(pairs) > 4000
+    for (a, b), counts in pairs.items():
+        at = key(f"{a} {b}".strip()).pair[-1:].view(np.int64)[0]
+        assert by_pair[int(at)] == counts
+    by_word = {r.word: [r.ordinary, r.toxic] for r in found_follows.collect()}
+    assert follows["the"] == [1507, 507]
+    for word, counts in follows.items():
+        assert by_word[int(key(word).word.view(np.int64)[0])] == counts
+
+
+def test_toxicity_joins_what_is_not_broadcast(spark, monkeypatch):
+    """Scores do not depend on how many counts are sent to the executors."""
+    docs, labels = labelled(spark, 300)
+    docs = docs.unionByName(edge_docs(spark))
+    expected = toxicity.toxicity(docs, labels).collect()
+    for frequent in (0, 200):
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        found = toxicity.toxicity(docs, labels, keep=("text",)).drop("text").collect()
+        assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def test_a_learned_text_is_measured_without_its_own_counts(spark):
+    rows = [("a b c", 0), ("a b d", 0), ("x c c c", 1), ("a b c", 1), ("b c", 1)]
+    models, whole = [], rows
+    for some in (whole, [r for i, r in enumerate(whole) if i != 3]):
+        known = spark.createDataFrame(some, "text string, toxic int")
+        pairs, follows = (t.toArrow() for t in toxicity.count_tables(known))
+        table = pa.table({
+            "key": pa.concat_arrays([*pairs["pair"].chunks, *follows["word"].chunks]),
+            **{n: pa.concat_arrays([*pairs[n].chunks, *follows[n].chunks])
+               for n in ("ordinary", "toxic")},
+        })
+        models.append(toxicity.ClassModels(toxicity.Counts(table), (9, 9)))
+    part = pa.RecordBatch.from_pydict({"text": ["a b c"], "own": pa.array([1], pa.int32())})
+    assert models[0].measured(part)[1] == models[1].measured(part)[0]
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     ratings = labels.filter(~toxicity.held_out_rows()).select(
