@@ -1,14 +1,19 @@
-"""Passages that documents share, found as runs of several sentences.
+"""Passages that documents share, found as runs of whole sentences or of words.
 
-Every sentence starts a run: the fewest following sentences, two at least, that
-have ``min_words`` words together. Runs are hashed over their words, so case A-Z
-and white space do not matter, and joined over all documents. Of each run that
-occurs more than once the first place stays (the document with the least id, and
-there the first sentence); sentences covered by any other place are removed.
+Runs of three kinds are hashed over their words, so case A-Z and white space do not
+matter, and joined over all documents: of every sentence the fewest sentences from it
+on, two at least, that have ``min_words`` words together; every sentence of ``min_words``
+words by itself; and ``min_words`` words from places that the words themselves decide
+(the least hash of two words in each window of ``WINDOW`` places) and from where a long
+sentence starts. Of each run that occurs more than once the first place stays (the
+document with the least id, and there the first word); words covered by any other
+place are removed.
 
 A sentence ends at a line's end or after a word that ends in ``.``, ``!`` or
-``?``; after ``LONGEST`` words it is cut. A repeated passage of twice ``min_words``
-words is found wherever it stands, even if its ends run into other sentences.
+``?``. A repeated passage of ``min_words + WINDOW - 1`` words (and so one of twice
+``min_words``) is found wherever it stands, even if its ends run into other sentences
+or it has none; all of it is removed but fewer than ``WINDOW`` words at each end. Whole
+sentences in it that have a run of their own are removed whole.
 """
 
 from __future__ import annotations
@@ -21,13 +26,14 @@ from pyspark.sql import types as T
 
 from tallyline.llm.arrow_text import GOLDEN, SPACES, Words, mix, pieces
 
-LONGEST = 30
+LONGEST = 30  # a longer sentence has a run of words from its start
 MIN_SENTENCES = 2
+WINDOW = 16  # places of which one starts a run of words; at most min_words
 _STEP = 0x2545F4914F6CDD1D
 
 
 class Sentences:
-    """The sentences of some texts and the runs that start at them."""
+    """The sentences of some texts, and the runs (first word, number of words)."""
 
     def __init__(self, texts: pa.Array, min_words: int):
         words = Words(texts, SPACES)
@@ -40,29 +46,47 @@ class Sentences:
             begins[1:] = np.isin(data[words.end[:-1] - 1], np.frombuffer(b".!?", np.uint8))
             begins[1:] |= lines[words.start[1:]] > lines[words.end[:-1]]
             begins[words.first[:-1][words.count > 0]] = True
-        starts = np.flatnonzero(begins)
-        place = np.arange(n) - np.repeat(starts, np.diff(starts, append=n))
-        begins |= place % LONGEST == 0
-        place %= LONGEST
         self.word = np.flatnonzero(begins)  # the first word of each sentence
-        self.text = words.text[self.word]
-        self.first = np.searchsorted(self.text, np.arange(self.texts + 1))
-        self.count = np.diff(self.first)
-        # A sentence reaches up to the next one; the first takes what stands before.
-        self.byte = words.start[self.word]
+        self.sentence = np.cumsum(begins) - 1  # of each word
+        self.text, self.first, self.count = words.text, words.first, words.count
+        # A word reaches up to the next one; the first takes what stands before.
+        self.byte = words.start
         self.data, self.borders = data, words.borders
-        factors = mix(np.arange(1, LONGEST + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
-        total = len(self.word)
-        own = np.zeros(total, np.uint64)
-        if total:
-            own = mix(np.add.reduceat(words.hash * factors[place], self.word))
+        starts, stops = self._places(words, max(min_words, 1))
+        self.run, self.length = starts, stops - starts
+        self.hash = [self._run_hashes(words.hash, salt) for salt in (11, 29)]
+
+    def _places(self, words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs start and stop."""
+        n, total = len(words.start), len(self.word)
+        if not n:
+            return np.zeros((2, 0), np.int64)
         before = np.append(self.word, n)  # words before each sentence
+        of_text = self.text[self.word]
+        last = np.searchsorted(of_text, of_text, "right")  # the sentence after the text's last
         stop = np.searchsorted(before, self.word + min_words, "left")
         stop = np.maximum(stop, np.arange(total) + MIN_SENTENCES)
-        good = stop <= self.first[1:][self.text] if total else np.zeros(0, bool)
-        self.run = np.flatnonzero(good)
-        self.length = stop[self.run] - self.run
-        self.hash = [self._run_hashes(own, salt) for salt in (11, 29)]
+        good = stop <= last
+        size = np.diff(before)
+        alone = size >= min_words
+        # Places decided by two words; none reaches over the end of its text.
+        two = mix(words.hash ^ mix(np.append(words.hash[1:], GOLDEN)))
+        two[words.first[1:][words.count > 0] - 1] = np.iinfo(np.uint64).max
+        window = min(WINDOW, min_words)
+        chosen = np.zeros(0, np.int64)
+        if n >= window:
+            least = np.lib.stride_tricks.sliding_window_view(two, window).argmin(axis=1)
+            inside = self.text[: n - window + 1] == self.text[window - 1 :]
+            chosen = (np.arange(len(least)) + least)[inside]
+        chosen = np.union1d(chosen, self.word[size > LONGEST])
+        chosen = chosen[chosen + min_words <= self.first[1:][self.text[chosen]]]
+        starts = np.concatenate([self.word[good], self.word[alone], chosen])
+        stops = np.concatenate([before[stop[good]], before[1:][alone], chosen + min_words])
+        order = np.lexsort((stops, starts))
+        starts, stops = starts[order], stops[order]
+        new = np.ones(len(starts), bool)
+        new[1:] = (np.diff(starts) > 0) | (np.diff(stops) > 0)
+        return starts[new], stops[new]
 
     def _run_hashes(self, own: np.ndarray, salt: int) -> np.ndarray:
         steps = np.full(len(own) + 1, _STEP, np.uint64)
@@ -115,7 +139,7 @@ def _cleaned(batches, min_words: int):
     for batch in batches:
         for part in pieces(batch, "text"):
             found = Sentences(part.column("text"), min_words)
-            marks = np.zeros(len(found.word) + 1, np.int64)
+            marks = np.zeros(len(found.text) + 1, np.int64)
             again = found.repeated_inside()
             _cover(marks, found.run[again], found.length[again])
             spans = part.column("spans")
@@ -126,8 +150,11 @@ def _cleaned(batches, min_words: int):
                 at = flat.field("at").to_numpy() + base
                 _cover(marks, at, flat.field("length").to_numpy())
             gone = np.cumsum(marks[:-1]) > 0
-            removed = np.bincount(found.text[gone], minlength=found.texts)
-            # Keep bytes by sentence.
+            of_text = found.text[found.word]
+            sentences = np.bincount(of_text, minlength=found.texts)
+            lost = np.unique(found.sentence[gone])
+            removed = np.bincount(of_text[lost], minlength=found.texts)
+            # Keep bytes by word.
             keep = np.zeros(len(found.data) + 1, np.int32)
             start = found.byte.copy()
             heads = found.first[:-1][found.count > 0]
@@ -150,7 +177,7 @@ def _cleaned(batches, min_words: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
-                    pa.array(found.count, pa.int64()),
+                    pa.array(sentences, pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(removed > 0),
                     texts,
@@ -162,11 +189,11 @@ def _cleaned(batches, min_words: int):
 def without_repeats(
     docs: DataFrame, min_words: int = 25, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_sentences``, ``n_removed``,
-    ``repeated`` (something was removed) and the text without it.
+    """One row per row of ``docs``: its id, ``n_sentences``, ``n_removed`` (sentences
+    that lost words), ``repeated`` (something was removed) and the text without it.
 
     Null texts stay null, empty texts empty, both without sentences. Texts of fewer
-    than ``min_words`` words or of one sentence are left alone, also if they are
+    than ``min_words`` words are left alone, also if they are
     equal. Rows with one id count as one document: what they share with each other
     stays. Rows with a null id come after all others and do not repeat each other.
     Only the two named columns are read, so clashing names of others do no harm."""

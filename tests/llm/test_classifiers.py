@@ -203,6 +203,43 @@ def test_repeated_passages(spark):
     assert substring_dedup.without_repeats(edge_docs(spark).limit(0)).count() == 0
 
 
+def sentences(seed, sizes):
+    return " ".join(f"{plain(seed + i / 9, size)}." for i, size in enumerate(sizes))
+
+
+def plain(seed, size):
+    return prose(seed, size, 5000).replace(".", "").replace("\n", "")
+
+
+def test_repeated_passages_of_any_place(spark):
+    """Passages of whole sentences whose ends run into other sentences, single long
+    sentences, and stretches without stops that are shifted."""
+    shared = {
+        "three": sentences(1, [20, 20, 20]).rstrip("."),
+        "two": sentences(2, [26, 26]).rstrip("."),
+        "short": sentences(3, [15, 15, 15]).rstrip("."),
+        "plain": plain(4, 500),
+        "fifty": plain(6, 50),
+    }
+    rows, of = [], {}
+    for i, (name, passage) in enumerate(shared.items()):
+        for j, lead in enumerate(("Other head", "one more new head of words")):
+            rows.append((2 * i + j, f"{lead} {passage} foreign{j} tail{j}. End {i} {j}.", "", "", 1))
+        of[2 * i + 1] = passage
+    single = sentences(5, [26])
+    rows += [(90, f"First. {single} Then.", "", "", 1), (91, f"Not so. {single} End.", "", "", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id: r for r in substring_dedup.without_repeats(docs).collect()}
+    assert all(found[i].text == t and not found[i].repeated for i, t, *_ in rows if i % 2 == 0)
+    window = substring_dedup.WINDOW
+    for i, passage in of.items():
+        words, left = passage.split(" "), found[i].text
+        head, tail = left.split(" foreign1 ")[0].split(" ")[6:], left.split(" foreign1 ")[1]
+        assert found[i].repeated and tail == f"tail1. End {i // 2} 1."
+        assert len(head) < 2 * window and set(head) <= set(words)
+    assert found[91].text == "Not so. End." and (found[91].n_sentences, found[91].n_removed) == (3, 1)
+
+
 def test_the_field_finds_what_no_pattern_names():
     rng = random.Random(8)
 
