@@ -48,19 +48,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five-word shingles, similarity 0.8): that with the
-    least id. Documents without words or with a null id stay. Rows with one id are
-    one document, of which the least text stays."""
+    least id, and of several rows with it the least text digest. Rows are told apart
+    by a number of their own, so rows that share only an id stay. Documents without
+    words or with a null id stay."""
     plain, (doc_id, text) = _plain(docs, "doc_id", "text")
-    found = minhash.near_duplicates(plain, doc_id, text, shingle=5, percent=80)
-    kept = _without(plain, found.filter(~F.col("kept")), doc_id)
-    counts = plain.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n"))
-    repeated = counts.filter((F.col("n") > 1) & F.col(doc_id).isNotNull())
-    if repeated.limit(1).count():
-        least = F.min_by(F.struct(*plain.columns), F.struct(text)).alias("row")
-        several = kept.join(repeated, doc_id, "left_semi").groupBy(doc_id).agg(least)
-        once = _without(kept, repeated, doc_id)
-        kept = once.unionByName(several.select("row.*"))
-    return kept.select(*plain.columns).toDF(*docs.columns)
+    keyed = stored(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    named = keyed.filter(F.col(doc_id).isNotNull())
+    found = minhash.near_duplicates(named, "row", text, shingle=5, percent=80)
+    groups = found.filter(F.col("n_shingles") > 0).select("row", "component_id")
+    order = F.struct(F.col(doc_id).alias("id"), F.unhex(F.md5(text)).alias("digest"), "row")
+    members = groups.join(named.select("row", order.alias("place")), "row")
+    members = stored(members, "members")
+    first = members.groupBy("component_id").agg(F.min("place")["row"].alias("row"))
+    gone = members.join(first, "row", "left_anti")
+    return _without(keyed, gone, "row").select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

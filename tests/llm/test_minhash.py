@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from edge_rows import SCHEMA, clashing, edge_docs, edge_rows, prose
 
+import corpus_pipeline
 from tallyline.llm import minhash
 from tallyline.llm.arrow_text import SPACES, Words
 
@@ -87,6 +88,20 @@ def test_empty_table(spark):
     assert minhash.near_duplicates(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_pipeline_drops_rows_not_ids(spark):
+    """Unlike texts that share an id stay; of each group the least id stays."""
+    y, x = prose(1, 80, 0), prose(2, 80, 0)
+    near = y + " more"
+    rows = [(5, x), (5, y), (3, near), (7, "a b c d e f"), (7, "other words in this row"), (7, x)]
+    rows += [(8, "same words in both of them"), (8, "same words in both of them")]
+    rows += [(None, y), (9, None), (9, ""), (9, None)]
+    rows += [(6, prose(20 + i, 30, 0)) for i in range(20)]
+    full = [(i, t, "en", "s", 1) for i, t in rows]
+    found = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(full, SCHEMA), "")
+    expected = [r for i, r in enumerate(rows) if i not in (1, 5, 7)]
+    assert sorted((tuple(r)[:2] for r in found.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_signatures_estimate_similarity():
     """Equal places of two signatures estimate the similarity of the sets, with less
     spread than independent hashing would have."""
