@@ -74,3 +74,24 @@ def test_unlinked_rows_are_spread_over_blocks(spark):
     assert found.count() == 64 and found.agg({"count": "max"}).first()[0] < 100
     pieces = spark.range(2000).selectExpr("7L AS piece", "xxhash64(id) AS mark")
     assert pieces.select(sharding._block(64)).distinct().count() == 1
+
+
+def test_large_groups_stay_together(spark):
+    """Groups above an eighth of a shard stay in one; a third of all rows fills a third
+    of the shards, give or take one."""
+    texts = ["hot"] * 400 + [f"big {i % 5}" for i in range(250)]
+    rows = [(i, texts[i] if i < 650 else prose(i, 6, 0), "en", "s", 1) for i in range(1200)]
+    found = sharding.balanced_shards(spark.createDataFrame(rows, SCHEMA), 12).collect()
+    check_law(found, rows, 12)
+    where = defaultdict(Counter)
+    for r in found:
+        where[rows[r.doc_id][1]][r.shard] += 1
+    assert all(len(where[f"big {i}"]) == 1 for i in range(5))
+    assert len(where["hot"]) <= 5
+
+
+def test_cut_is_measured_over_groups(spark):
+    rows = [(7, p, s) for p, s in ((1, 0), (1, 0), (2, 1), (2, 1))]
+    nodes = spark.createDataFrame(rows, "group long, piece long, shard int")
+    assert sharding.cut_rows(nodes.drop("group"), 4) == 0
+    assert sharding.cut_rows(nodes, 4) == 2 and sharding.cut_rows(nodes, 2) == 0
