@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from tallyline.llm import (
     bpe,
+    byte_bpe,
     decontaminate,
+    fill_middle,
+    filter_audit,
     minhash,
     quality,
     secret_scan,
@@ -103,6 +106,37 @@ def op10_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in every order: what each step removes of every source."""
+    filters = {
+        "A": filter_audit.under_words(200),
+        "B": filter_audit.repeats_words(50),
+        "C": filter_audit.many_capitals(2),
+        "D": filter_audit.matches("[#$%&*|]"),
+        "E": None,
+    }
+    documents, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return filter_audit.audit(documents, labels, filters)
+
+
+def op12_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with the byte-level vocabulary, and decoded."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    documents = _table(spark, sf_dir, "documents")
+    return byte_bpe.encode(documents, path, public_tokenizers.PATTERN, outputs=outputs)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at two line borders, and put together again."""
+    made = fill_middle.transform(_table(spark, sf_dir, "documents"), seed=7)
+    plain = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(plain, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -116,6 +150,9 @@ QUERIES = {
         op8_ordinal_quality,
         op9_section_tokens,
         op10_crf_secret_scan,
+        op11_filter_interactions,
+        op12_distinct_word_bpe,
+        op13_fill_middle,
     )
 }
 
@@ -205,7 +242,95 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
 FROM groups LEFT JOIN sizes USING (doc_id)
 """
 
+_AUDIT = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+low AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+marks AS (
+    SELECT doc_id, part,
+           (len(w) < 200)::INT
+           + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+           + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+           + 8 * regexp_matches(t, '[#$%&*|]')::INT
+           + 16 * coalesce(low < doc_id, false)::INT AS bits
+    FROM d JOIN low USING (t)
+),
+known AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+    FROM labels GROUP BY doc_id
+),
+combos AS (
+    SELECT part, bits, count(*) AS n, count(*) FILTER (WHERE good) AS good,
+           count(*) FILTER (WHERE toxic) AS toxic
+    FROM marks LEFT JOIN known USING (doc_id) GROUP BY part, bits
+),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+steps AS (
+    SELECT p.f || q.f || r.f || s.f || t.f AS filter_order,
+           unnest([1, 2, 3, 4, 5]) AS step, unnest([p.b, q.b, r.b, s.b, t.b]) AS own,
+           unnest([0, p.b, p.b + q.b, p.b + q.b + r.b, p.b + q.b + r.b + s.b]) AS gone
+    FROM f p JOIN f q ON q.f <> p.f JOIN f r ON r.f NOT IN (p.f, q.f)
+    JOIN f s ON s.f NOT IN (p.f, q.f, r.f) JOIN f t ON t.f NOT IN (p.f, q.f, r.f, s.f)
+),
+figures AS (
+    SELECT part, filter_order, step, own,
+           coalesce(sum(n) FILTER (WHERE bits & (own | gone) = 0), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (WHERE bits & gone = 0 AND bits & own <> 0), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (WHERE bits & gone <> 0 AND bits & own <> 0), 0)::BIGINT
+               AS redundant,
+           coalesce(sum(n) FILTER (WHERE bits = own), 0)::BIGINT AS unique_fails,
+           coalesce(sum(good) FILTER (WHERE bits & gone = 0 AND bits & own <> 0), 0)::BIGINT
+               AS good_lost,
+           coalesce(sum(toxic) FILTER (WHERE bits & gone = 0 AND bits & own <> 0), 0)::BIGINT
+               AS toxic_lost
+    FROM combos CROSS JOIN steps GROUP BY ALL
+),
+over_orders AS (SELECT part, own, sum(removed)::BIGINT AS shapley FROM figures GROUP BY part, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       shapley
+FROM figures JOIN over_orders USING (part, own)
+"""
+
+_MIDDLE = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+           sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+    FROM documents
+),
+drawn AS (
+    SELECT *, len(lines)::BIGINT AS n,
+           list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS x
+    FROM d
+),
+cut AS (
+    SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a,
+           greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                     OR x[3] % 100 >= 100 THEN 'plain'
+                WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+),
+parts AS (
+    SELECT *, coalesce(array_to_string(lines[1:a], ''), '') AS p,
+           coalesce(array_to_string(lines[a + 1:b], ''), '') AS m,
+           coalesce(array_to_string(lines[b + 1:], ''), '') AS s
+    FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                   ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
 ORACLES = {
+    "op11_filter_interactions": _AUDIT,
+    "op13_fill_middle": _MIDDLE,
     "op2_impact_top_k": _TOP_K,
     "op3_winnowing_decontamination": _WINNOWING,
     "op5_superminhash_near_dedup": _NEAR,
