@@ -239,24 +239,26 @@ class WordTable:
 
     def __init__(self, coded: list[bytes]):
         sizes = np.array([len(c) // 4 for c in coded], np.int64)
-        self.ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
+        # One id more, so that there is something to take for a gap.
+        self.ids = np.frombuffer(b"".join(coded) + bytes(4), "<u4").astype(np.int64)
         self.sizes = np.concatenate([[0], sizes])
         self.starts = np.concatenate([[0], np.cumsum(sizes) - sizes])
 
     def ids_of(self, stream: np.ndarray, fills: list[dict] | None) -> np.ndarray:
-        sizes, starts, ids = self.sizes[stream], self.starts[stream], self.ids
+        sizes, starts = self.sizes[stream], self.starts[stream]
         gaps = np.flatnonzero(stream == 0)
         if len(gaps):
             # Copies of a text bring the same fills; of each position one counts.
             known = {f["pos"]: f["ids"] for f in fills or ()}
             lists = [np.frombuffer(known[pos], "<u4") for pos in gaps.tolist()]
-            lengths = np.array([len(x) for x in lists], np.int64)
-            sizes[gaps] = lengths
-            starts[gaps] = len(ids) + np.cumsum(lengths) - lengths
-            ids = np.concatenate([ids, *lists])
+            sizes[gaps] = [len(x) for x in lists]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return ids[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+        at = np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+        found = self.ids.take(at, mode="clip")
+        if len(gaps):
+            found[np.repeat(stream == 0, sizes)] = np.concatenate(lists)
+        return found
 
 
 class TokenBytes:
