@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from edge_rows import SCHEMA, clashing, edge_docs, edge_rows, prose
 
@@ -37,6 +38,22 @@ def hard_texts():
     return texts + ["a" * 1000, "ab" * 3000, "<|endoftext|>", " 's 't", "x\r\n  y", prose(1, 400, 0)]
 
 
+def test_latin_texts_split_alike():
+    rng = random.Random(6)
+    letters = [chr(i) for i in range(byte_bpe.LATIN)] + list(" \n'st  ae19!\xa0\x85" * 20)
+    whole, latin = regex.compile(PATTERN), byte_bpe.latin_pattern(PATTERN)
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(80))
+        assert latin.findall(text) == whole.findall(text)
+    for point in range(byte_bpe.LATIN):
+        text = f"a{chr(point)}1{chr(point)} {chr(point)}! {chr(point) * 2}a"
+        assert latin.findall(text) == whole.findall(text)
+    split = byte_bpe.splitter(PATTERN)
+    assert split("aɏ ɐb 漢\u3000 字") == whole.findall("aɏ ɐb 漢\u3000 字")
+    assert byte_bpe.latin_pattern(r"\w+") is None
+    assert byte_bpe.splitter(r"\w+|\W")("ab c") == ["ab", " ", "c"]
+
+
 # All words by the table, a few, and none.
 @pytest.mark.parametrize("frequent", [1 << 19, 40, 0])
 def test_equals_the_library(spark, library, frequent):
