@@ -4,8 +4,9 @@ Offsets and record counts need running totals over a whole partition. A window
 over a partition would put all its rows in one task, so rows are first cut into
 blocks of neighbouring order numbers: blocks are counted with a partial
 aggregate, running totals run over the few block counts, and only rows of one
-block ever meet in a task. Where order numbers are sparse, the range of each
-partition is cut into as many blocks as its rows need.
+block ever meet in a task. The range of a partition is cut evenly into as many
+blocks as its rows need; where order numbers stand close together, a block that
+is still too large is cut again, within the range of its own rows.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.session import scratch_path
+
 BLOCK = 1 << 18
-_BLOCK = "_block"
+# Each cuts a range in three at least, and there are 2^64 numbers.
+MAX_LEVELS = 41
+_BLOCK, _SPARE = "_block", "_spare"
 
 
 def with_partition(df: DataFrame, partitions: int, key: str, otherwise: str) -> DataFrame:
@@ -37,34 +42,57 @@ def _block_sizes(df: DataFrame) -> DataFrame:
     return sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
 
 
-def with_offsets(df: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
-    """Adds dense offsets 0, 1, 2, ... per partition in the order of a column
-    of unique whole numbers; a block holds about ``block`` rows, as far as the
-    numbers are spread evenly over their range. A row without partition or order
-    number stays, without an offset."""
-    span = F.col("_high").cast("double") - F.col("_low").cast("double") + 1
-    blocks = F.ceil(F.col("_n") / F.lit(block))
-    ranges = (
-        df.where(F.col(order).isNotNull())
-        .groupBy("partition")
-        .agg(
-            F.min(order).alias("_low"),
-            F.max(order).alias("_high"),
+def order_blocks(df: DataFrame, order: str, block: int = BLOCK) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns, also named, that number the block of each row in the
+    order of a column of unique whole numbers. A block holds at most twice ``block``
+    rows, unless numbers repeat; most hold about ``block``.
+
+    Every level costs one count over partition and order alone. One is enough where
+    partitions are small, two where numbers are spread evenly. Later levels cut
+    only what is still too large, at least into three, so there are few."""
+    place, keys = F.col(order).cast("double"), ["partition"]
+    for level in range(MAX_LEVELS):
+        cells = df.where(F.col(order).isNotNull() & F.col("partition").isNotNull())
+        cells = cells.groupBy(*keys).agg(
+            F.min(order).cast("double").alias("_low"),
+            F.max(order).cast("double").alias("_high"),
             F.count(F.lit(1)).alias("_n"),
         )
-        .select("partition", "_low", (span / blocks).alias("_width"))
-    )
-    place = (F.col(order).cast("double") - F.col("_low").cast("double")) / F.col("_width")
-    ranged = df.join(ranges, "partition", "left").withColumn(_BLOCK, F.floor(place))
-    blocked = ranged.drop("_low", "_width")
-    starts = _block_sizes(blocked.where(F.col(_BLOCK).isNotNull())).drop("_rows")
-    within = Window.partitionBy("partition", _BLOCK).orderBy(order)
-    offset = (F.col("_before") + F.row_number().over(within) - 1).cast("bigint")
-    return (
-        blocked.join(starts, ["partition", _BLOCK], "left")
-        .withColumn("offset", offset)
-        .drop(_BLOCK, "_before")
-    )
+        large = cells.where((F.col("_n") > 2 * block) & (F.col("_low") < F.col("_high")))
+        blocks = F.ceil(F.col("_n") / F.lit(block))
+        width = (F.col("_high") - F.col("_low")) / blocks
+        cuts = large.select(*keys, "_low", width.alias("_width"), blocks.alias("_blocks"))
+        path = scratch_path(df.sparkSession, "blocks")
+        cuts.write.parquet(path)
+        cuts = df.sparkSession.read.schema(cuts.schema).parquet(path)
+        if cuts.isEmpty():
+            break
+        # The highest number of a range belongs to its last block.
+        cut = F.least(F.floor((place - F.col("_low")) / F.col("_width")), F.col("_blocks") - 1)
+        name = f"{_BLOCK}{level}"
+        df = df.join(cuts, keys, "left").withColumn(name, F.coalesce(cut, F.lit(0)))
+        df, keys = df.drop("_low", "_width", "_blocks"), [*keys, name]
+    return df, keys
+
+
+def with_offsets(df: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
+    """Adds dense offsets 0, 1, 2, ... per partition in the order of a column
+    of unique whole numbers, see ``order_blocks``. A row without partition or order
+    number stays, without an offset; such rows stay with the task that reads them."""
+    known = F.col(order).isNotNull() & F.col("partition").isNotNull()
+    blocked, keys = order_blocks(df, order, block)
+    blocked = blocked.withColumn(_SPARE, F.when(~known, F.spark_partition_id()))
+    within = Window.partitionBy(*keys, _SPARE).orderBy(order)
+    place = F.row_number().over(within) - 1
+    if len(keys) > 1:
+        sizes = blocked.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        before = Window.partitionBy("partition").orderBy(*keys[1:])
+        before = F.sum("_rows").over(before.rowsBetween(Window.unboundedPreceding, -1))
+        starts = sizes.select(*keys, F.coalesce(before, F.lit(0)).alias("_before"))
+        blocked = blocked.join(starts, keys, "left")
+        place = F.col("_before") + place
+    offset = F.when(known, place.cast("bigint"))
+    return blocked.withColumn("offset", offset).drop(*keys[1:], _SPARE, "_before")
 
 
 def first_records(df: DataFrame, n: int, block: int = BLOCK) -> DataFrame:

@@ -6,8 +6,10 @@ costs one row per task in the shuffle.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.functions import scalars
 from tallyline.operators.layout import with_offsets
@@ -58,47 +60,80 @@ def throughput_by(
     if window is None:
         seen = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), _elapsed(ts).alias("seconds"))
         return seen.where(enough).withColumn("per_sec", rate)
-    # One row per worker and window, then the windows of a worker in order.
     counts = df.groupBy(by, F.window(ts, window)["start"].alias("window_start")).agg(
         F.count(F.lit(1)).alias("n"),
         F.unix_micros(F.min(ts)).alias("low"),
         F.unix_micros(F.max(ts)).alias("high"),
     )
-    parts = ("window_start", "n", "low", "high")
-    kept = counts.schema
-    row = ",".join(f"{name}:{kept[name].dataType.simpleString()}" for name in parts)
-    windows = F.array_sort(F.collect_list(F.struct(*parts)))
-
-    def add(state, now):
-        last = state["last"]
-        done = last.isNull() | (
-            (last["n"] >= min_rows) & (last["high"] - last["low"] >= min_seconds * 1e6)
-        )
-        carried = F.struct(
-            last["window_start"].alias("window_start"), (last["n"] + now["n"]).alias("n"),
-            last["low"].alias("low"), now["high"].alias("high"),
-        )
-        finished = F.when(done & last.isNotNull(), F.array(last)).otherwise(
-            F.array().cast(f"array<struct<{row}>>")
-        )
-        return F.struct(
-            F.concat(state["reports"], finished).alias("reports"),
-            F.when(done, now).otherwise(carried).alias("last"),
-        )
-
-    start = F.struct(
-        F.array().cast(f"array<struct<{row}>>").alias("reports"),
-        F.lit(None).cast(f"struct<{row}>").alias("last"),
-    )
-    reports = F.aggregate(
-        windows, start, add, lambda s: F.concat(s["reports"], F.array(s["last"]))
+    found = _carried(_segments(counts, by, min_rows, min_seconds), by, min_rows, min_seconds)
+    seconds = ((F.col("high") - F.col("low")).cast("double") / F.lit(1e6)).alias("seconds")
+    return found.select(by, "window_start", "n", seconds).withColumn("per_sec", rate)
+
+
+def _segments(counts: DataFrame, by: str, min_rows: int, min_seconds: float) -> DataFrame:
+    """Adds ``segment`` to the windows of each worker. A window that reaches both limits
+    by itself also ends whatever was carried into it, so the next one starts anew: the
+    windows up to such a one can be folded apart from all others. A segment is named by
+    the end of the one before.
+
+    That end is found on two levels, days and windows within a day, so no task sorts
+    more than the windows of one day."""
+    ends = (F.col("n") >= min_rows) & (F.col("high") - F.col("low") >= min_seconds * 1e6)
+    windows = counts.withColumn("_day", F.date_trunc("day", "window_start"))
+    end = F.when(ends, F.col("window_start"))
+    before = Window.partitionBy(by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = windows.groupBy(by, "_day").agg(F.max(end).alias("_end"))
+    days = days.select(
+        F.col(by).alias("_by"), F.col("_day").alias("_d"), F.max("_end").over(before).alias("_last")
     )
-    found = counts.groupBy(by).agg(reports.alias("_reports"))
-    found = found.select(by, F.explode("_reports").alias("_r")).select(
-        by, "_r.window_start", "_r.n",
-        ((F.col("_r.high") - F.col("_r.low")).cast("double") / F.lit(1e6)).alias("seconds"),
+    within = Window.partitionBy(by, "_day").orderBy("window_start")
+    within = within.rowsBetween(Window.unboundedPreceding, -1)
+    windows = windows.withColumn("_here", F.max(end).over(within))
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_day") == F.col("_d"))
+    joined = windows.join(days, same, "left").withColumn("segment", F.coalesce("_here", "_last"))
+    return joined.select(by, "segment", "window_start", "n", "low", "high")
+
+
+def _carried(segments: DataFrame, by: str, min_rows: int, min_seconds: float) -> DataFrame:
+    """The reports of each segment: windows in order, those below a limit carried on
+    into the next. A task holds one carried window, however long a segment is."""
+
+    def fold(batches):
+        key, carried = None, None
+        for batch in batches:
+            rows, out = batch.to_pydict(), []
+            owners = zip(rows[by], rows["_segment"], strict=True)
+            facts = zip(rows["_start"], rows["n"], rows["low"], rows["high"], strict=True)
+            for place, (owner, (start, n, low, high)) in enumerate(zip(owners, facts, strict=True)):
+                if owner != key:
+                    key, carried = owner, None
+                if carried is not None:
+                    start, n, low = carried[0], carried[1] + n, carried[2]
+                carried = (start, n, low)
+                if n >= min_rows and high - low >= min_seconds * 1e6:
+                    out.append((place, start, n, low, high))
+                    carried = None
+            places, *columns = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(by).take(pa.array(places, pa.int32())),
+                    *(pa.array(column, pa.int64()) for column in columns),
+                ],
+                names=[by, "_start", "n", "low", "high"],
+            )
+
+    rows = segments.select(
+        by,
+        F.unix_micros("segment").alias("_segment"),
+        F.unix_micros("window_start").alias("_start"),
+        "n", "low", "high",
     )
-    return found.where(enough).withColumn("per_sec", rate)
+    dealt = rows.repartition(by, "_segment").sortWithinPartitions(by, "_segment", "_start")
+    schema = T.StructType([segments.schema[by]])
+    for name in ("_start", "n", "low", "high"):
+        schema = schema.add(name, T.LongType())
+    found = dealt.mapInArrow(fold, schema)
+    return found.withColumn("window_start", F.timestamp_micros("_start")).drop("_start")
 
 
 def throughput_per_rows(

@@ -304,6 +304,90 @@ def test_hashed_order_numbers_make_few_blocks(spark):
     assert "_width" in plan
 
 
+def test_crowded_order_numbers_make_even_blocks(spark):
+    """Twenty thousand numbers in a row, one far away, and clusters on many scales."""
+    crowded = spark.range(20_000).union(spark.createDataFrame([(10**15,)], "id long"))
+    scales = spark.range(9_000).selectExpr("cast(pow(1.004, id) as bigint) + id AS id")
+    rows = crowded.selectExpr("0 AS partition", "id").union(scales.selectExpr("1", "id"))
+    blocked, keys = layout.order_blocks(rows, "id", 256)
+    sizes = blocked.groupBy(*keys).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 512
+    found = layout.with_offsets(rows, "id", 256).orderBy("partition", "id").collect()
+    expected = [(0, i) for i in range(20_001)] + [(1, i) for i in range(9_000)]
+    assert [(r["partition"], r["offset"]) for r in found] == expected
+
+
+def test_numbers_that_cannot_be_told_apart_end_the_cutting(spark):
+    """Doubles of large numbers are equal; repeated numbers are never cut."""
+    near = spark.range(3000).selectExpr("0 AS partition", f"{2**62} + id AS id")
+    same = spark.range(3000).selectExpr("1 AS partition", "7L AS id")
+    found = layout.with_offsets(near.union(same), "id", 10).orderBy("partition", "id")
+    rows = found.collect()
+    assert [r["offset"] for r in rows[:3000]] == list(range(3000))
+    assert sorted(r["offset"] for r in rows[3000:]) == list(range(3000))
+
+
+def test_rows_without_order_do_not_meet(spark):
+    df = spark.range(400).selectExpr("0 AS partition", "cast(null AS bigint) AS id")
+    found = layout.with_offsets(df.repartition(8), "id")
+    assert found.where("offset IS NULL").count() == 400
+    assert "_spare" in found._jdf.queryExecution().toString()
+
+
+def brute_carried(windows, min_rows, min_seconds):
+    found, carried = [], None
+    for start, n, low, high in sorted(windows):
+        carried = (start, n, low) if carried is None else (carried[0], carried[1] + n, carried[2])
+        if carried[1] >= min_rows and high - carried[2] >= min_seconds:
+            found.append((carried[0], carried[1], high - carried[2]))
+            carried = None
+    return found
+
+
+@pytest.mark.parametrize("min_rows, min_seconds", [(1, 0), (4, 20), (9, 300), (10**6, 0)])
+def test_carried_windows_equal_brute_force(spark, min_rows, min_seconds):
+    dice = random.Random(min_rows)
+    rows = [(dice.choice(["a", "b", None]), dice.randrange(400_000)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "worker string, s long")
+    df = df.withColumn("timestamp", F.timestamp_seconds("s"))
+    found = metrics.throughput_by(
+        df, "worker", window="1 minute", min_rows=min_rows, min_seconds=min_seconds
+    )
+    expected = []
+    for worker in ("a", "b", None):
+        windows: dict = {}
+        for w, s in rows:
+            if w == worker:
+                windows.setdefault(s // 60 * 60, []).append(s)
+        each = [(start, len(x), min(x), max(x)) for start, x in windows.items()]
+        expected += [(worker, *r) for r in brute_carried(each, min_rows, min_seconds)]
+    got = [
+        (r["worker"], int(r["window_start"].timestamp()), r["n"], int(r["seconds"]))
+        for r in found.withColumn("window_start", F.col("window_start")).collect()
+    ]
+    key = lambda r: (r[0] or "", *r[1:])
+    assert sorted(got, key=key) == sorted(expected, key=key)
+
+
+def test_many_windows_of_one_worker_are_several_tasks(spark):
+    """A million windows of five seconds, every tenth of them enough by itself."""
+    n = 1_000_000
+    windows = spark.range(n).select(
+        F.lit(1).alias("worker"),
+        F.timestamp_seconds(F.col("id") * 5).alias("window_start"),
+        F.when(F.col("id") % 10 == 9, 50).otherwise(1).cast("bigint").alias("n"),
+        (F.col("id") * 5_000_000).alias("low"),
+        (F.col("id") * 5_000_000 + 4_000_000).alias("high"),
+    )
+    segments = metrics._segments(windows, "worker", 50, 4)
+    dealt = segments.repartition(4, "worker", "segment")
+    tasks = dealt.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == 4 and max(t["count"] for t in tasks) < n / 2
+    reports = metrics._carried(segments, "worker", 50, 4)
+    found = reports.agg(F.count("*"), F.sum("n"), F.min("n"), F.max("n")).first()
+    assert tuple(found) == (n // 10, 59 * (n // 10), 59, 59)
+
+
 def test_lag_without_an_end_has_its_own_line(spark):
     lag = spark.createDataFrame([("g", None, True)], "group string, total_lag long, found boolean")
     assert metrics.lag_lines(lag).first()["line"] == "Group: g | Total Lag: unknown"
