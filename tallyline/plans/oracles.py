@@ -261,6 +261,21 @@ ORACLES: dict[str, str] = {
         SELECT 'monitor' AS "group", count(*)::BIGINT AS total_lag, true AS found
         FROM events WHERE event_type = 'click'
     """,
+    "lag_monitor_look": """
+        WITH lag AS (SELECT count(*)::BIGINT AS n FROM events WHERE event_type = 'click')
+        SELECT 'monitor' AS "group", n AS total_lag, true AS found,
+               'Group: monitor | Total Lag: ' || n || ' messages' AS line
+        FROM lag
+        UNION ALL
+        SELECT r_name, NULL, false,
+               'Group ' || chr(39) || r_name || chr(39) || ' not found or has no offsets...'
+        FROM region
+    """,
+    "backlog_progress": """
+        SELECT count(*)::BIGINT AS done, 100::BIGINT AS pct, 0::BIGINT AS steps_back,
+               count(*)::BIGINT AS read
+        FROM lineitem
+    """,
     "dense_offsets": f'SELECT partition, "offset", event_id FROM ({_DENSE})',
     "key_layout": """
         SELECT count(*)::BIGINT AS records, count(DISTINCT user_id)::BIGINT AS keys,
@@ -277,6 +292,10 @@ ORACLES: dict[str, str] = {
         SELECT {_PARTITION} AS partition, event_id AS "offset", event_id AS message_id
         FROM events ORDER BY 1, 2 LIMIT 5000
     """,
+    "first_5000_streaming": """
+        SELECT 0::INTEGER AS partition, event_id AS "offset", event_id AS message_id
+        FROM events ORDER BY 2 LIMIT 5000
+    """,
     "latest_start": f"SELECT event_id AS message_id, {_CONTENT} AS content FROM events",
     "repeated_delivery": f"""
         SELECT {_PARTITION} AS partition, event_id AS "offset", event_id AS message_id,

@@ -6,9 +6,10 @@ SQL, straight from the tables, without topics and payloads.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.scalars import epoch_seconds, to_timestamp
@@ -58,7 +59,9 @@ from tallyline.sources.spec import TopicSpec
 from tallyline.sources.topics import (
     drop_repeats,
     end_offsets,
+    group_offsets,
     read_topic_batch,
+    track_ends,
     union_topics,
     write_topic,
     write_topic_stream,
@@ -215,6 +218,24 @@ def backlog(spark, sf_dir):
     return run_summary(results, more=(F.sum("sum").alias("sum_of_sums"),))
 
 
+@query
+def backlog_progress(spark, sf_dir):
+    """The same backlog as a streaming job, a few files at a time: after its last batch
+    all is done, and no tick is behind the one before."""
+    source, sink = _specs(spark, "backlog_progress", max_files_per_batch=4)
+    write_topic(_as_topic(lineitem_lists(spark, sf_dir), source).drop("offset"), source)
+    total = read_topic_batch(spark, source).count()
+    _drained(streams.start_stream_sum(spark, source, sink))
+    ticks = streams.backlog_progress(spark, source, total, "stream_sum")
+    steps = ticks.select("*", F.lag("pct").over(Window.orderBy("batch")).alias("_before"))
+    return steps.agg(
+        F.max("done").alias("done"),
+        F.max_by("pct", "batch").alias("pct"),
+        F.count_if(F.col("pct") < F.col("_before")).alias("steps_back"),
+        F.sum("n").alias("read"),
+    )
+
+
 # Payload jobs ----------------------------------------------------------------
 
 
@@ -512,23 +533,60 @@ def lag_unknown_group(spark, sf_dir):
     return lag_lines(consumer_lag(committed, ends, groups))
 
 
-@query
-def lag_of_running_job(spark, sf_dir):
-    """A job has drained a topic, then more arrives: its lag is what arrived."""
-    source, sink = _specs(spark, "lag_of_running_job")
-    write_topic(_as_topic(dense_events(spark, sf_dir), source), source)
+def _lagging(spark, sf_dir, name: str) -> TopicSpec:
+    """A topic of events, some without a payload, that a job has drained; then the
+    clicks arrive once more."""
+    source, sink = _specs(spark, name)
+    events = dense_events(spark, sf_dir)
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    write_topic(_as_topic(events.withColumn("value", value), source), source)
     _drained(streams.start_message_monitor(spark, source, out=sink.path))
-    sent = read_topic_batch(spark, source)
-    shift = end_offsets(sent).select("partition", "end")
-    late = dense_events(spark, sf_dir).where("event_type = 'click'").drop("offset")
+    shift = end_offsets(read_topic_batch(spark, source)).select("partition", "end")
+    late = events.where("event_type = 'click'").drop("offset")
     late = with_offsets(late, "event_id").join(shift, "partition")
     late = late.withColumn("offset", F.col("offset") + F.col("end")).drop("end")
     write_topic(_as_topic(late, source), source)
-    read = spark.read.parquet(sink.path)
-    committed = end_offsets(read).select(
-        F.lit("monitor").alias("group"), "topic", "partition", F.col("end").alias("committed")
+    return source
+
+
+@query
+def lag_of_running_job(spark, sf_dir):
+    """A job has drained a topic, then more arrives: its lag is what arrived. What the
+    job has committed is what it read, with or without a result."""
+    source = _lagging(spark, sf_dir, "lag_of_running_job")
+    committed = group_offsets(spark, source, "message_monitor")
+    found = consumer_lag(committed, end_offsets(read_topic_batch(spark, source)))
+    return found.withColumn("group", F.lit("monitor"))
+
+
+@query
+def lag_monitor_look(spark, sf_dir):
+    """One look of the running lag monitor, at that job and at groups that never read."""
+    source = _lagging(spark, sf_dir, "lag_monitor_look")
+    path, seen = scratch_path(spark, "lag_lines"), threading.Event()
+
+    def report(lag: DataFrame) -> None:
+        if not seen.is_set():
+            lag.write.parquet(path)
+            seen.set()
+
+    groups = table(spark, sf_dir, "region").select(F.col("r_name").alias("group"))
+    monitor = streams.start_lag_monitor(
+        spark,
+        committed=lambda: group_offsets(spark, source, "message_monitor"),
+        ends=track_ends(spark, source),
+        groups=groups.union(groups.select(F.lit(source.group))),
+        report=report,
+        name=f"{source.group}-look",
     )
-    return consumer_lag(committed, end_offsets(read_topic_batch(spark, source)))
+    while not seen.wait(0.2) and monitor.isActive:
+        pass
+    monitor.stop()
+    if not seen.is_set():
+        raise monitor.exception()
+    known = F.lit(source.group)
+    name, line = (F.replace(c, known, F.lit("monitor")).alias(c) for c in ("group", "line"))
+    return spark.read.parquet(path).select(name, "total_lag", "found", line)
 
 
 # Layout and bounded reads ----------------------------------------------------
@@ -583,6 +641,19 @@ def first_5000(spark, sf_dir):
     return decode_messages(first).select("partition", "offset", "message_id")
 
 
+@query
+def first_5000_streaming(spark, sf_dir):
+    """The same number from a continuing read that ends there by itself, and a second
+    start that adds nothing. All events are in one partition here, and in one batch."""
+    source, sink = _specs(spark, "first_5000_streaming")
+    topic = _as_topic(event_messages(spark, sf_dir), source)
+    write_topic(topic.withColumn("partition", F.lit(0)).repartition(3), source)
+    for _ in range(2):
+        _drained(streams.start_first_records(spark, source, sink.path, 5000))
+    taken = decode_messages(spark.read.parquet(sink.path).drop("error"))
+    return taken.select("partition", "offset", "message_id")
+
+
 @query
 def latest_start(spark, sf_dir):
     """A group that starts at the newest record skips what was there (orders)

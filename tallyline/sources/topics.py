@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from functools import reduce
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyline.session import checkpoint_path
+from tallyline.session import checkpoint_path, shared_dir
+from tallyline.sources.commits import committed_offsets, follow, never_written, observe_offsets
 from tallyline.sources.schemas import STORED_TOPIC, TOPIC
 from tallyline.sources.spec import (
     Offsets,
@@ -73,12 +75,6 @@ def read_topic_batch(
     return _bounds(df, end, Column.__lt__, max, partitions)
 
 
-def never_written(problem: AnalysisException) -> None:
-    """Lets a missing table pass, as one that nothing was written to yet."""
-    if problem.getCondition() != "PATH_NOT_FOUND":
-        raise problem
-
-
 def end_offsets(df: DataFrame) -> DataFrame:
     """One past the last record of every partition."""
     return df.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("end"))
@@ -154,24 +150,66 @@ def _kept_offsets(spark: SparkSession, path: str) -> Offsets | None:
 
 
 def read_topic_stream(spark: SparkSession, spec: TopicSpec, job: str = "read") -> DataFrame:
-    """A continuing read with the row layout of the bounded one."""
+    """A continuing read with the row layout of the bounded one. A table's offsets are
+    observed, so that what the group has read can be noted.
+
+    Where the group begins behind older records, the partitions it knows are asked for
+    offsets from there on in a form that file statistics can answer, and partitions
+    that came later are read as a source of their own, which no older file is in."""
     if not spec.is_table:
         options = stream_read_options(spec)
         return spark.readStream.format("kafka").options(**options).load().select(*TOPIC.names)
     reader = spark.readStream.schema(STORED_TOPIC).options(**spec.options)
     if spec.max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", spec.max_files_per_batch)
-    df = _topic_columns(reader.parquet(spec.path), spec.topic)
-    return _bounds(df, _first_offsets(spark, spec, job), Column.__ge__, min, None)
+
+    def rows() -> DataFrame:
+        return _topic_columns(reader.parquet(spec.path), spec.topic)
+
+    first = _first_offsets(spark, spec, job)
+    if not first:
+        return observe_offsets(rows(), spec.partitions)
+    named = F.col("partition").isin(*first)
+    known = _bounds(rows().where(named), first, Column.__ge__, min, list(first))
+    return observe_offsets(known.union(rows().where(~named)), spec.partitions)
+
+
+def group_offsets(spark: SparkSession, spec: TopicSpec, job: str) -> DataFrame:
+    """``committed_offsets`` of a group, from where it began."""
+    first = _first_offsets(spark, spec, job)
+    return committed_offsets(spark, spec, job, first)
+
+
+def _ends_place(spark: SparkSession, spec: TopicSpec) -> str:
+    name = hashlib.sha256(f"{spec.path}\n{spec.topic}".encode()).hexdigest()[:32]
+    return f"{shared_dir(spark)}/tallyline/ends/{name}"
 
 
 def _next_offset(spark: SparkSession, spec: TopicSpec) -> int:
+    """One past the highest offset of a table topic. What was found is kept, and the
+    next call reads on from there, which passes over all older parts of the files."""
+    place = _ends_place(spark, spec)
     try:
-        last = read_topic_batch(spark, spec).agg(F.max("offset")).first()[0]
+        kept = spark.read.schema("end bigint").json(place).agg(F.max("end")).first()[0] or 0
+    except AnalysisException as problem:
+        never_written(problem)
+        kept = 0
+    try:
+        last = newer_records(spark, spec, kept).agg(F.max("offset")).first()[0]
     except AnalysisException as problem:
         never_written(problem)
         return 0
-    return 0 if last is None else last + 1
+    end = kept if last is None else last + 1
+    if end > kept:
+        noted = spark.createDataFrame([(end,)], "end bigint").coalesce(1)
+        noted.write.mode("overwrite").json(place)
+    return end
+
+
+def newer_records(spark: SparkSession, spec: TopicSpec, end: int) -> DataFrame:
+    """Places of the records at or beyond an offset, in all partitions."""
+    rows = read_topic_batch(spark, spec)
+    return rows.where(F.col("offset") >= end).select(*_PLACE)
 
 
 def sink_rows(df: DataFrame, spec: TopicSpec) -> DataFrame:
@@ -242,6 +280,7 @@ def write_topic_stream(
         if "error" in df.columns:
             options["includeHeaders"] = "true"
         writer = broker_rows(df, spec).writeStream.format("kafka").options(**options)
+    follow(df.sparkSession, group, job)
     writer = writer.outputMode("append").queryName(f"{group}.{job}")
     writer = writer.option(
         "checkpointLocation", f"{checkpoint_path(df.sparkSession, group, job)}/progress"

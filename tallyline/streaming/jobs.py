@@ -8,19 +8,24 @@ once; broker sinks deliver at least once.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyline.functions.scalars import percent_done
+from tallyline.operators.layout import first_records
 from tallyline.operators.metrics import consumer_lag, lag_lines, observe_stream
 from tallyline.plans import jobs
 from tallyline.session import checkpoint_path
+from tallyline.sources.commits import follow, never_written, progress_ticks
 from tallyline.sources.generators import gen_int_lists_stream, gen_messages_stream
 from tallyline.sources.spec import TopicSpec
-from tallyline.sources.topics import never_written, read_topic_stream, write_topic_stream
+from tallyline.sources.topics import read_topic_stream, write_topic_stream
 
 LAG_EVERY = "2 seconds"
 
@@ -57,6 +62,9 @@ def start_message_monitor(
     return _start(writer, spark, source.group, job, drain)
 
 
+FOLD_EVERY = 32  # batches of the result tail between two folds
+
+
 def start_result_tail(
     spark: SparkSession,
     source: TopicSpec,
@@ -64,34 +72,103 @@ def start_result_tail(
     seconds: int = 5,
     watermark: str | None = None,
     drain: bool = True,
+    fold_every: int = FOLD_EVERY,
 ) -> StreamingQuery:
-    """Results per window. Every batch stores the windows it changed under its
-    own number, so that a batch which runs again replaces itself; read the
-    table with ``latest_windows``. With a watermark Spark forgets windows that
-    are older, and results that come later than that are not counted."""
+    """Results per window. Every batch stores the windows it changed, and every
+    ``fold_every`` batches the last state of all windows is folded into one table; read
+    both with ``latest_windows``. With a watermark Spark forgets windows that are
+    older, and results that come later than that are not counted.
+
+    Batches take turns in twice as many places as a fold takes in, and folds in two, so
+    the folder does not grow with the number of batches. A batch that runs again
+    replaces itself: what it folds, the fold before and the batches since then, is
+    still there."""
     job = "result_tail"
     rows = read_topic_stream(spark, source, job)
     rows = rows if watermark is None else rows.withWatermark("timestamp", watermark)
     counted = jobs.result_tail(rows, seconds)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        numbered = batch.withColumn("batch", F.lit(number).cast("bigint"))
+        numbered.write.mode("overwrite").parquet(f"{out}/batch/slot={number % (2 * fold_every)}")
+        if (number + 1) % fold_every == 0:
+            turn = (number + 1) // fold_every % 2
+            state = _tail_state(spark, out, number).withColumn("upto", F.lit(number).cast("bigint"))
+            state.write.mode("overwrite").parquet(f"{out}/fold/slot={turn}")
 
     writer = counted.writeStream.outputMode("update").foreachBatch(store)
     return _start(writer, spark, source.group, job, drain)
 
 
-def latest_windows(spark: SparkSession, out: str) -> DataFrame:
-    """The last state of each window that ``start_result_tail`` stored."""
-    schema = "window_start timestamp, n bigint, per_sec bigint, rate double"
+_WINDOWS = "window_start timestamp, n bigint, per_sec bigint, rate double, batch bigint"
+
+
+def _stored(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     try:
-        stored = spark.read.schema(f"{schema}, batch bigint").parquet(out)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as problem:
         never_written(problem)
         return spark.createDataFrame([], schema)
-    newest = F.max_by(F.struct("n", "per_sec", "rate"), "batch").alias("_last")
-    last = stored.groupBy("window_start").agg(newest)
-    return last.select("window_start", "_last.n", "_last.per_sec", "_last.rate")
+
+
+def _tail_state(spark: SparkSession, out: str, upto: int | None = None) -> DataFrame:
+    """``batch`` and the last state of each window, from the newest fold and the batches
+    behind it; for the fold of batch ``upto``, from those before it."""
+    folds = _stored(spark, f"{out}/fold", f"{_WINDOWS}, upto bigint")
+    since = _stored(spark, f"{out}/batch", _WINDOWS)
+    if upto is not None:
+        folds = folds.where(F.col("upto") < upto)
+        since = since.where(F.col("batch") <= upto)
+    newest = folds.agg(F.max("upto")).first()[0]
+    if newest is not None:
+        since = since.where(F.col("batch") > newest)
+    columns = ("window_start", "n", "per_sec", "rate", "batch")
+    folded = folds.where(F.col("upto") == newest).select(*columns)
+    last = F.max_by(F.struct(*columns[1:]), "batch").alias("_last")
+    states = folded.union(since.select(*columns)).groupBy("window_start").agg(last)
+    return states.select("window_start", "_last.*")
+
+
+def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+    """The last state of each window that ``start_result_tail`` stored."""
+    return _tail_state(spark, out).drop("batch")
+
+
+def start_first_records(
+    spark: SparkSession, source: TopicSpec, out: str, n: int, drain: bool = True
+) -> StreamingQuery:
+    """Exactly ``n`` records of a topic (all, if it has fewer), as a table; then the query
+    ends. The batch that reaches ``n`` is cut, in the order of partition and offset; a
+    second start adds nothing. Every batch is stored under its number, so one that runs
+    again replaces itself and is cut alike."""
+    job = "first_records"
+    rows = read_topic_stream(spark, source, job)
+    numbered = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+    query: list[StreamingQuery] = []
+
+    def store(batch: DataFrame, number: int) -> None:
+        done = _stored(spark, out, numbered).where(F.col("batch") < number).count()
+        if done < n:
+            place = f"{out}/batch={number}"
+            first_records(batch, n - done).write.mode("overwrite").parquet(place)
+            done += spark.read.schema(rows.schema).parquet(place).count()
+        if done >= n:
+            # From another thread, as this one belongs to the query.
+            threading.Thread(target=lambda: query and query[0].stop(), daemon=True).start()
+
+    writer = rows.writeStream.outputMode("append").foreachBatch(store)
+    query.append(_start(writer, spark, source.group, job, drain))
+    return query[0]
+
+
+def backlog_progress(spark: SparkSession, source: TopicSpec, total: int, job: str) -> DataFrame:
+    """Progress of a running or ended job over a backlog of ``total`` records: one tick
+    per batch, with the records done and the whole percent after it."""
+    ticks = progress_ticks(spark, source, job)
+    upto = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = F.sum("n").over(upto)
+    pct = percent_done(done, F.lit(total).cast("bigint"))
+    return ticks.select("batch", "tick", "n", done.alias("done"), pct.alias("pct"))
 
 
 def start_message_feed(
@@ -144,13 +221,16 @@ def _print_lines(lag: DataFrame) -> None:
 
 
 def _start(writer, spark: SparkSession, group: str, job: str, drain: bool) -> StreamingQuery:
+    follow(spark, group, job)
     place = f"{checkpoint_path(spark, group, job)}/progress"
     writer = writer.option("checkpointLocation", place).queryName(f"{group}.{job}")
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 
 __all__ = [
+    "backlog_progress",
     "latest_windows",
+    "start_first_records",
     "start_lag_monitor",
     "start_list_feed",
     "start_message_feed",
