@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.functions.payload_sql import (
+    INVALID_BOOLEAN,
+    INVALID_CHOICE,
     INVALID_UTF8,
     NEGATIVE_LENGTH,
     SUM_OVERFLOW,
@@ -47,7 +49,8 @@ def _pieces(bounds: np.ndarray, size: int) -> list[tuple[int, int]]:
 def _decoder(returns: T.DataType):
     """A function over payloads that takes a batch piece by piece. Decoding needs
     many times the size of its input, so the size of a piece bounds its memory,
-    whatever the session allows a batch; only a single longer payload goes beyond."""
+    whatever the session allows a batch. A single longer payload goes beyond, but
+    where lists are only summed."""
 
     def wrap(body):
         def decode(column: pa.Array) -> pa.Array:
@@ -61,8 +64,11 @@ def _decoder(returns: T.DataType):
     return wrap
 
 
-REASONS = [TRUNCATED, TOO_LONG, NEGATIVE_LENGTH, INVALID_UTF8, SUM_OVERFLOW]
-_TRUNCATED, _TOO_LONG, _NEGATIVE, _UTF8, _OVERFLOW = range(5)
+REASONS = [
+    TRUNCATED, TOO_LONG, NEGATIVE_LENGTH, INVALID_UTF8, SUM_OVERFLOW, INVALID_BOOLEAN,
+    INVALID_CHOICE,
+]
+_TRUNCATED, _TOO_LONG, _NEGATIVE, _UTF8, _OVERFLOW, _BOOLEAN, _CHOICE = range(7)
 _FINE = -1
 
 
@@ -214,7 +220,46 @@ _MESSAGE = (
 )
 
 
+def _sum_long(data: np.ndarray) -> tuple[int, int]:
+    """Sum and fault of one payload of any length, read a piece at a time: a block goes
+    on in the next piece, and so does a varint that the end of a piece cuts."""
+    at, left, sized, total = 0, 0, False, 0
+    while at < data.size:
+        piece = data[at : at + PIECE]
+        end = np.flatnonzero(piece < 0x80)
+        if not end.size:
+            return 0, _TOO_LONG if piece.size >= MAX_GROUPS else _TRUNCATED
+        start = np.concatenate(([0], end[:-1] + 1))
+        size = end - start + 1
+        broken = (size > MAX_GROUPS) | ((size == MAX_GROUPS) & (piece[end] > 1))
+        stop = int(broken.argmax()) if broken.any() else size.size
+        number = _numbers_at(piece, start[:stop], size[:stop])
+        i = 0
+        while i < stop:
+            if left and not sized:
+                taken = number[i : i + left]
+                total += int((taken & 0xFFFFFFFF).sum()) + (int((taken >> 32).sum()) << 32)
+                left -= taken.size
+                i += taken.size
+                continue
+            # A count, or the byte size behind a negative one, which is passed over.
+            if not sized:
+                left = abs(int(number[i]))
+                if not left:
+                    return total, _FINE if -(2**63) <= total < 2**63 else _OVERFLOW
+            sized = not sized and number[i] < 0
+            i += 1
+        if stop < size.size:
+            return 0, _TOO_LONG
+        at += int(end[-1]) + 1
+    return 0, _TRUNCATED
+
+
 def _sum_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    if len(column) == 1 and (data := _bytes_of(column)[0]).size > PIECE:
+        total, reason = _sum_long(data)
+        total = total if reason == _FINE else 0
+        return np.array([total], np.int64), np.array([reason], np.int32)
     varints = _Varints(*_bytes_of(column))
     row, first, end, fault = _read_lists(varints)
 
@@ -300,18 +345,22 @@ class _Cursor:
         self.at = np.minimum(self.at + 8, self.end)
         return np.ascontiguousarray(eight).view("<f8")[:, 0]
 
-    def text(self) -> pa.Array:
-        length = self.varint()
+    def raw(self, length: np.ndarray) -> pa.Array:
+        """So many bytes of each row, as they are."""
         self.fail(length < 0, _NEGATIVE)
         self.fail(length > self.end - self.at, _TRUNCATED)
         length = np.where(self.fault == _FINE, length, 0)
         bounds = _running(length)
         take = np.arange(bounds[-1]) + np.repeat(self.at - bounds[:-1], length)
-        raw = pa.Array.from_buffers(
+        self.at = self.at + length
+        return pa.Array.from_buffers(
             pa.large_binary(),
             length.size,
             [None, pa.py_buffer(bounds), pa.py_buffer(self.data[take])],
         )
+
+    def text(self) -> pa.Array:
+        raw = self.raw(self.varint())
         try:
             return raw.cast(pa.large_string()).cast(pa.string())
         except pa.ArrowInvalid:
@@ -337,6 +386,29 @@ class _Cursor:
         return pa.concat_arrays(texts).cast(pa.string())
 
 
+    def of(self, rows: np.ndarray) -> _Cursor:
+        """A cursor over some of the rows, which are read on by it alone."""
+        part = object.__new__(_Cursor)
+        part.data, part.at, part.end = self.data, self.at[rows], self.end[rows]
+        part.fault = self.fault[rows]
+        return part
+
+    def back(self, rows: np.ndarray, part: _Cursor) -> None:
+        self.at[rows], self.fault[rows] = part.at, part.fault
+
+    def one_byte(self) -> np.ndarray:
+        self.fail(self.end - self.at < 1, _TRUNCATED)
+        byte = self.data[self.at]
+        self.at = np.minimum(self.at + 1, self.end)
+        return byte
+
+    def four(self) -> np.ndarray:
+        self.fail(self.end - self.at < 4, _TRUNCATED)
+        four = self.data[self.at[:, None] + np.arange(4)]
+        self.at = np.minimum(self.at + 4, self.end)
+        return np.ascontiguousarray(four).view("<f4")[:, 0]
+
+
 @_decoder(_MESSAGE)
 def message(column: pa.Array) -> pa.Array:
     cursor = _Cursor(*_bytes_of(column))
@@ -434,6 +506,148 @@ def message_bytes(message_id: pa.Array, event_time: pa.Array, content: pa.Array)
         _varint_bytes(np.diff(text_bounds)),
         (text, text_bounds),
     ]
+    gone = _nulls(message_id) | _nulls(event_time) | _nulls(content)
+    return _binary(*_joined(parts), gone)
+
+
+# Records of any flat shape -----------------------------------------------------------
+
+
+def _field(cursor: _Cursor, kind) -> pa.Array:
+    """The next field of every row. Rows with a fault have any value."""
+    if isinstance(kind, tuple):
+        form, detail = kind
+        if form == "array":
+            return _items(cursor, detail)
+        if form == "fixed":
+            return cursor.raw(np.full(cursor.at.size, detail)).cast(pa.binary())
+        if form == "enum":
+            choice = cursor.varint()
+            cursor.fail((choice < 0) | (choice >= len(detail)), _CHOICE)
+            choice = np.where(cursor.fault == _FINE, choice, 0)
+            return pa.array(detail, pa.string()).take(pa.array(choice))
+        return _optional(cursor, form, detail)
+    if kind in ("int", "long"):
+        return pa.array(cursor.varint())
+    if kind == "double":
+        return pa.array(cursor.double())
+    if kind == "float":
+        return pa.array(cursor.four())
+    if kind == "boolean":
+        byte = cursor.one_byte()
+        cursor.fail(byte > 1, _BOOLEAN)
+        return pa.array(byte == 1)
+    if kind == "bytes":
+        return cursor.raw(cursor.varint()).cast(pa.binary())
+    return cursor.text()
+
+
+def _optional(cursor: _Cursor, absent: int, kind) -> pa.Array:
+    """A field that is there or not, as the number before it says."""
+    choice = cursor.varint()
+    cursor.fail((choice != 0) & (choice != 1), _CHOICE)
+    here = (choice != absent) & (cursor.fault == _FINE)
+    rows = np.flatnonzero(here)
+    part = cursor.of(rows)
+    found = _field(part, kind)
+    cursor.back(rows, part)
+    place = np.cumsum(here) - 1
+    return found.take(pa.array(place, mask=~here))
+
+
+def _items(cursor: _Cursor, kind) -> pa.Array:
+    """Arrays in blocks. All rows that have another block read its count, then all that
+    have another item read one: the steps depend on the longest array of a piece."""
+    size = cursor.at.size
+    left, open_ = np.zeros(size, np.int64), np.ones(size, bool)
+    parts, owners = [], []
+    while True:
+        rows = np.flatnonzero(open_ & (left == 0) & (cursor.fault == _FINE))
+        if rows.size:
+            part = cursor.of(rows)
+            count = part.varint()
+            sized = np.flatnonzero((count < 0) & (part.fault == _FINE))
+            inner = part.of(sized)
+            inner.varint()  # the byte size of the block
+            part.back(sized, inner)
+            cursor.back(rows, part)
+            left[rows] = np.abs(count)
+            open_[rows] = count != 0
+        rows = np.flatnonzero(open_ & (left > 0) & (cursor.fault == _FINE))
+        if not rows.size:
+            break
+        part = cursor.of(rows)
+        parts.append(_field(part, kind))
+        owners.append(rows)
+        cursor.back(rows, part)
+        left[rows] -= 1
+    if not parts:
+        bounds = pa.array(np.zeros(size + 1, np.int32))
+        return pa.ListArray.from_arrays(bounds, pa.array([], _arrow_type(kind)))
+    owner = np.concatenate(owners)
+    items = pa.concat_arrays(parts).take(pa.array(np.argsort(owner, kind="stable")))
+    lengths = np.bincount(owner, minlength=size)
+    return pa.ListArray.from_arrays(pa.array(_running(lengths).astype(np.int32)), items)
+
+
+_PLAIN = {
+    "int": (T.LongType(), pa.int64()),
+    "long": (T.LongType(), pa.int64()),
+    "double": (T.DoubleType(), pa.float64()),
+    "float": (T.FloatType(), pa.float32()),
+    "boolean": (T.BooleanType(), pa.bool_()),
+    "bytes": (T.BinaryType(), pa.binary()),
+    "string": (T.StringType(), pa.string()),
+}
+
+
+def _arrow_type(kind) -> pa.DataType:
+    if not isinstance(kind, tuple):
+        return _PLAIN[kind][1]
+    form, detail = kind
+    if form == "array":
+        return pa.list_(_arrow_type(detail))
+    return {"fixed": pa.binary(), "enum": pa.string()}.get(form) or _arrow_type(detail)
+
+
+def _spark_type(kind) -> T.DataType:
+    if not isinstance(kind, tuple):
+        return _PLAIN[kind][0]
+    form, detail = kind
+    if form == "array":
+        return T.ArrayType(_spark_type(detail))
+    return {"fixed": T.BinaryType(), "enum": T.StringType()}.get(form) or _spark_type(detail)
+
+
+def record(kinds: list):
+    """A decoder for records of these fields, named ``f0``, ``f1``, ... and ``error``. A
+    kind is a name, or one of ("array", kind), ("fixed", bytes), ("enum", symbols) and
+    (0 or 1, kind), an optional field, with the number that says it is absent."""
+    names = [f"f{i}" for i in range(len(kinds))]
+    returns = T.StructType()
+    for name, kind in zip(names, kinds, strict=True):
+        returns = returns.add(name, _spark_type(kind))
+    types = [_arrow_type(kind) for kind in kinds]
+
+    @_decoder(returns.add("error", T.StringType()))
+    def read(column: pa.Array) -> pa.Array:
+        cursor = _Cursor(*_bytes_of(column))
+        fields = [_field(cursor, kind) for kind in kinds]
+        nulls = _nulls(column)
+        gone = pa.array(nulls | (cursor.fault != _FINE))
+        kept = [
+            pc.if_else(gone, pa.scalar(None, kind), field.cast(kind))
+            for field, kind in zip(fields, types, strict=True)
+        ]
+        return pa.StructArray.from_arrays(
+            [*kept, _reasons(cursor.fault, nulls)], [*names, "error"]
+        )
+
+    return read
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row the bytes of all parts, one behind the other."""
     sizes = [np.diff(bounds) for _, bounds in parts]
     row_bounds = _running(sum(sizes))
     data = np.empty(row_bounds[-1], dtype=np.uint8)
@@ -441,8 +655,67 @@ def message_bytes(message_id: pa.Array, event_time: pa.Array, content: pa.Array)
     for (part, bounds), size in zip(parts, sizes, strict=True):
         data[np.arange(part.size) + np.repeat(start - bounds[:-1], size)] = part
         start += size
-    gone = _nulls(message_id) | _nulls(event_time) | _nulls(content)
-    return _binary(data, row_bounds, gone)
+    return data, row_bounds
+
+
+def _field_bytes(column: pa.Array, kind) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Bytes of a field of every row, and the rows that cannot be written."""
+    gone = _nulls(column)
+    fixed = np.arange(len(column) + 1, dtype=np.int64)
+    if isinstance(kind, tuple):
+        form, detail = kind
+        if form == "array":
+            return _item_bytes(column, detail)
+        if form == "fixed":
+            data, bounds = _bytes_of(pc.fill_null(column, bytes(detail)))
+            return (data, bounds), gone | (np.diff(bounds) != detail)
+        if form == "enum":
+            choice = pc.index_in(column, pa.array(detail, column.type))
+            return _varint_bytes(_filled(choice, np.int64)), gone | _nulls(choice)
+        (data, bounds), bad = _field_bytes(column, detail)
+        size = np.where(gone, 0, np.diff(bounds))
+        kept = (data[np.repeat(~gone, np.diff(bounds))], _running(size))
+        choice = _varint_bytes(np.where(gone, form, 1 - form).astype(np.int64))
+        return _joined([choice, kept]), bad & ~gone
+    if kind in ("int", "long"):
+        return _varint_bytes(_filled(column, np.int64)), gone
+    if kind in ("double", "float"):
+        width = 8 if kind == "double" else 4
+        values = np.ascontiguousarray(_filled(column, f"<f{width}"))
+        return (values.view(np.uint8), fixed * width), gone
+    if kind == "boolean":
+        values = column.fill_null(False).to_numpy(zero_copy_only=False)
+        return (values.astype(np.uint8), fixed), gone
+    data, bounds = _bytes_of(pc.fill_null(column, "" if kind == "string" else b""))
+    return _joined([_varint_bytes(np.diff(bounds)), (data, bounds)]), gone
+
+
+def _item_bytes(column: pa.Array, kind) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """One block and the closing zero; an empty array is the zero alone."""
+    gone = _nulls(column)
+    length = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    edges = _running(length)
+    (data, bounds), bad = _field_bytes(column.flatten(), kind)
+    bad = _running(bad)
+    count, count_bounds = _varint_bytes(length.astype(np.int64))
+    head = np.where(length > 0, np.diff(count_bounds), 0)
+    count = count[np.repeat(length > 0, np.diff(count_bounds))]
+    close = (np.zeros(len(column), np.uint8), np.arange(len(column) + 1, dtype=np.int64))
+    joined = _joined([(count, _running(head)), (data, bounds[edges]), close])
+    return joined, gone | (bad[edges[1:]] > bad[edges[:-1]])
+
+
+def record_bytes(kinds: list):
+    """An encoder for records of these fields, see ``record``; a NULL where the record
+    has to have a value, and a value that a field cannot hold, make a NULL payload."""
+
+    @_once(T.BinaryType())
+    def write(*columns: pa.Array) -> pa.Array:
+        made = [_field_bytes(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+        gone = np.logical_or.reduce([bad for _, bad in made])
+        return _binary(*_joined([parts for parts, _ in made]), gone)
+
+    return write
 
 
 def _filled(column: pa.Array, dtype) -> np.ndarray:

@@ -26,6 +26,8 @@ from tallyline.functions.varint import (
 
 NEGATIVE_LENGTH = "negative_length"
 INVALID_UTF8 = "invalid_utf8"
+INVALID_BOOLEAN = "invalid_boolean"
+INVALID_CHOICE = "invalid_choice"
 SUM_OVERFLOW = "sum_overflow"
 
 

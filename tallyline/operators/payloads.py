@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import payload_arrow, payload_sql
-from tallyline.sources.schemas import INT_LIST, SUM, record_kind, record_type
+from tallyline.sources.schemas import INT_LIST, MESSAGE, SUM, record_fields, record_kind
 
 _ENGINES = ("arrow", "sql")
 _DECODED = "_decoded"
@@ -123,16 +123,46 @@ def decode_topic(
     df: DataFrame, avsc: str | dict, value: str = "value", engine: str = "arrow"
 ) -> DataFrame:
     """Decodes a topic by a record schema: the shape of the record picks the
-    decoder, its field names become the columns. Items stay 64 bits wide."""
-    kind, fields = record_kind(avsc), record_type(avsc).names
+    decoder, its field names become the columns. Whole numbers stay 64 bits wide.
+    Shapes without a decoder of their own are read field by field."""
+    fields = record_fields(avsc)
+    kind, names = record_kind(avsc), [name for name, _ in fields]
     if kind == INT_LIST:
         decoded, made = decode_int_lists(df, value, engine), ["numbers"]
     elif kind == SUM:
         decoded, made = decode_sums(df, value, engine), ["sum"]
-    else:
+    elif kind == MESSAGE:
         decoded = decode_messages(df, value, engine)
         made = ["message_id", "event_time", "content"]
-    return decoded.withColumnsRenamed(dict(zip(made, fields, strict=True)))
+    else:
+        return decode_records(df, avsc, value, engine)
+    return decoded.withColumnsRenamed(dict(zip(made, names, strict=True)))
+
+
+def decode_records(
+    df: DataFrame, avsc: str | dict, value: str = "value", engine: str = "arrow"
+) -> DataFrame:
+    """Adds a column per field of any flat record, and ``error``. Columns of the frame
+    with the name of a field are replaced. An absent optional field is NULL."""
+    if engine != "arrow":
+        raise ValueError("records of any shape are decoded by the arrow engine")
+    fields = record_fields(avsc)
+    names = [name for name, _ in fields]
+    read = payload_arrow.record([kind for _, kind in fields])
+    kept = [F.col(name) for name in df.columns if name not in (*names, "error")]
+    spread = [F.col(f"{_DECODED}.f{i}").alias(name) for i, name in enumerate(names)]
+    decoded = df.withColumn(_DECODED, read(F.col(value)))
+    return decoded.select(*kept, *spread, F.col(f"{_DECODED}.error").alias("error"))
+
+
+def encode_records(df: DataFrame, avsc: str | dict, value: str = "value") -> DataFrame:
+    """Adds the payload of a flat record made of the columns with its fields' names. A
+    NULL in a field that is not optional makes a NULL payload."""
+    fields = record_fields(avsc)
+    write = payload_arrow.record_bytes([kind for _, kind in fields])
+    types = [payload_arrow._spark_type(kind) for _, kind in fields]
+    columns = [F.col(n).cast(t) for (n, _), t in zip(fields, types, strict=True)]
+    return df.withColumn(value, write(*columns))
 
 
 def drop_null_values(df: DataFrame, value: str = "value") -> DataFrame:

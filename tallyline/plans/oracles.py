@@ -124,6 +124,14 @@ ORACLES: dict[str, str] = {
     "typed_lists": f"""
         SELECT l_orderkey, l_linenumber, array_to_string({_LIST}, ',') AS basket FROM lineitem
     """,
+    "typed_records": """
+        SELECT event_id AS id, event_type AS kind,
+               CASE WHEN event_type <> 'view' THEN props END AS note, value AS weight,
+               event_type = 'error' AS alert,
+               CASE WHEN event_type = 'click' THEN '' ELSE user_id || ',' || -event_id END AS links,
+               CASE WHEN event_type <> 'signup' THEN epoch_us(ts) END AS sent
+        FROM events
+    """,
     "typed_sums": f"SELECT l_orderkey, sum AS total FROM ({_LINE_SUMS})",
     "null_payloads": """
         SELECT event_type, count(*)::BIGINT AS n,

@@ -30,6 +30,7 @@ from tallyline.operators.payloads import (
     decode_messages,
     decode_sums,
     decode_topic,
+    encode_records,
     encode_sums,
     list_sum,
     split_quarantine,
@@ -92,6 +93,20 @@ MESSAGE_SCHEMA = {
     ],
 }
 
+EVENT_SCHEMA = {
+    "type": "record",
+    "name": "Event",
+    "fields": [
+        {"name": "id", "type": "long"},
+        {"name": "kind", "type": "string"},
+        {"name": "note", "type": ["null", "string"]},
+        {"name": "weight", "type": "double"},
+        {"name": "alert", "type": "boolean"},
+        {"name": "links", "type": {"type": "array", "items": "long"}},
+        {"name": "sent", "type": ["long", "null"]},
+    ],
+}
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -324,6 +339,26 @@ def typed_lists(spark, sf_dir):
     return typed.select("l_orderkey", "l_linenumber", F.array_join("basket", ",").alias("basket"))
 
 
+@query
+def typed_records(spark, sf_dir):
+    """A record of seven fields, two of them optional and one an array, through a topic."""
+    events = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    records = events.select(
+        F.col("event_id").alias("id"),
+        kind.alias("kind"),
+        F.when(kind != "view", F.col("props")).alias("note"),
+        F.col("value").alias("weight"),
+        (kind == "error").alias("alert"),
+        F.when(kind == "click", F.array()).otherwise(F.array("user_id", -F.col("event_id"))).alias("links"),
+        F.when(kind != "signup", F.unix_micros(instant("ts"))).alias("sent"),
+    )
+    sent = encode_records(records, EVENT_SCHEMA).select("value")
+    typed = decode_topic(sent, EVENT_SCHEMA).where("error IS NULL")
+    links = F.array_join("links", ",").alias("links")
+    return typed.select("id", "kind", "note", "weight", "alert", links, "sent")
+
+
 @query
 def typed_sums(spark, sf_dir):
     sums = jobs.stream_sum(lineitem_lists(spark, sf_dir))

@@ -174,13 +174,21 @@ def test_record_kinds():
     assert schemas.record_kind(record(LIST)) == schemas.INT_LIST
     assert schemas.record_kind(json.dumps(record("long"))) == schemas.SUM
     assert schemas.record_kind(record("long", "double", "string")) == schemas.MESSAGE
-    declared = schemas.record_type(record("int", {"type": "bytes"}))
-    assert declared.simpleString() == "struct<a:int,b:binary>"
+    assert schemas.record_kind(record("double")) == schemas.ANY
+    assert schemas.record_fields(record(["string", "null"], {"type": "fixed", "size": 3})) == [
+        ("a", (1, "string")), ("b", ("fixed", 3)),
+    ]
 
 
 @pytest.mark.parametrize(
-    "avsc", [record("double"), record("long", "long"), record("fixed"), {"type": "enum"}]
-)
+    "avsc",
+    [
+        record("fixed"), {"type": "enum"}, record(["null", "int", "long"]), record(["null"]),
+        record({"type": "array", "items": ["null", "int"]}), record({"type": "map", "values": "int"}),
+        {"type": "record", "fields": []},
+        {"type": "record", "fields": [{"name": "error", "type": "long"}]},
+    ],
+)
 def test_unknown_records(avsc):
     with pytest.raises(ValueError):
         schemas.record_kind(avsc)
