@@ -23,30 +23,30 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.graph import stored
 
-BLOCK_ROWS = 8192
+BLOCK_CELLS = 1 << 22  # components of a block's vectors; a block has 1,024 rows at least
 CHUNK_QUERIES = 512
 LEVELS = 12
 CHECKED_LEVELS = 4  # of the last levels, at which the bound is tried
 FEW = 256  # rows scored exactly without going on
-LARGEST = float(1 << 26)  # components are held within this, so that sums stay exact
+_EXACT = 1 << 52  # doubles are exact for whole numbers up to this
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """``floor(scale * x)`` of each component; null where the vector is null or has
-    a null, infinite or undefined component."""
+    """``floor(scale * x)`` of each component, a long (the nearest one, if it has none);
+    null where the vector is null or has a null, infinite or undefined component."""
     doubles = vector.cast("array<double>")
     bad = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    held = F.transform(
-        doubles,
-        lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(LARGEST)), F.lit(-LARGEST))),
-    )
-    return F.when(vector.isNotNull() & ~bad, held.cast("array<int>"))
+    floors = F.transform(doubles, lambda x: F.floor(x * F.lit(float(scale))))
+    return F.when(vector.isNotNull() & ~bad, floors)
 
 
 class ImpactIndex:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         n, dims = rows.shape
+        # In floating point, as the least long has no counterpart.
+        self.largest = float(np.abs(rows.astype(np.float64)).max()) if rows.size else 0.0
         order = np.argsort(rows, axis=0, kind="stable").T
         values = np.take_along_axis(rows, order.T, axis=0).T
         fresh = np.ones((dims, n), bool)
@@ -59,6 +59,9 @@ class ImpactIndex:
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (score, then smaller id) of the rows with other ids."""
+        reach = self.largest * np.abs(query.astype(np.float64)).max(initial=0.0) * len(query)
+        if reach >= _EXACT:
+            return self._best_of_large(query_id, query, k)
         impact = query[self.dim] * self.value
         up = np.flatnonzero(impact > 0)
         up = up[np.argsort(-impact[up], kind="stable")]
@@ -98,6 +101,18 @@ class ImpactIndex:
         return self.ids[able][order], scores[order]
 
 
+    def _best_of_large(self, query_id: int, query: np.ndarray, k: int):
+        """The same where sums may leave the whole numbers that doubles hold: all rows
+        are scored with whole numbers of any size. A score that is no long is the
+        nearest one, after the order is known."""
+        others = np.flatnonzero(self.ids != query_id)
+        scores = self.rows[others].astype(object) @ query.astype(object)
+        ids = self.ids[others]
+        order = sorted(range(len(others)), key=lambda i: (-scores[i], ids[i]))[:k]
+        held = [min(max(scores[i], _LONG[0]), _LONG[1]) for i in order]
+        return ids[order], np.array(held, np.int64)
+
+
 def _table(group: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of a group; shorter vectors are filled up with zeros."""
     group = group.combine_chunks()
@@ -111,25 +126,27 @@ def _table(group: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score`` for each query: a row of ``vectors``
-    (``id`` long, ``vector`` int array) for which ``is_query`` holds, against all
-    rows but its own; ties go to the smaller id.
-
-    Rows with a null id or vector take no part. An id given several times counts
-    once, with its least vector. Where vectors differ in length, what is missing
-    counts as zero; an empty vector scores 0 with all. With fewer than k other rows
-    all are returned; an empty table gives no rows."""
-    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector", is_query.alias("asks"))
+    (``id`` long, ``vector`` array of whole numbers) for which ``is_query`` holds,
+    against all rows with other ids; ties go to the smaller id.
+
+    Rows with a null id or vector take no part. Every row is a candidate by itself, so
+    an id that is given several times can take several ranks; as a query it is asked
+    once, with its least vector. Where vectors differ in length, what is missing counts
+    as zero; an empty vector scores 0 with all. Scores beyond a long are the nearest
+    long; in this order ties between them go to the smaller id. With fewer than k other
+    rows all are returned; an empty table gives no rows."""
+    rows = vectors.select(
+        F.col("id").cast("long").alias("id"),
+        F.col("vector").cast("array<bigint>").alias("vector"),
+        is_query.alias("asks"),
+    )
     rows = rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
-    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
     rows = stored(rows, "vectors")
-    size = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(F.col("asks"), 1)).alias("queries"),
-        F.max(F.size("vector")).alias("dims"),
-    ).first()
-    blocks = max(1, -(-size["n"] // BLOCK_ROWS))
-    chunks = max(1, -(-size["queries"] // CHUNK_QUERIES))
+    asked = rows.filter("asks").groupBy("id").agg(F.min("vector").alias("vector"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dims")).first()
     dims = max(1, size["dims"] or 0)
+    blocks = max(1, -(-size["n"] // max(1024, BLOCK_CELLS // dims)))
+    chunks = max(1, -(-asked.count() // CHUNK_QUERIES))
 
     def search(key, own: pa.Table, asked: pa.Table) -> pa.Table:
         found = {"query_id": [], "vec_id": [], "score": []}
@@ -146,12 +163,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     def numbered(n: int) -> Column:
         return F.sequence(F.lit(0), F.lit(n - 1))
 
-    spread = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    # By place, so that many rows of one id do not share a block.
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     index = rows.select(
         spread.alias("block"), F.explode(numbered(chunks)).alias("chunk"), "id", "vector"
     )
     spread = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(chunks)).cast("int")
-    queries = rows.filter("asks").select(
+    queries = asked.select(
         F.explode(numbered(blocks)).alias("block"), spread.alias("chunk"), "id", "vector"
     )
     keys = ["block", "chunk"]

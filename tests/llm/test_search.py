@@ -17,9 +17,9 @@ def brute(rows, k):
     return sorted(found)
 
 
-@pytest.mark.parametrize("block, chunk, few", [(8192, 512, 256), (37, 3, 1)])
-def test_equals_brute_force(spark, monkeypatch, block, chunk, few):
-    monkeypatch.setattr(top_k, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("cells, chunk, few", [(1 << 22, 512, 256), (1, 3, 1)])
+def test_equals_brute_force(spark, monkeypatch, cells, chunk, few):
+    monkeypatch.setattr(top_k, "BLOCK_CELLS", cells)
     monkeypatch.setattr(top_k, "CHUNK_QUERIES", chunk)
     monkeypatch.setattr(top_k, "FEW", few)
     rng = np.random.default_rng(1)
@@ -43,6 +43,39 @@ def test_edge_vectors(spark):
     df = df.select("id", top_k.quantised(F.col("e"), 64).alias("vector"))
     found = top_k.exact_top_k(df, F.col("id") % 20 == 0, 3).collect()
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found}
-    assert got[(0, 1)] == (7, 64 << 26) and got[(0, 2)] == (5, 0) and got[(0, 3)] == (20, 0)
-    assert [got[(20, n)] for n in (1, 2, 3)] == [(0, 0), (5, 0), (6, 0)]
+    assert got[(0, 1)] == (7, 2**63 - 1) and got[(0, 2)] == (5, 0) and got[(0, 3)] == (20, 0)
+    # Both rows with id 0 are candidates.
+    assert [got[(20, n)] for n in (1, 2, 3)] == [(0, 0), (0, 0), (5, 0)]
     assert top_k.exact_top_k(df.limit(0), F.col("id") % 20 == 0, 3).count() == 0
+
+
+def test_blocks_of_large_and_small_vectors(spark, monkeypatch):
+    """Several blocks; components of all sizes up to 2^50 against whole numbers of Python."""
+    monkeypatch.setattr(top_k, "CHUNK_QUERIES", 7)
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(2600, 3)) * 2.0 ** rng.integers(0, 25, (2600, 1))
+    rows = [(i, x.tolist()) for i, x in enumerate(data)]
+    monkeypatch.setattr(top_k, "BLOCK_CELLS", 1)
+    df = spark.createDataFrame(rows, "id long, e array<double>")
+    df = df.select("id", top_k.quantised(F.col("e"), 64).alias("vector"))
+    found = top_k.exact_top_k(df, F.col("id") % 20 == 0, 5).collect()
+    whole = [(i, np.array([int(v) for v in np.floor(64 * x)], object)) for i, x in enumerate(data)]
+    assert sorted(tuple(r) for r in found) == brute(whole, 5)
+
+
+def test_components_beyond_a_million(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0**21]), (2, [-(2.0**40)])], "id long, e array<double>")
+    df = df.select("id", top_k.quantised(F.col("e"), 64).alias("vector"))
+    found = top_k.exact_top_k(df, F.col("id") == 0, 3).collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, 64 * 64 * 2**21), (2, -64 * 64 * 2**40)]
+
+
+def test_every_row_of_an_id_is_a_candidate(spark):
+    rows = [(0, [1.0]), (5, [3.0]), (5, [2.0]), (5, [3.0]), (6, [2.5]), (40, [9.0]), (40, [1.0])]
+    df = spark.createDataFrame(rows, "id long, e array<double>").repartition(3)
+    df = df.select("id", top_k.quantised(F.col("e"), 1).alias("vector"))
+    found = top_k.exact_top_k(df, F.col("id") % 20 == 0, 10).collect()
+    got = {q: [(r.vec_id, r.score) for r in found if r.query_id == q] for q in (0, 40)}
+    assert got[0] == [(40, 9), (5, 3), (5, 3), (5, 2), (6, 2), (40, 1)]
+    # Asked with its least vector, against all rows of other ids.
+    assert got[40] == [(5, 3), (5, 3), (5, 2), (6, 2), (0, 1)]
