@@ -15,9 +15,12 @@ A token that holds part of a character belongs to that whole character.
 from __future__ import annotations
 
 import base64
+import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in map(bytes.split, file)}
 
 
+_LONG_SPACE = re.compile(r"\s{1000}")
+
+
+class TextEncoder:
+    """Ids of whole texts. The library's split overflows its stack on very long white
+    space; such texts are split apart from it, and their words encoded one by one."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        coder = partial(tiktoken.Encoding, mergeable_ranks=ranks, special_tokens={})
+        self.whole = coder("tokens", pat_str=PATTERN).encode_ordinary
+        self.word = coder("words", pat_str=r"(?s:.+)").encode_ordinary
+        self.split = regex.compile(PATTERN).findall
+
+    def ids(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if _LONG_SPACE.search(text) is None:
+            return self.whole(text)
+        return [i for word in self.split(text) for i in self.word(word)]
+
+
 def token_spans(sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last character + 1 of each token, from the tokens' byte sizes."""
     head = (data & 0xC0) != 0x80  # bytes that begin a character
@@ -96,7 +120,8 @@ def section_token_counts(
     Over a document ``n_tokens`` sums to the tokens of its whole text.
 
     Null and empty texts have one section from 0 to 0 without tokens. Every row is a
-    document of its own, also with a repeated or null id. Only the two named columns
+    document of its own, also with a repeated or null id. Long texts are encoded whole,
+    also long white space and words of any length. Only the two named columns
     are read, so clashing names of others do no harm. ``path`` is a rank file, read by
     the driver and sent to all executors."""
     if rule not in RULES:
@@ -106,9 +131,7 @@ def section_token_counts(
 
     def run(batches):
         ranks = shared.value
-        coder = tiktoken.Encoding(
-            "tokens", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
+        coder = TextEncoder(ranks)
         size_of = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             size_of[rank] = len(token)
@@ -118,7 +141,7 @@ def section_token_counts(
                 columns = [[], [], [], [], []]
                 for i, text in enumerate(part.column("text").to_pylist()):
                     data = flat[edges[i] : edges[i + 1]]
-                    ids = np.array(coder.encode_ordinary(text) if text else [], np.int64)
+                    ids = np.array(coder.ids(text), np.int64)
                     borders = line_borders(data) if len(data) else np.zeros(2, np.int64)
                     starts, ends = token_spans(size_of[ids], data)
                     counts, touched = allocate(starts, ends, borders, rule)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -83,9 +84,70 @@ def test_encode_edge_rows(spark, library):
     assert bpe.encode(edge_docs(spark).limit(0), WORD).count() == 0
 
 
+def sections_by_character(text, coder, rule):
+    """Section, start, end, tokens and crossing tokens, one character at a time."""
+    text = text or ""
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text) or [""]
+    line_of = [i for i, line in enumerate(lines) for _ in line]
+    char_of = [i for i, c in enumerate(text) for _ in c.encode()]
+    counts, crossing = [0.0] * len(lines), [0] * len(lines)
+    at = 0
+    for token in coder.encode_ordinary(text):
+        size = len(coder.decode_single_token_bytes(token))
+        chars = sorted({char_of[b] for b in range(at, at + size)})
+        at += size
+        where = [line_of[c] for c in chars]
+        touched = sorted(set(where))
+        for i in touched:
+            crossing[i] += len(touched) > 1
+        if rule == "split":
+            for i in where:
+                counts[i] += 1 / len(where)
+        else:
+            most = max(touched, key=lambda i: (where.count(i), -i))
+            counts[most if rule == "most" else where[0]] += 1
+    ends = np.cumsum([len(line) for line in lines])
+    return [
+        (i, int(e) - len(line), int(e), round(n, 6), x)
+        for i, (line, e, n, x) in enumerate(zip(lines, ends, counts, crossing))
+    ]
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_equal_one_character_at_a_time(spark, rule):
+    rng = random.Random(9)
+    letters = ["\n", "\n\n", " ", "a", "the", "é", "漢", "\U0001f600", "!!\n", ".\n\n", "x\ny", "\r\n"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts += [t for _, t, *_ in edge_rows()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in token_counts.section_token_counts(df, RANKS, rule).collect():
+        row = (r.section, r.start, r.end, round(r.n_tokens, 6), r.n_crossing)
+        found.setdefault(r.doc_id, []).append(row)
+    coder = tiktoken.Encoding(
+        "t", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.read_ranks(RANKS),
+        special_tokens={},
+    )
+    for i, text in enumerate(texts):
+        assert sorted(found[i]) == sections_by_character(text, coder, rule), text[:60]
+
+
+def test_sections_of_long_texts(spark):
+    """White space, a word and lines of millions of characters."""
+    texts = [" " * 5_000_000, " " * 3_000_000 + "x", "x" * 1_000_000, "a b\n" * 1_000_000, "!" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = token_counts.section_token_counts(df, RANKS).groupBy("doc_id").agg(
+        {"section": "count", "end": "max", "n_tokens": "sum"}
+    )
+    rows = {r.doc_id: r for r in found.collect()}
+    assert [rows[i]["count(section)"] for i in range(5)] == [1, 1, 1, 1_000_000, 1]
+    assert [rows[i]["max(end)"] for i in range(5)] == [len(t) for t in texts]
+    assert rows[3]["sum(n_tokens)"] == 3_000_000 and rows[0]["sum(n_tokens)"] > 0
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_section_counts(spark, rule):
-    """Against one character at a time."""
+    """The tokens of the sections are those of the texts."""
     found = token_counts.section_token_counts(clashing(edge_docs(spark)), RANKS, rule)
     rows = found.collect()
     coder = tiktoken.Encoding(
