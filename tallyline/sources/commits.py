@@ -16,18 +16,18 @@ from __future__ import annotations
 
 import threading
 from collections import deque
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tallyline.session import checkpoint_path
 from tallyline.sources.spec import TopicSpec
 
 OBSERVED = "offsets"
 TICKS = 10_000  # newest ticks that are kept of a group's job
-SETTLE_SECONDS = 60
 
 _SCHEMA = "kind string, batch bigint, number bigint, value bigint, at string"
 _END, _TICK, _WHOLE = "end", "tick", "whole"
@@ -54,9 +54,9 @@ def _place(spark: SparkSession, group: str, job: str) -> str:
     return f"{checkpoint_path(spark, group, job)}/offsets"
 
 
-def _kept(spark: SparkSession, place: str) -> list:
-    """The rows of the newer of the two notes that is whole."""
-    best, newest = [], None
+def _kept(spark: SparkSession, place: str) -> tuple[list, int]:
+    """The rows of the newer of the two notes that is whole, and where it is."""
+    best, newest, found = [], None, 1
     for slot in (0, 1):
         try:
             rows = spark.read.schema(_SCHEMA).json(f"{place}/slot={slot}").collect()
@@ -65,8 +65,8 @@ def _kept(spark: SparkSession, place: str) -> list:
             continue
         whole = [row["batch"] for row in rows if row["kind"] == _WHOLE]
         if whole and (newest is None or whole[0] > newest):
-            best, newest = rows, whole[0]
-    return best
+            best, newest, found = rows, whole[0], slot
+    return best, found
 
 
 class ProgressLog(StreamingQueryListener):
@@ -76,32 +76,34 @@ class ProgressLog(StreamingQueryListener):
     def __init__(self, spark: SparkSession, group: str, job: str):
         self.spark, self.name = spark, f"{group}.{job}"
         self.place = _place(spark, group, job)
-        rows = _kept(spark, self.place)
+        rows, self.slot = _kept(spark, self.place)
         self.ends = {row["number"]: row["value"] for row in rows if row["kind"] == _END}
         ticks = [(r["batch"], r["value"], r["at"]) for r in rows if r["kind"] == _TICK]
         self.ticks = deque(sorted(ticks), maxlen=TICKS)
-        self.query, self.ended, self.fault = None, threading.Event(), None
+        self.query, self.fault, self.lock = None, None, threading.Lock()
 
     def onQueryStarted(self, event) -> None:
-        if event.name == self.name:
-            self.query = event.id
+        pass
 
     def onQueryIdle(self, event) -> None:
         pass
 
+    def onQueryTerminated(self, event) -> None:
+        pass
+
     def onQueryProgress(self, event) -> None:
-        progress = event.progress
+        if event.progress.name == self.name:
+            self._see(event.progress)
+
+    def _see(self, progress) -> None:
         seen = progress.observedMetrics.get(OBSERVED)
-        if progress.name != self.name or seen is None or not seen["n"]:
+        if seen is None or not seen["n"]:
             return
-        try:
-            self._note(progress.batchId, progress.timestamp, seen.asDict())
-        except Exception as problem:  # a listener's faults would go unseen
-            self.fault = problem
-
-    def onQueryTerminated(self, event) -> None:
-        if event.id == self.query:
-            self.ended.set()
+        with self.lock:
+            try:
+                self._note(progress.batchId, progress.timestamp, seen.asDict())
+            except Exception as problem:  # a listener's faults would go unseen
+                self.fault = problem
 
     def _note(self, batch: int, at: str, seen: dict) -> None:
         if seen["stray"]:
@@ -117,25 +119,30 @@ class ProgressLog(StreamingQueryListener):
         rows += [(_TICK, b, 0, n, t) for b, n, t in self.ticks]
         rows.append((_WHOLE, batch, 0, 0, at))
         noted = self.spark.createDataFrame(rows, _SCHEMA).coalesce(1)
-        noted.write.mode("overwrite").json(f"{self.place}/slot={len(self.ticks) % 2}")
+        self.slot = 1 - self.slot
+        noted.write.mode("overwrite").json(f"{self.place}/slot={self.slot}")
 
     def settle(self) -> None:
-        """Waits for the notes of a query that has ended."""
-        active = [q for q in self.spark.streams.active if str(q.id) == str(self.query)]
-        if not active and self.query is not None and not self.ended.wait(SETTLE_SECONDS):
-            raise TimeoutError(f"the progress of {self.name} was not noted")
-        if not active:
-            self.spark.streams.removeListener(self)
+        """Notes what a query that has ended still knows of its last batches, so that
+        nobody waits for the listener, which is told of them some time later."""
+        if self.query is not None and self.query.isActive:
+            return
+        if self.query is not None:
+            for progress in self.query.recentProgress:
+                self._see(progress)
+        self.spark.streams.removeListener(self)
         if self.fault is not None:
             raise self.fault
 
 
-def follow(spark: SparkSession, group: str, job: str) -> None:
-    """Notes the progress of the query that is about to start for a group's job."""
+def follow(spark: SparkSession, group: str, job: str, start: Callable[[], StreamingQuery]):
+    """Starts the query of a group's job, and notes its progress from then on."""
     settle(spark, group, job)
     log = ProgressLog(spark, group, job)
     spark.streams.addListener(log)
     _logs[log.place] = log
+    log.query = start()
+    return log.query
 
 
 def settle(spark: SparkSession, group: str, job: str) -> None:
@@ -153,7 +160,7 @@ def committed_offsets(
     ``first``; else it has no row, like a group at a broker that committed nothing."""
     settle(spark, spec.group, job)
     ends = dict(first or {})
-    for row in _kept(spark, _place(spark, spec.group, job)):
+    for row in _kept(spark, _place(spark, spec.group, job))[0]:
         if row["kind"] == _END:
             ends[row["number"]] = max(row["value"], ends.get(row["number"], 0))
     rows = [(spec.group, spec.topic, p, end) for p, end in sorted(ends.items())]
@@ -165,7 +172,7 @@ def committed_offsets(
 def progress_ticks(spark: SparkSession, spec: TopicSpec, job: str) -> DataFrame:
     """``tick`` and ``n``: when each batch of a group's job was begun, and its records."""
     settle(spark, spec.group, job)
-    rows = _kept(spark, _place(spark, spec.group, job))
+    rows = _kept(spark, _place(spark, spec.group, job))[0]
     ticks = [(r["batch"], r["at"], r["value"]) for r in rows if r["kind"] == _TICK]
     found = spark.createDataFrame(ticks, "batch bigint, at string, n bigint")
     return found.select("batch", F.to_timestamp("at").alias("tick"), "n")

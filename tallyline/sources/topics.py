@@ -280,12 +280,12 @@ def write_topic_stream(
         if "error" in df.columns:
             options["includeHeaders"] = "true"
         writer = broker_rows(df, spec).writeStream.format("kafka").options(**options)
-    follow(df.sparkSession, group, job)
     writer = writer.outputMode("append").queryName(f"{group}.{job}")
     writer = writer.option(
         "checkpointLocation", f"{checkpoint_path(df.sparkSession, group, job)}/progress"
     )
-    return (writer.trigger(availableNow=True) if drain else writer).start()
+    writer = writer.trigger(availableNow=True) if drain else writer
+    return follow(df.sparkSession, group, job, writer.start)
 
 
 def union_topics(*frames: DataFrame) -> DataFrame:

@@ -221,10 +221,10 @@ def _print_lines(lag: DataFrame) -> None:
 
 
 def _start(writer, spark: SparkSession, group: str, job: str, drain: bool) -> StreamingQuery:
-    follow(spark, group, job)
     place = f"{checkpoint_path(spark, group, job)}/progress"
     writer = writer.option("checkpointLocation", place).queryName(f"{group}.{job}")
-    return (writer.trigger(availableNow=True) if drain else writer).start()
+    writer = writer.trigger(availableNow=True) if drain else writer
+    return follow(spark, group, job, writer.start)
 
 
 __all__ = [
