@@ -1,19 +1,22 @@
-"""Toxicity by two Kneser-Ney word-pair models, one per class.
-
-Training counts word pairs of toxic and of ordinary labelled documents, all of
-them, one row per different pair (known by a 64-bit hash) in a Spark table that grows
-with the corpus, and from them the different words before each word. A class's
-probability of a word after another rests on its discounted pair count; what the
-discount leaves, and a few shared counts, go to the number of different words that
-the word follows in the class, and from there to both classes together. So a rare
+"""Toxicity by two interpolated Kneser-Ney word-pair models, one per class.
+
+Training counts the word pairs of toxic and of ordinary labelled documents, every
+place of all of them, one row per different pair (its words known by 64-bit hashes) in
+a Spark table that grows with the corpus. From it come, for each class, how often a
+word is a context, how many different words follow it, and how many different words it
+follows. A class's probability of a word after a context rests on its discounted
+pair count; what the discount leaves goes to the number of different words that the
+word follows in the class, and from there to both classes together. So a rare
 expression says little for either class, and one that many toxic and no ordinary
-documents have says much. The difference of the two log-likelihoods is taken per
-word: over the whole document, and over its most toxic passages, as an insult in a
-long text would vanish in the mean.
+documents have says much. Each class's probabilities sum to 1 after every context.
+The difference of the two log-likelihoods is taken per word: over the whole document,
+and over its most toxic passages, as an insult in a long text would vanish in the mean.
 
-The most frequent counts, a bounded number, are sent to all executors. Texts are
-scored in chunks; what a chunk needs besides is joined, each key once per chunk, so
-no key has many rows, and brought back to the chunk's texts.
+The most frequent counts, a bounded number, are sent to all executors, with a bit
+table of bounded size that marks the others. Texts are scored in chunks; what a chunk
+needs besides, and is marked, is joined, each key once per chunk, so no key has many
+rows, and brought back to the chunk's texts. A mark that two keys share costs a row
+and no more; a full bit table costs rows for all keys.
 
 A logistic curve turns these into a probability. It is fitted on a bounded sample
 of the training documents, each scored without its own counts.
@@ -21,6 +24,7 @@ of the training documents, each scored without its own counts.
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 import numpy as np
@@ -35,55 +39,72 @@ from tallyline.llm.graph import stored
 
 FREQUENT = 1 << 21  # counts (24 bytes each) sent to all executors, at most
 COUNT_WORDS = 1 << 20  # words whose pairs are counted together before the shuffle
-DISCOUNT = 0.75
-BACKOFF = 3.0  # shared counts that every class has of everything
+DISCOUNT = 3  # taken off every count of a class, or all of a smaller count
+SHARED_DISCOUNT = 0.75  # taken off the counts of both classes together
+BACKOFF = 1000.0  # counts that the lower order adds to every context
+LARGEST = 8.0  # log ratio of one word, at most
+MARKS = 27  # bits of a place in the table of marks (16 MB)
+SEGMENTS = 64  # parts in which the marks are gathered
 PASSAGES = (1, 4, 12)  # words of a passage
 CALIBRATION_ROWS = 6000  # documents the curve is fitted on, at most
 LABEL_ROWS = 2_000_000  # most labels (about 10 bytes each) sent to all executors
 _START = np.uint64(0x7E57A47)  # stands before the first word
-_ALONE = np.uint64(0x0A10E)  # tells the key of a word from that of a pair
+# Tell the keys of a word, of a context and of what follows it from that of a pair.
+_ALONE, _CONTEXT, _FOLLOWED = (np.uint64(n) for n in (0x0A10E, 0xC0472, 0xF0110))
+PAIR, ALONE, CONTEXT, FOLLOWED = range(4)
 _LIST = T.ArrayType(T.DoubleType())
 _EXACT = float(1 << 20)  # ratios are multiples of its inverse, so their sums are exact
 
 
+def _key(kind: int, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key under which a count is kept."""
+    if kind == PAIR:
+        return mix(mix(before + GOLDEN) ^ word)
+    if kind == ALONE:
+        return mix(word ^ _ALONE)
+    return mix(before ^ (_CONTEXT if kind == CONTEXT else _FOLLOWED))
+
+
 class Pairs:
-    """The word pairs of some texts: keys of the pair and of its second word."""
+    """The word pairs of some texts: hashes of both words, and the keys of the pair,
+    of its second word, of its context and of what follows the context."""
 
     def __init__(self, texts: pa.Array):
         words = Words(texts, NOT_ALNUM)
-        self.text, self.first = words.text, words.first
-        before = np.empty_like(words.hash)
-        before[1:] = words.hash[:-1]
-        before[words.first[:-1][words.count > 0]] = _START
-        self.word = mix(words.hash ^ _ALONE)
-        self.pair = mix(mix(before + GOLDEN) ^ words.hash)
+        self.text, self.first, self.after = words.text, words.first, words.hash
+        self.before = np.empty_like(words.hash)
+        self.before[1:] = words.hash[:-1]
+        self.before[words.first[:-1][words.count > 0]] = _START
+
+    def keys(self) -> np.ndarray:
+        """Keys by kind and place."""
+        return np.stack([_key(kind, self.before, self.after) for kind in range(4)])
 
 
 def _summed(parts: list) -> pa.RecordBatch:
-    """Documents of each class by pair, in which a pair counts once in a document."""
-    pair, word, text, toxic = (np.concatenate(columns) for columns in zip(*parts))
-    order = np.argsort(pair, kind="stable")  # the texts of a pair stay in order
-    new, once = np.ones((2, len(order)), bool)
-    new[1:] = pair[order[1:]] != pair[order[:-1]]
-    once[1:] = new[1:] | (text[order[1:]] != text[order[:-1]])
-    order, starts = order[once], np.flatnonzero(new[once])
-    counts = [np.add.reduceat(mine[order].astype(np.int64), starts) for mine in (~toxic, toxic)]
-    heads = order[starts]
-    columns = [pair[heads].view(np.int64), word[heads].view(np.int64), *counts]
+    """Places of each class by pair."""
+    before, word, toxic = (np.concatenate(columns) for columns in zip(*parts))
+    order = np.lexsort((before, word))
+    before, word, toxic = before[order], word[order], toxic[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+    starts = np.flatnonzero(new)
+    counts = [np.add.reduceat(mine.astype(np.int64), starts) for mine in (~toxic, toxic)]
+    columns = [before[starts].view(np.int64), word[starts].view(np.int64), *counts]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c) for c in columns], names=["pair", "word", "ordinary", "toxic"]
+        [pa.array(c) for c in columns], names=["before", "word", "ordinary", "toxic"]
     )
 
 
 def _count(batches):
-    parts, words, texts = [], 0, 0
+    parts, words = [], 0
     for batch in batches:
         for part in pieces(batch, "text"):
             pairs = Pairs(part.column("text"))
             toxic = part.column("toxic").to_numpy(zero_copy_only=False)[pairs.text] == 1
-            if len(pairs.pair):
-                parts.append((pairs.pair, pairs.word, pairs.text + texts, toxic))
-            words, texts = words + len(pairs.pair), texts + part.num_rows
+            if len(pairs.after):
+                parts.append((pairs.before, pairs.after, toxic))
+            words += len(pairs.after)
             if words >= COUNT_WORDS:
                 yield _summed(parts)
                 parts, words = [], 0
@@ -92,13 +113,41 @@ def _count(batches):
 
 
 def count_tables(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of texts with a class: documents of each class by pair (``pair, word, ordinary,
-    toxic``), and different words before each word in each class (``word, ...``)."""
-    rows = known.mapInArrow(_count, "pair long, word long, ordinary long, toxic long")
-    sums = [F.sum(name).alias(name) for name in ("ordinary", "toxic")]
-    pairs = stored(rows.groupBy("pair", "word").agg(*sums), "pairs")
-    some = [F.sum((F.col(n) > 0).cast("long")).alias(n) for n in ("ordinary", "toxic")]
-    return pairs, stored(pairs.groupBy("word").agg(*some), "follows")
+    """Of texts with a class: places of each class by pair (``before, word, ordinary,
+    toxic``); and by ``kind`` and ``word``, in each class, the different words before
+    a word, the places of a context, and what the discount takes off the pairs after it."""
+    rows = known.mapInArrow(_count, "before long, word long, ordinary long, toxic long")
+    names = ("ordinary", "toxic")
+    sums = [F.sum(name).alias(name) for name in names]
+    some = [F.sum((F.col(name) > 0).cast("long")).alias(name) for name in names]
+    taken = [F.sum(F.least(name, F.lit(DISCOUNT).cast("long"))).alias(name) for name in names]
+    pairs = stored(rows.groupBy("before", "word").agg(*sums), "pairs", "zstd")
+    alone = pairs.groupBy("word").agg(*some).withColumn("kind", F.lit(ALONE))
+    context = pairs.groupBy(F.col("before").alias("word"))
+    places = context.agg(*sums).withColumn("kind", F.lit(CONTEXT))
+    followed = context.agg(*taken).withColumn("kind", F.lit(FOLLOWED))
+    words = alone.unionByName(places).unionByName(followed)
+    return pairs, stored(words, "words", "zstd")
+
+
+def _keyed(batches):
+    """Counts by key."""
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        before, word = (batch.column(n).to_numpy().view(np.uint64) for n in ("before", "word"))
+        key = np.empty(len(kind), np.uint64)
+        for k in np.unique(kind):
+            at = kind == k
+            key[at] = _key(k, before[at], word[at])
+        columns = [pa.array(key.view(np.int64)), batch.column("ordinary"), batch.column("toxic")]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "ordinary", "toxic"])
+
+
+def keyed_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """All counts as ``key, ordinary, toxic``."""
+    words = words.withColumn("before", F.col("word"))
+    rows = pairs.withColumn("kind", F.lit(PAIR)).unionByName(words)
+    return rows.mapInArrow(_keyed, "key long, ordinary long, toxic long")
 
 
 class Counts:
@@ -119,70 +168,133 @@ class Counts:
         return np.where(here, self.values[:, at], 0), here
 
 
-class ClassModels:
-    """The frequent counts, and what follows from counts of both classes.
+def _bits(batches):
+    """The marks of a partition's keys, by segment."""
+    marks = np.zeros(1 << MARKS >> 3, np.uint8)
+    for batch in batches:
+        place = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - MARKS)
+        bit = np.left_shift(np.uint8(1), (place & np.uint64(7)).astype(np.uint8))
+        np.bitwise_or.at(marks, (place >> np.uint64(3)).astype(np.int64), bit)
+    for i, part in enumerate(marks.reshape(SEGMENTS, -1)):
+        if part.any():
+            packed = zlib.compress(part.tobytes(), 1)
+            yield pa.RecordBatch.from_pydict(
+                {"segment": pa.array([i], pa.int32()), "marks": pa.array([packed], pa.binary())}
+            )
 
-    ``P_c(w | v) = P(w | v) * gain_c(v, w)``, with a common ``P(w | v)`` that falls out
-    of the comparison, and for a class c with a share ``s_c`` of all counts
 
-    ``gain_c(w)    = (cut(f_c(w)) + back * s_c) / (sum + BACKOFF) / s_c``
-    ``gain_c(v, w) = (cut(n_c(v, w)) + back * s_c * gain_c(w)) / (sum + BACKOFF) / s_c``
+def _united(batches):
+    """The marks of all partitions, by segment."""
+    found: dict = {}
+    for batch in batches:
+        for i, packed in zip(*(batch.column(n).to_pylist() for n in ("segment", "marks"))):
+            part = np.frombuffer(zlib.decompress(packed), np.uint8)
+            found[i] = found[i] | part if i in found else part
+    for i, part in found.items():
+        yield pa.RecordBatch.from_pydict(
+            {"segment": pa.array([i], pa.int32()), "marks": pa.array([part.tobytes()], pa.binary())}
+        )
 
-    Here n counts documents with a pair, f(w) the different words before w (the lower-order counts of
-    Kneser and Ney); ``cut`` takes the discount off, ``back`` is BACKOFF and what was
-    taken off, and ``sum`` runs over both classes."""
 
-    def __init__(self, frequent: Counts, sizes: tuple[int, int]):
-        self.frequent = frequent
-        sizes = np.array(sizes, np.float64) + 1
-        self.shares = sizes / sizes.sum()
+def marks_of(counts: DataFrame) -> np.ndarray:
+    """A table of bits in which every key of ``counts`` has its place marked."""
+    kind = "segment int, marks binary"
+    rows = counts.select("key").mapInArrow(_bits, kind).repartition(SEGMENTS, "segment")
+    marks = np.zeros((SEGMENTS, (1 << MARKS >> 3) // SEGMENTS), np.uint8)
+    for row in rows.mapInArrow(_united, kind).collect():  # one row a segment
+        marks[row["segment"]] = np.frombuffer(row["marks"], np.uint8)
+    return marks.ravel()
 
-    def _gains(self, counts: list, lower: list) -> list[np.ndarray]:
-        cuts = [np.maximum(n - DISCOUNT, 0) for n in counts]
-        total = sum(cuts) + BACKOFF + DISCOUNT * sum(c > 0 for c in cuts)
-        return [
-            (cut + (BACKOFF + DISCOUNT * (cut > 0)) * share * low) / total / share
-            for cut, share, low in zip(cuts, self.shares, lower)
-        ]
 
-    def log_ratios(self, count: np.ndarray, follows: np.ndarray) -> np.ndarray:
+class ClassModels:
+    """The frequent counts, marks of the others, and what follows from counts.
+
+    With a class c, the different words f_c(w) before w, which sum to F_c (f and F: both
+    classes added up), V different words, a discount d below 1 and a whole one D:
+
+    ``B(w)       = (cut(f(w), d) + d V / (V + 1)) / F``
+    ``P_c(w)     = (cut(f_c(w), D) + L_c B(w)) / F_c``
+    ``P_c(w | v) = (cut(n_c(v, w), D) + (L_c(v) + BACKOFF) P_c(w)) / (n_c(v) + BACKOFF)``
+
+    Here n counts the places of a pair and of a context, ``cut`` takes the discount off
+    (down to 0), and L adds up what was taken off: of f_c, and of the pairs after v. Over
+    all words and one unknown word each of the three sums to 1. With D above 1 an
+    expression seen D times or less in a class has its share of the lower order alone.
+    ``totals`` are F and L by class, and V."""
+
+    def __init__(self, frequent: Counts, totals: dict, marks: np.ndarray | None = None):
+        self.frequent, self.marks = frequent, marks
+        self.sums = totals["sums"]
+        self.all_sums = max(sum(totals["sums"]), 1)
+        self.left, self.all_words = totals["left"], totals["all_words"]
+
+    def unknown(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys may have counts that are not here."""
+        there = ~self.frequent.of(keys)[1]
+        if self.marks is not None:
+            place = keys >> np.uint64(64 - MARKS)
+            byte = self.marks[(place >> np.uint64(3)).astype(np.int64)]
+            there &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return there
+
+    def probabilities(self, counts: np.ndarray) -> list[np.ndarray]:
+        """``P_c(w | v)`` by class, of counts by class, kind and place."""
+        both = counts[:, ALONE].sum(axis=0)
+        spread = SHARED_DISCOUNT * self.all_words / (self.all_words + 1)
+        base = (np.maximum(both - SHARED_DISCOUNT, 0) + spread) / self.all_sums
+        if not self.all_words:
+            base = np.ones(len(both))
+        found = []
+        for (pair, alone, context, left), total, taken in zip(counts, self.sums, self.left):
+            lower = (np.maximum(alone - DISCOUNT, 0) + taken * base) / total if total else base
+            top = np.maximum(pair - DISCOUNT, 0) + (left + BACKOFF) * lower
+            found.append(top / (context + BACKOFF))
+        return found
+
+    def log_ratios(self, counts: np.ndarray) -> np.ndarray:
         """Log of toxic over ordinary probability, word by word."""
-        word = self._gains(follows, [1.0, 1.0])
-        ordinary, toxic = self._gains(count, word)
-        return np.round((np.log(toxic) - np.log(ordinary)) * _EXACT) / _EXACT
+        ordinary, toxic = self.probabilities(counts)
+        ratios = np.clip(np.log(toxic) - np.log(ordinary), -LARGEST, LARGEST)
+        return np.round(ratios * _EXACT) / _EXACT
 
     def measured(self, part: pa.RecordBatch, found: Counts | None = None) -> tuple[list, list]:
         """Features of each text; and, for texts with a class in ``own``, features
         without the text's own counts (else null)."""
         pairs = Pairs(part.column("text"))
-        size = len(pairs.pair)
-        keys, which = np.unique(np.concatenate([pairs.pair, pairs.word]), return_inverse=True)
+        at = pairs.keys()
+        keys, which = np.unique(at, return_inverse=True)
         counts = sum(t.of(keys)[0] for t in (self.frequent, found) if t is not None)
-        counts = counts[:, which].astype(float)
-        count, follows = counts[:, :size], counts[:, size:]
-        features = text_features(self.log_ratios(count, follows), pairs.first).tolist()
+        counts = counts[:, which.reshape(at.shape)].astype(float)
+        features = text_features(self.log_ratios(counts), pairs.first).tolist()
         alone: list = [None] * part.num_rows
         for i, own in enumerate(part.column("own").to_pylist()):
             if own is not None:
                 mine = slice(pairs.first[i], pairs.first[i + 1])
-                ratios = self.log_ratios(
-                    *_without_own(pairs.pair[mine], pairs.word[mine],
-                                  count[:, mine].copy(), follows[:, mine].copy(), own)
-                )
+                ratios = self.log_ratios(_without_own(at[:, mine], counts[:, :, mine], own))
                 ends = np.array([0, len(ratios)])
                 alone[i] = text_features(ratios, ends)[0].tolist()
         return features, alone
 
 
-def _without_own(pair, word, count, follows, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """A learned text's counts without what only this text brought in."""
-    first = np.unique(pair, return_index=True)[1]
-    only = first[count[own, first] == 1]  # pairs of no other document of the class
-    words, which = np.unique(word, return_inverse=True)
-    lost = np.bincount(which[only], minlength=len(words))[which]
-    count[own] = np.maximum(count[own] - 1, 0)
-    follows[own] = np.maximum(follows[own] - lost, 0)
-    return count, follows
+def _without_own(keys: np.ndarray, counts: np.ndarray, own: int) -> np.ndarray:
+    """A learned text's counts, by class, kind and place, without what only this
+    text brought in. The totals of the classes stay."""
+    counts = counts.copy()
+    mine = counts[own]
+    _, first, which, times = np.unique(
+        keys[PAIR], return_index=True, return_inverse=True, return_counts=True
+    )
+    only = first[mine[PAIR, first] <= times]  # pairs of no other text of the class
+    taken = np.minimum(mine[PAIR, first], DISCOUNT)
+    taken -= np.minimum(np.maximum(mine[PAIR, first] - times, 0), DISCOUNT)
+    mine[PAIR] -= times[which]
+    for kind, places, lost in (
+        (CONTEXT, first, times), (ALONE, only, np.ones(len(only))), (FOLLOWED, first, taken)
+    ):
+        words, which = np.unique(keys[kind], return_inverse=True)
+        mine[kind] -= np.bincount(which[places], lost, len(words))[which]
+    np.maximum(mine, 0, out=mine)
+    return counts
 
 
 def text_features(ratios: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -239,10 +351,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[ClassModels, DataFrame |
     labels = labels.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     labels = stored(labels.filter(~held_out_rows("id")), "labels")
     few = F.broadcast(labels) if labels.count() <= LABEL_ROWS else labels
-    pairs, follows = count_tables(docs.join(few, "id").select("text", "toxic"))
-    sizes = follows.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in ("ordinary", "toxic"))).first()
-    counts = pairs.drop("word").withColumnRenamed("pair", "key")
-    counts = counts.unionByName(follows.withColumnRenamed("word", "key"))
+    pairs, words = count_tables(docs.join(few, "id").select("text", "toxic"))
+    names = ("ordinary", "toxic")
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]
+    left = [F.least(n, F.lit(DISCOUNT).cast("long")) for n in names]
+    left = [F.coalesce(F.sum(c), F.lit(0)).alias(f"{n}_left") for c, n in zip(left, names)]
+    row = words.filter(F.col("kind") == ALONE).agg(*sums, *left, F.count("*").alias("all")).first()
+    totals = {
+        "sums": [row[n] for n in names],
+        "left": [row[f"{n}_left"] for n in names],
+        "all_words": row["all"],
+    }
+    counts = keyed_counts(pairs, words)
     level = F.floor(F.log2(F.col("ordinary") + F.col("toxic")) * 8).cast("int")
     levels = counts.groupBy(level.alias("level")).count().collect()  # 8 by power of two
     least, room = 1 << 30, FREQUENT
@@ -251,10 +371,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[ClassModels, DataFrame |
         if room < 0:
             break
         least = row["level"]
-    models = ClassModels(Counts(counts.filter(level >= least).toArrow()), tuple(sizes))
+    rare = counts.filter(level < least) if room < 0 else None
+    marks = None if rare is None else marks_of(rare)
+    models = ClassModels(Counts(counts.filter(level >= least).toArrow()), totals, marks)
     sample = labels.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(CALIBRATION_ROWS)
     sample = sample.select("id", F.col("toxic").alias("own"))
-    return models, counts.filter(level < least) if room < 0 else None, sample
+    return models, rare, sample
 
 
 def _with_features(part: pa.RecordBatch, names: list, features: list, alone: list):
@@ -278,24 +400,26 @@ def _chunked(batches, names: list):
 
 
 def _wanted(batches, shared):
-    """Keys of a chunk that are not among the frequent ones, once each."""
+    """Keys of a chunk that may have counts beyond the frequent ones, once each."""
     for batch in batches:
         of = batch.column("chunk").to_numpy()
         starts = np.flatnonzero(np.diff(of, prepend=-1))
         for start, stop in zip(starts, np.append(starts[1:], len(of))):
             pairs = Pairs(batch.column("text").slice(start, stop - start))
-            keys = np.unique(np.concatenate([pairs.pair, pairs.word]))
-            keys = keys[~shared.value.frequent.of(keys)[1]].view(np.int64)
+            keys = np.unique(pairs.keys())
+            keys = keys[shared.value.unknown(keys)].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(keys), of[start])), pa.array(keys)], names=["chunk", "key"]
             )
 
 
-def measure(given: DataFrame, models: ClassModels, rare: DataFrame | None) -> DataFrame:
-    """Rows of ``given`` (``text``, ``own`` and others), without the text but with
-    ``features`` and ``alone``."""
+def measure(
+    given: DataFrame, models: ClassModels, rare: DataFrame | None, with_text: bool = False
+) -> DataFrame:
+    """Rows of ``given`` (``text``, ``own`` and others), without the text unless it is
+    asked for, but with ``features`` and ``alone``."""
     shared = given.sparkSession.sparkContext.broadcast(models)
-    names = [name for name in given.columns if name != "text"]
+    names = [name for name in given.columns if with_text or name != "text"]
     schema = T.StructType([given.schema[name] for name in names])
     schema = schema.add("features", _LIST).add("alone", _LIST)
     if rare is None:
@@ -307,7 +431,7 @@ def measure(given: DataFrame, models: ClassModels, rare: DataFrame | None) -> Da
 
         return given.mapInArrow(direct, schema)
     chunked = T.StructType(list(given.schema.fields)).add("chunk", "long")
-    texts = stored(given.mapInArrow(partial(_chunked, names=given.columns), chunked), "chunks")
+    texts = stored(given.mapInArrow(partial(_chunked, names=given.columns), chunked), "chunks", "zstd")
     wanted = texts.select("chunk", "text").mapInArrow(
         partial(_wanted, shared=shared), "chunk long, key long"
     )
@@ -351,15 +475,19 @@ def toxicity(
     labels of both classes every row scores the share of toxic labels (0.5 without
     any). Only the named columns are read, so clashing names of others do no harm."""
     spark = docs.sparkSession
+    place = {text_column: "text", id_column: "id"}  # each kept once
+    kept = {name: place.get(name, f"_keep{i}") for i, name in enumerate(keep)}
+    others = {name: alias for name, alias in kept.items() if alias.startswith("_keep")}
     given = docs.select(
         F.col(id_column).alias("id"),
         F.col(text_column).alias("text"),
-        *(F.col(name).alias(f"_keep{i}") for i, name in enumerate(keep)),
+        *(F.col(name).alias(alias) for name, alias in others.items()),
     )
     marked = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("toxic"))
     models, rare, sample = train(given.select("id", "text"), marked)
     given = given.join(F.broadcast(sample), "id", "left")
-    measured = stored(measure(given, models, rare), "measured")
+    with_text = text_column in keep
+    measured = stored(measure(given, models, rare, with_text), "measured", "zstd")
     fitted = measured.filter(F.col("own").isNotNull())
     fitted = fitted.orderBy(F.xxhash64("id", F.lit(7)), "id", "alone").select("own", "alone")
     curve = curve_from([tuple(row) for row in fitted.limit(CALIBRATION_ROWS).collect()])
@@ -372,11 +500,11 @@ def toxicity(
                 [*(batch.column(n) for n in names), pa.array(scores)], names=[*names, "score"]
             )
 
-    names = ["id", *(f"_keep{i}" for i in range(len(keep)))]
+    names = ["id", *others.values(), *(["text"] if with_text else [])]
     schema = T.StructType([given.schema[name] for name in names]).add("score", "double")
     return measured.mapInArrow(score, schema).select(
         F.col("id").alias(id_column),
-        *(F.col(f"_keep{i}").alias(name) for i, name in enumerate(keep)),
+        *(F.col(alias).alias(name) for name, alias in kept.items()),
         held_out_rows("id").alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),

@@ -62,14 +62,25 @@ def test_toxicity_edge_rows(spark):
 
 
 def counted(rows):
-    """Documents of each class by word pair, and different words before a word."""
-    pairs, before = {}, {}
+    """Places of each class by word pair; by word and class, the different words before
+    it, its places as a context, and what the discount takes off the pairs after it."""
+    pairs, words = {}, [{}, {}, {}]
     for text, toxic in rows:
-        words = ["", *text.split(" ")]
-        for pair in set(zip(words, words[1:])):
+        row = ["", *text.split()]
+        for pair in zip(row, row[1:]):
             pairs.setdefault(pair, [0, 0])[toxic] += 1
-            before.setdefault(pair[1], (set(), set()))[toxic].add(pair[0])
-    return pairs, {word: [len(kind) for kind in kinds] for word, kinds in before.items()}
+    for (v, w), counts in pairs.items():
+        for toxic in (0, 1):
+            for table, word, n in zip(words, (w, v, v), (1, counts[toxic], min(counts[toxic], 3))):
+                table.setdefault(word, [0, 0])[toxic] += n * (counts[toxic] > 0)
+    return pairs, words
+
+
+def hashes(*words):
+    found = toxicity.Words(pa.array([w for w in words if w], pa.string()), toxicity.NOT_ALNUM).hash
+    rest = iter(found.view(np.int64).tolist())
+    start = toxicity._START.view(np.int64).item()
+    return [next(rest) if w else start for w in words]
 
 
 def test_toxicity_counts_are_exact(spark, monkeypatch):
@@ -78,18 +89,75 @@ def test_toxicity_counts_are_exact(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "COUNT_WORDS", 500)
     rows = [(f"a{i} the b{i % 7} the a{i} the", i % 4 == 0) for i in range(2000)]
     known = spark.createDataFrame([(t, int(k)) for t, k in rows], "text string, toxic int")
-    pairs, follows = counted([(t, int(k)) for t, k in rows])
-    found_pairs, found_follows = toxicity.count_tables(known)
-    key = lambda text: toxicity.Pairs(pa.array([text]))
-    by_pair = {r.pair: [r.ordinary, r.toxic] for r in found_pairs.collect()}
+    pairs, words = counted([(t, int(k)) for t, k in rows])
+    found_pairs, found_words = toxicity.count_tables(known)
+    by_pair = {(r.before, r.word): [r.ordinary, r.toxic] for r in found_pairs.collect()}
     assert len(by_pair) == len(pairs) > 4000
     for (a, b), counts in pairs.items():
-        at = key(f"{a} {b}".strip()).pair[-1:].view(np.int64)[0]
-        assert by_pair[int(at)] == counts
-    by_word = {r.word: [r.ordinary, r.toxic] for r in found_follows.collect()}
-    assert follows["the"] == [1507, 507]
-    for word, counts in follows.items():
-        assert by_word[int(key(word).word.view(np.int64)[0])] == counts
+        assert by_pair[tuple(hashes(a, b))] == counts
+    by_word = {(r.kind, r.word): [r.ordinary, r.toxic] for r in found_words.collect()}
+    assert words[0]["the"] == [1507, 507]
+    assert len(by_word) == sum(map(len, words))
+    for kind, table in zip((toxicity.ALONE, toxicity.CONTEXT, toxicity.FOLLOWED), words):
+        for word, counts in table.items():
+            assert by_word[kind, hashes(word)[0]] == counts
+
+
+def models_of(spark, rows, totals=None):
+    known = spark.createDataFrame(rows, "text string, toxic int")
+    counts = toxicity.Counts(toxicity.keyed_counts(*toxicity.count_tables(known)).toArrow())
+    before = counted(rows)[1][0]
+    sums = [sum(n[c] for n in before.values()) for c in (0, 1)]
+    left = [sum(min(n[c], 3) for n in before.values()) for c in (0, 1)]
+    own = {"sums": sums, "left": left, "all_words": len(before)}
+    return toxicity.ClassModels(counts, totals or own)
+
+
+def plain_probability(rows, toxic, v, w):
+    """Kneser-Ney from the definition, with dictionaries."""
+    pairs, (before, places, after) = counted(rows)
+    small, whole, extra = toxicity.SHARED_DISCOUNT, toxicity.DISCOUNT, toxicity.BACKOFF
+    f, n, taken = (table.get(x, [0, 0]) for table, x in ((before, w), (places, v), (after, v)))
+    base = max(sum(f) - small, 0) + small * len(before) / (len(before) + 1)
+    base /= sum(map(sum, before.values()))
+    mine = [one[toxic] for one in before.values()]
+    lower = max(f[toxic] - whole, 0) + sum(min(one, whole) for one in mine) * base
+    lower /= sum(mine)
+    top = max(pairs.get((v, w), [0, 0])[toxic] - whole, 0) + (taken[toxic] + extra) * lower
+    return top / (n[toxic] + extra)
+
+
+ROWS = [("a b c a b " * 5, 0), ("c c x c c c c c", 1), ("a b c a b", 0), ("a b d", 0), ("x c c c", 1), ("a b c", 1), ("b c", 1), ("d d e", 0)]
+
+
+def test_each_class_is_a_distribution_and_follows_the_definition(spark):
+    models = models_of(spark, ROWS)
+    words = ["a", "b", "c", "d", "e", "x", "unseen"]
+    for v in ["", *words]:
+        sums = np.zeros(2)
+        for w in words:
+            key = np.array(hashes(v, w), np.int64).view(np.uint64)
+            keys = np.array([[toxicity._key(k, key[:1], key[1:])[0]] for k in range(4)])
+            counts = models.frequent.of(keys.ravel())[0].reshape(2, 4, 1).astype(float)
+            found = [p[0] for p in models.probabilities(counts)]
+            assert np.allclose(found, [plain_probability(ROWS, c, v, w) for c in (0, 1)])
+            sums += found
+        assert np.allclose(sums, 1)
+
+
+def test_scores_of_a_text_equal_the_definition(spark):
+    models = models_of(spark, ROWS)
+    texts = ["a b c", "x e unseen c", "", "d"]
+    part = pa.RecordBatch.from_pydict({"text": texts, "own": pa.nulls(4, pa.int32())})
+    for text, found in zip(texts, models.measured(part)[0]):
+        row = ["", *text.split()]
+        ratios = [np.log(plain_probability(ROWS, 1, *p) / plain_probability(ROWS, 0, *p))
+                  for p in zip(row, row[1:])]
+        wanted = [np.mean(ratios) if ratios else 0]
+        for size in toxicity.PASSAGES:
+            sums = [sum(ratios[i : i + size]) / size for i in range(len(ratios))]
+            wanted.append(max(sums, default=0))
+        assert np.allclose(found, wanted, atol=1e-5)
 
 
 def test_toxicity_joins_what_is_not_broadcast(spark, monkeypatch):
@@ -104,18 +172,10 @@ def test_toxicity_joins_what_is_not_broadcast(spark, monkeypatch):
 
 
 def test_a_learned_text_is_measured_without_its_own_counts(spark):
-    rows = [("a b c", 0), ("a b d", 0), ("x c c c", 1), ("a b c", 1), ("b c", 1)]
-    models, whole = [], rows
-    for some in (whole, [r for i, r in enumerate(whole) if i != 3]):
-        known = spark.createDataFrame(some, "text string, toxic int")
-        pairs, follows = (t.toArrow() for t in toxicity.count_tables(known))
-        table = pa.table({
-            "key": pa.concat_arrays([*pairs["pair"].chunks, *follows["word"].chunks]),
-            **{n: pa.concat_arrays([*pairs[n].chunks, *follows[n].chunks])
-               for n in ("ordinary", "toxic")},
-        })
-        models.append(toxicity.ClassModels(toxicity.Counts(table), (9, 9)))
-    part = pa.RecordBatch.from_pydict({"text": ["a b c"], "own": pa.array([1], pa.int32())})
+    rows = [("a b c", 0), ("a b d", 0), ("x c c c", 1), ("a b c a b", 1), ("b c a b" * 2, 1)]
+    totals = {"sums": [9, 9], "left": [4, 4], "all_words": 6}
+    models = [models_of(spark, some, totals) for some in (rows, rows[:3] + rows[4:])]
+    part = pa.RecordBatch.from_pydict({"text": ["a b c a b"], "own": pa.array([1], pa.int32())})
     assert models[0].measured(part)[1] == models[1].measured(part)[0]
 
 
