@@ -12,7 +12,11 @@ documents have says much. Each class's probabilities sum to 1 after every contex
 The difference of the two log-likelihoods is taken per word: over the whole document,
 and over its most toxic passages, as an insult in a long text would vanish in the mean.
 
-The most frequent counts, a bounded number, are sent to all executors, with a bit
+A class's count up to the discount changes no ratio by itself, so only the counts
+above it are looked up, and those of words and contexts that have such a pair: pairs,
+words and contexts without them have the same ratio as if all were at hand.
+
+The most frequent of these, a bounded number, are sent to all executors, with a bit
 table of bounded size that marks the others. Texts are scored in chunks; what a chunk
 needs besides, and is marked, is joined, each key once per chunk, so no key has many
 rows, and brought back to the chunk's texts. A mark that two keys share costs a row
@@ -25,7 +29,7 @@ of the training documents, each scored without its own counts.
 from __future__ import annotations
 
 import zlib
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark.sql import types as T
 from tallyline.llm.arrow_text import GOLDEN, NOT_ALNUM, Words, mix, pieces
 from tallyline.llm.graph import stored
 
-FREQUENT = 1 << 21  # counts (24 bytes each) sent to all executors, at most
+FREQUENT = 1 << 22  # counts (24 bytes each at most) sent to all executors, at most
 COUNT_WORDS = 1 << 20  # words whose pairs are counted together before the shuffle
 DISCOUNT = 3  # taken off every count of a class, or all of a smaller count
 SHARED_DISCOUNT = 0.75  # taken off the counts of both classes together
@@ -144,10 +148,23 @@ def _keyed(batches):
 
 
 def keyed_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """All counts as ``key, ordinary, toxic``."""
+    """The counts that ratios depend on, as ``key, ordinary, toxic``.
+
+    Of pairs, those beyond the discount in a class. Of contexts, those with such a
+    pair: the discount takes all of any other, and its factor is 1. Of words, those with
+    such a pair or that follow more words than the discount in a class: any other has
+    its share of ``B`` in both classes, and ``B`` falls out of the ratio."""
+    much = F.greatest("ordinary", "toxic") > DISCOUNT
+    often = pairs.filter(much)
+    rows = [often.withColumn("kind", F.lit(PAIR))]
     words = words.withColumn("before", F.col("word"))
-    rows = pairs.withColumn("kind", F.lit(PAIR)).unionByName(words)
-    return rows.mapInArrow(_keyed, "key long, ordinary long, toxic long")
+    alone = F.col("kind") == ALONE
+    followers = words.filter(alone).join(often.select("word").distinct(), "word", "left_semi")
+    rows += [words.filter(alone & much), followers.filter(~much)]
+    contexts = often.select(F.col("before").alias("word")).distinct()
+    rows.append(words.filter(~alone).join(contexts, "word", "left_semi"))
+    found = reduce(DataFrame.unionByName, rows)
+    return found.mapInArrow(_keyed, "key long, ordinary long, toxic long")
 
 
 class Counts:
@@ -157,7 +174,9 @@ class Counts:
         keys = table.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.values = np.stack([table.column(n).to_numpy()[order] for n in ("ordinary", "toxic")])
+        values = [table.column(n).to_numpy()[order] for n in ("ordinary", "toxic")]
+        small = np.min_scalar_type(max((int(v.max()) for v in values if len(v)), default=0))
+        self.values = np.stack(values).astype(small)
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The counts (zero if there are none here), and which keys are here."""
@@ -165,7 +184,7 @@ class Counts:
             return np.zeros((2, len(keys)), np.int64), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         here = self.keys[at] == keys
-        return np.where(here, self.values[:, at], 0), here
+        return np.where(here, self.values[:, at], 0).astype(np.int64), here
 
 
 def _bits(batches):
@@ -277,13 +296,15 @@ class ClassModels:
 
 
 def _without_own(keys: np.ndarray, counts: np.ndarray, own: int) -> np.ndarray:
-    """A learned text's counts, by class, kind and place, without what only this
-    text brought in. The totals of the classes stay."""
+    """A learned text's counts, by class, kind and place, without what this text brought
+    in. The totals of the classes stay. A pair that the class has no more often than the
+    discount may not be at hand, and is taken for one of this text alone."""
     counts = counts.copy()
     mine = counts[own]
     _, first, which, times = np.unique(
         keys[PAIR], return_index=True, return_inverse=True, return_counts=True
     )
+    mine[PAIR] = np.maximum(mine[PAIR], times[which])
     only = first[mine[PAIR, first] <= times]  # pairs of no other text of the class
     taken = np.minimum(mine[PAIR, first], DISCOUNT)
     taken -= np.minimum(np.maximum(mine[PAIR, first] - times, 0), DISCOUNT)
@@ -362,7 +383,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[ClassModels, DataFrame |
         "left": [row[f"{n}_left"] for n in names],
         "all_words": row["all"],
     }
-    counts = keyed_counts(pairs, words)
+    counts = stored(keyed_counts(pairs, words), "counts", "zstd")
     level = F.floor(F.log2(F.col("ordinary") + F.col("toxic")) * 8).cast("int")
     levels = counts.groupBy(level.alias("level")).count().collect()  # 8 by power of two
     least, room = 1 << 30, FREQUENT

@@ -103,9 +103,15 @@ def test_toxicity_counts_are_exact(spark, monkeypatch):
             assert by_word[kind, hashes(word)[0]] == counts
 
 
-def models_of(spark, rows, totals=None):
+def models_of(spark, rows, totals=None, every=False):
     known = spark.createDataFrame(rows, "text string, toxic int")
-    counts = toxicity.Counts(toxicity.keyed_counts(*toxicity.count_tables(known)).toArrow())
+    pairs, words = toxicity.count_tables(known)
+    counts = toxicity.keyed_counts(pairs, words)
+    if every:
+        found = words.withColumn("before", F.col("word"))
+        found = found.unionByName(pairs.withColumn("kind", F.lit(toxicity.PAIR)))
+        counts = found.mapInArrow(toxicity._keyed, counts.schema)
+    counts = toxicity.Counts(counts.toArrow())
     before = counted(rows)[1][0]
     sums = [sum(n[c] for n in before.values()) for c in (0, 1)]
     left = [sum(min(n[c], 3) for n in before.values()) for c in (0, 1)]
@@ -131,7 +137,7 @@ ROWS = [("a b c a b " * 5, 0), ("c c x c c c c c", 1), ("a b c a b", 0), ("a b d
 
 
 def test_each_class_is_a_distribution_and_follows_the_definition(spark):
-    models = models_of(spark, ROWS)
+    models = models_of(spark, ROWS, every=True)
     words = ["a", "b", "c", "d", "e", "x", "unseen"]
     for v in ["", *words]:
         sums = np.zeros(2)
@@ -146,18 +152,29 @@ def test_each_class_is_a_distribution_and_follows_the_definition(spark):
 
 
 def test_scores_of_a_text_equal_the_definition(spark):
-    models = models_of(spark, ROWS)
-    texts = ["a b c", "x e unseen c", "", "d"]
-    part = pa.RecordBatch.from_pydict({"text": texts, "own": pa.nulls(4, pa.int32())})
-    for text, found in zip(texts, models.measured(part)[0]):
+    """Also with the counts alone that are looked up."""
+    rng = random.Random(3)
+    letters = "abcdefghijkl"
+    rows = [(" ".join(rng.choices(letters, range(1, 13), k=rng.randint(0, 9))), int(i % 3 == 0))
+            for i in range(60)] + ROWS
+    texts = ["a b c", "x e unseen c", "", "d", *(text for text, _ in rows[:20])]
+    part = pa.RecordBatch.from_pydict({"text": texts, "own": pa.nulls(len(texts), pa.int32())})
+    few, every = models_of(spark, rows), models_of(spark, rows, every=True)
+    assert 0 < len(few.frequent.keys) < len(every.frequent.keys)
+    found = few.measured(part)[0]
+    assert np.allclose(found, every.measured(part)[0], atol=1e-5)
+    memo = {}
+    for text, features in zip(texts, found):
         row = ["", *text.split()]
-        ratios = [np.log(plain_probability(ROWS, 1, *p) / plain_probability(ROWS, 0, *p))
-                  for p in zip(row, row[1:])]
+        for pair in set(zip(row, row[1:])) - memo.keys():
+            one, other = (plain_probability(rows, c, *pair) for c in (1, 0))
+            memo[pair] = np.log(one / other)
+        ratios = [memo[pair] for pair in zip(row, row[1:])]
         wanted = [np.mean(ratios) if ratios else 0]
         for size in toxicity.PASSAGES:
             sums = [sum(ratios[i : i + size]) / size for i in range(len(ratios))]
             wanted.append(max(sums, default=0))
-        assert np.allclose(found, wanted, atol=1e-5)
+        assert np.allclose(features, wanted, atol=1e-5)
 
 
 def test_toxicity_joins_what_is_not_broadcast(spark, monkeypatch):
@@ -172,11 +189,14 @@ def test_toxicity_joins_what_is_not_broadcast(spark, monkeypatch):
 
 
 def test_a_learned_text_is_measured_without_its_own_counts(spark):
-    rows = [("a b c", 0), ("a b d", 0), ("x c c c", 1), ("a b c a b", 1), ("b c a b" * 2, 1)]
+    """Pairs that other texts of the class have stand there more often than the discount."""
+    rows = [("a b d", 0), ("x c c c", 1), ("b q c a " * 5, 1), ("a b c a b", 1), ("z c a b " * 5, 1)]
     totals = {"sums": [9, 9], "left": [4, 4], "all_words": 6}
     models = [models_of(spark, some, totals) for some in (rows, rows[:3] + rows[4:])]
     part = pa.RecordBatch.from_pydict({"text": ["a b c a b"], "own": pa.array([1], pa.int32())})
-    assert models[0].measured(part)[1] == models[1].measured(part)[0]
+    alone = models[0].measured(part)[1]
+    assert np.allclose(alone, models[1].measured(part)[0], atol=1e-5)
+    assert not np.allclose(alone, models[0].measured(part)[0], atol=1e-3)
 
 
 def test_quality(spark):
