@@ -45,7 +45,8 @@ FREQUENT = 1 << 22  # counts (24 bytes each at most) sent to all executors, at m
 COUNT_WORDS = 1 << 20  # words whose pairs are counted together before the shuffle
 DISCOUNT = 3  # taken off every count of a class, or all of a smaller count
 SHARED_DISCOUNT = 0.75  # taken off the counts of both classes together
-BACKOFF = 1000.0  # counts that the lower order adds to every context
+BACKOFF = 1e7  # counts that the lower order adds to every context
+SHARED = 20.0  # counts that both classes together add to a class, per count of it
 LARGEST = 8.0  # log ratio of one word, at most
 MARKS = 27  # bits of a place in the table of marks (16 MB)
 SEGMENTS = 64  # parts in which the marks are gathered
@@ -232,7 +233,7 @@ class ClassModels:
     classes added up), V different words, a discount d below 1 and a whole one D:
 
     ``B(w)       = (cut(f(w), d) + d V / (V + 1)) / F``
-    ``P_c(w)     = (cut(f_c(w), D) + L_c B(w)) / F_c``
+    ``P_c(w)     = (cut(f_c(w), D) + (L_c + SHARED F_c) B(w)) / (F_c + SHARED F_c)``
     ``P_c(w | v) = (cut(n_c(v, w), D) + (L_c(v) + BACKOFF) P_c(w)) / (n_c(v) + BACKOFF)``
 
     Here n counts the places of a pair and of a context, ``cut`` takes the discount off
@@ -265,7 +266,10 @@ class ClassModels:
             base = np.ones(len(both))
         found = []
         for (pair, alone, context, left), total, taken in zip(counts, self.sums, self.left):
-            lower = (np.maximum(alone - DISCOUNT, 0) + taken * base) / total if total else base
+            lower = base
+            if total:
+                shared = (taken + SHARED * total) * base
+                lower = (np.maximum(alone - DISCOUNT, 0) + shared) / (total * (1 + SHARED))
             top = np.maximum(pair - DISCOUNT, 0) + (left + BACKOFF) * lower
             found.append(top / (context + BACKOFF))
         return found
