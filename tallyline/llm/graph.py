@@ -17,19 +17,12 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row["n"], row["h"]
-
-
 def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node that has a link ``(u, v)``; the root is the
     least node of its component.
 
-    Alternates two steps that hand each node's neighbours to its least neighbour
+    Ends when every node has one neighbour, which has no smaller one. Until then it
+    alternates two steps that hand each node's neighbours to its least neighbour
     (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014). A
     node's least neighbour is an aggregate, combined before the shuffle; a node
     with very many neighbours is a skewed join key, which Spark splits."""
@@ -39,21 +32,17 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> D
         .distinct(),
         "links",
     )
-    mark = _mark(edges)
     for _ in range(max_rounds):
-        if not mark[0]:
-            break
         # Larger neighbours of a node go to the least of its neighbours.
         least = edges.groupBy("u").agg(F.min("v").alias("low"))
-        both = edges.select(F.col("v").alias("at"), F.col("u").alias("to"))
-        large = (
-            both.join(least.withColumnRenamed("u", "at"), "at", "left")
-            .select(F.col("to").alias("u"), F.coalesce("low", "at").alias("v"))
-            .distinct()
+        large = edges.join(least.withColumnRenamed("u", "v"), "v", "left").select(
+            "u", F.coalesce("low", "v").alias("v"), F.col("low").isNotNull().alias("moved")
         )
         large = stored(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        if large.filter("moved").isEmpty() and least.filter("low < high").isEmpty():
+            break
         # The node itself and its smaller neighbours go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
         moved = large.join(least, "u").filter(F.col("v") != F.col("low"))
         small = (
             moved.select(F.col("v").alias("u"), F.col("low").alias("v"))
@@ -61,9 +50,6 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> D
             .distinct()
         )
         edges = stored(small, "small")
-        if (now := _mark(edges)) == mark:
-            break
-        mark = now
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -10,11 +10,12 @@ A document's set holds its distinct word shingles. Two documents are linked if
 2. Nodes that share a band are joined to the least node of the band (a star, not
    pairs); the components of the stars are the candidate clusters.
 3. Clusters are cut into blocks of bounded size. All pairs of a block are compared
-   inside one task on their whole sets, and joined by union-find there. A larger
-   cluster then has the best-linked node of some blocks compared with all of it,
-   and at last every node outside its largest component with all of it. A pair is
-   left out only if both ends are in one component already, so no link is lost
-   that would change a component.
+   inside one task on their whole sets, and joined by union-find there. Of a larger
+   cluster, the best-linked nodes of some blocks then visit its other blocks, and at
+   last every node outside its largest component does. A node visits only blocks
+   with a node of linkable size in one of its own bands. A pair is left out only if it
+   shares no band, cannot be linked by size, or is in one component already, so no
+   link is lost that would change a component.
 
 Two documents just at the bound share no band with a probability below one in a
 million; that is the only way to miss a link.
@@ -38,7 +39,8 @@ MISS = 1e-6  # chance that a pair just at the bound shares no band
 BLOCK = 96  # nodes whose pairs one task compares at once
 BLOCK_SHINGLES = 1 << 17  # and the mean sum of their set sizes
 LEADERS = 8  # blocks of a large cluster that name a leader
-BROADCAST_NODES = 200_000  # most nodes (about 60 bytes each) sent to all executors
+SALTS = 16  # tasks that a cluster with a large part of all nodes is dealt over
+BROADCAST_NODES = 200_000  # most nodes (about 80 bytes each) sent to all executors
 _CELLS = 1 << 22  # cells of the incidence matrix at once
 
 
@@ -170,19 +172,25 @@ def _sign(batches, shingle: int, rows: int, bands: int, least: int):
 
 
 def _sets(batches, shingle: int):
-    """The set of each text that belongs to the node it is looked up for."""
+    """The set of each text that belongs to the node it is looked up for, once for
+    each node of a task, with all other columns."""
+    seen = set()
     for batch in batches:
         for part in pieces(batch, "text"):
             flat, of, sizes = shingle_sets(Words(part.column("text"), SPACES), shingle)
             names = set_names(flat, of, part.num_rows)
             wanted = part.column("node").to_pylist()
             ends = np.cumsum(sizes)
-            rows = [i for i, name in enumerate(names) if name == wanted[i]]
+            rows = []
+            for i, name in enumerate(names):
+                if name == wanted[i] and name not in seen:
+                    seen.add(name)
+                    rows.append(i)
             packed = [flat[ends[i] - sizes[i] : ends[i]].tobytes() for i in rows]
-            picked = part.select(["cluster", "node"]).take(pa.array(rows, pa.int64()))
+            picked = part.drop_columns(["text"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*picked.columns, pa.array(packed, pa.binary())],
-                names=["cluster", "node", "shingles"],
+                names=[*picked.schema.names, "shingles"],
             )
 
 
@@ -223,16 +231,19 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def _groups(batches, keys: list[str]) -> Iterator[list[dict]]:
-    """Rows of sorted batches, run by run of equal keys."""
-    run, at = [], None
+def _groups(batches, keys: list[str], row_key: list[str]) -> Iterator[list[dict]]:
+    """Rows of batches sorted by both keys, run by run of equal ``keys``; of rows that
+    are equal in both, the first."""
+    run, at, last = [], None, None
     for batch in batches:
         for row in batch.to_pylist():
             if (now := tuple(row[k] for k in keys)) != at:
                 if run:
                     yield run
-                run, at = [], now
-            run.append(row)
+                run, at, last = [], now, None
+            if (this := tuple(row[k] for k in row_key)) != last:
+                run.append(row)
+                last = this
     if run:
         yield run
 
@@ -240,8 +251,7 @@ def _groups(batches, keys: list[str]) -> Iterator[list[dict]]:
 def _block_links(batches, percent: int):
     """Union-find over all pairs of each block: links to the block's roots, and
     how many links each node has."""
-    for run in _groups(batches, ["cluster", "block"]):
-        rows = list({row["node"]: row for row in run}.values())
+    for rows in _groups(batches, ["cluster", "block"], ["node"]):
         sets = [np.frombuffer(row["shingles"], np.uint64) for row in rows]
         link = linked(sets, sets, percent)
         parent = list(range(len(rows)))
@@ -261,9 +271,9 @@ def _block_links(batches, percent: int):
 
 
 def _cross_links(batches, percent: int):
-    """Links between the visitors of a block and its own nodes; one for each
-    visitor and component of the block is enough."""
-    for run in _groups(batches, ["cluster", "block", "chunk"]):
+    """Links between the visitors of a block and its own nodes, as links of their
+    roots, each once."""
+    for run in _groups(batches, ["cluster", "block", "chunk"], ["visitor", "node"]):
         own = [row for row in run if not row["visitor"]]
         guests = [row for row in run if row["visitor"]]
         if not own or not guests:
@@ -273,11 +283,9 @@ def _cross_links(batches, percent: int):
             [np.frombuffer(row["shingles"], np.uint64) for row in own],
             percent,
         )
-        seen = {}
-        for i, j in np.argwhere(link).tolist():
-            seen.setdefault((guests[i]["node"], own[j]["root"]), own[j]["node"])
+        pairs = {(guests[i]["root"], own[j]["root"]) for i, j in np.argwhere(link).tolist()}
         yield pa.RecordBatch.from_pydict(
-            {"u": [u for u, _ in seen], "v": list(seen.values())}, schema=_LINKS
+            {"u": [u for u, _ in pairs], "v": [v for _, v in pairs]}, schema=_LINKS
         )
 
 
@@ -287,41 +295,81 @@ _BLOCK_LINKS = pa.schema(
 )
 
 
-def _visits(members: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
-    """Compare guests with all blocks of their cluster, in chunks of guests."""
-    spark = members.sparkSession
-    counts = guests.groupBy("cluster").agg(F.count(F.lit(1)).alias("guests"))
-    places = members.join(counts, "cluster").withColumn(
-        "chunks", F.ceil(F.col("guests") / BLOCK).cast("int")
+def _with_cluster(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with what is known of their cluster, if anything. A cluster may hold a
+    large part of all rows, so its facts are copied for ``SALTS`` parts of it."""
+    salt = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int")
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(copies, ["cluster", "salt"], "left").drop("salt")
+
+
+def _band_places(members: DataFrame, bands: DataFrame) -> DataFrame:
+    """For each band the blocks that have nodes of it, and the range of their sizes."""
+    return (
+        members.select("node", "cluster", "block", "n_shingles")
+        .join(bands, "node")
+        .select("cluster", "block", "n_shingles", F.explode("bands").alias("band"))
+        .groupBy("band", "cluster", "block")
+        .agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     )
-    chunk = F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")).cast("int")
-    own = places.select(
-        "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+
+
+def _visits(
+    members: DataFrame, guests: DataFrame, bands: DataFrame, places: DataFrame, percent: int
+) -> DataFrame:
+    """Links of the roots of guests with those of other blocks, in chunks of guests. A
+    guest visits the blocks that have a node of a linkable size in one of its bands."""
+    keys = ["cluster", "block"]
+    asked = (
+        guests.select("node", "n_shingles", F.col("block").alias("home"))
+        .join(bands, "node")
+        .select("node", "n_shingles", "home", F.explode("bands").alias("band"))
+    )
+    calls = (
+        asked.join(places, "band")
+        .filter(F.col("block") != F.col("home"))
+        .filter(F.col("n_shingles") * 100 >= F.col("low") * percent)
+        .filter(F.col("high") * 100 >= F.col("n_shingles") * percent)
+    )
+    calls = stored(calls.select("node", *keys).distinct(), "calls")
+    chunks = calls.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")
+    )
+    own = members.join(chunks, keys).select(
+        *keys, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
         "node", "root", "shingles", F.lit(False).alias("visitor"),
     )
-    sizes = places.select("cluster", "blocks", "chunks").distinct()
-    visiting = guests.select("cluster", "node", "root", "shingles").join(sizes, "cluster").select(
-        "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        chunk.alias("chunk"), "node", "root", "shingles", F.lit(True).alias("visitor"),
-    )
-    keys = ["cluster", "block", "chunk"]
-    dealt = own.unionByName(visiting).repartition(*keys).sortWithinPartitions(*keys)
+    chunk = F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")).cast("int")
+    visiting = (
+        calls.join(chunks, keys)
+        .join(guests.select("node", "root", "shingles"), "node")
+        .select(
+            *keys, chunk.alias("chunk"), "node", "root", "shingles", F.lit(True).alias("visitor")
+        )
+    )
+    keys = [*keys, "chunk"]
+    dealt = own.unionByName(visiting).repartition(*keys)
+    dealt = dealt.sortWithinPartitions(*keys, "visitor", "node")
     links = dealt.mapInArrow(partial(_cross_links, percent=percent), "u binary, v binary")
     return stored(links, "visits")
 
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with the root of their component so far."""
-    found = members.drop("root").join(roots, "node", "left")
-    return found.withColumn("root", F.coalesce("root", "node"))
+def _hooked(links: DataFrame) -> DataFrame:
+    """``(root, label)``: the least root it is linked with, or that one's. Roots with
+    one label are in one component; the reverse need not hold."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    first = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
+    second = first.select(F.col("u").alias("v"), F.col("v").alias("top"))
+    return first.join(second, "v", "left").select(
+        F.col("u").alias("root"), F.coalesce("top", "v").alias("label")
+    )
 
 
-def _joined_clusters(sets: DataFrame, percent: int) -> DataFrame:
-    """``(node, root)`` over candidate clusters: ``cluster, node, block, blocks,
-    shingles`` in, compared block by block."""
-    spark = sets.sparkSession
+def _joined_clusters(sets: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """``(node, root)`` over candidate clusters: ``cluster, node, n_shingles, block,
+    blocks, shingles`` in, compared block by block."""
     keys = ["cluster", "block"]
-    dealt = sets.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = sets.repartition(*keys).sortWithinPartitions(*keys, "node")
     inside = stored(
         dealt.mapInArrow(
             partial(_block_links, percent=percent),
@@ -329,23 +377,30 @@ def _joined_clusters(sets: DataFrame, percent: int) -> DataFrame:
         ),
         "inside",
     )
-    large = sets.filter(F.col("blocks") > 1)
-    links = inside.select("u", "v").filter(F.col("u") != F.col("v"))
-    if large.limit(1).count():
-        large = stored(large.withColumn("root", F.col("node")), "large_clusters")
-        best = F.max_by("u", F.struct("degree", "u")).alias("node")
-        leaders = inside.filter(F.col("block") < LEADERS).groupBy(*keys).agg(best)
-        guests = large.join(leaders.select("node").distinct(), "node", "left_semi")
-        known = _rooted(large, components(spark, links))
-        links = links.unionByName(_visits(known, guests, percent))
-        known = stored(_rooted(large, components(spark, links)), "known")
-        sizes = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("cluster").agg(
-            F.max_by("root", F.struct("n", "root")).alias("largest")
-        )
-        apart = known.join(largest, "cluster").filter(F.col("root") != F.col("largest"))
-        links = links.unionByName(_visits(known, apart.drop("largest"), percent))
-    return components(spark, links)
+    rooted = inside.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    large = sets.filter(F.col("blocks") > 1).drop("blocks")
+    if large.isEmpty():
+        return rooted
+    known = stored(large.join(rooted, "node"), "known")
+    places = stored(_band_places(known.dropDuplicates(["node"]), bands), "places")
+    best = F.max_by("u", F.struct("degree", "u")).alias("node")
+    leaders = inside.filter(F.col("block") < LEADERS).groupBy(*keys).agg(best)
+    guests = known.join(leaders.select("node"), "node", "left_semi")
+    links = _visits(known, guests, bands, places, percent)
+    labelled = known.join(_hooked(links), "root", "left")
+    labelled = labelled.withColumn("label", F.coalesce("label", "root"))
+    sizes = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("cluster").agg(
+        F.max_by("label", F.struct("n", "label")).alias("largest")
+    )
+    apart = _with_cluster(labelled, largest).filter(F.col("label") != F.col("largest"))
+    apart = stored(apart.select(*known.columns), "apart")
+    links = links.unionByName(_visits(known, apart, bands, places, percent))
+    tops = components(sets.sparkSession, links)
+    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return rooted.join(tops, "root", "left").select(
+        "node", F.coalesce("top", "root").alias("root")
+    )
 
 
 def near_duplicates(
@@ -359,7 +414,7 @@ def near_duplicates(
     of its group) and ``kept`` (it is that id).
 
     Null and empty texts, and texts of white space, have an empty set and are
-    linked with nothing. Rows with a null id are never linked, have a null group
+    linked with nothing. A very long text is one set, taken whole. Rows with a null id are never linked, have a null group
     and are kept. Repeated rows share an id, so both are kept or neither is; rows
     with one id and different texts are linked only if their texts are. Only the
     two named columns are read, so clashing names of others do no harm."""
@@ -400,24 +455,25 @@ def near_duplicates(
     )
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))
     # Blocks of a cut cluster are half full on the mean, as hashing is uneven.
-    blocks = F.when(blocks > 1, blocks * 2).otherwise(1).cast("int")
+    large = sizes.select("cluster", (blocks * 2).cast("int").alias("blocks")).filter("blocks > 2")
     members = stored(
-        members.join(sizes, "cluster")
-        .withColumn("blocks", blocks)
+        _with_cluster(members, large)
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .select("cluster", "node", "id", "blocks", "block"),
+        .select("cluster", "node", "id", "n_shingles", "blocks", "block"),
         "members",
     )
-    wanted = members.select("cluster", "node", "id")
-    if members.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
+    wanted = F.broadcast(members) if members.count() <= BROADCAST_NODES else members
+    columns = ["cluster", "node", "n_shingles", "blocks", "block"]
     sets = (
         given.join(wanted, "id")
-        .select("cluster", "node", "text")
-        .mapInArrow(partial(_sets, shingle=shingle), "cluster binary, node binary, shingles binary")
+        .select(*columns, "text")
+        .mapInArrow(
+            partial(_sets, shingle=shingle),
+            "cluster binary, node binary, n_shingles long, blocks int, block int, shingles binary",
+        )
     )
-    sets = sets.join(members.select("node", "blocks", "block"), "node")
-    roots = _joined_clusters(stored(sets, "sets"), percent)
+    roots = _joined_clusters(stored(sets, "sets"), nodes.select("node", "bands"), percent)
     named = nodes.select("node", "id").join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     groups = named.groupBy("root").agg(F.min("id").alias("component_id"))
