@@ -12,8 +12,8 @@ A document's set holds its distinct word shingles. Two documents are linked if
 3. Clusters are cut into blocks of bounded size. All pairs of a block are compared
    inside one task on their whole sets, and joined by union-find there. Of a larger
    cluster, the best-linked nodes of some blocks then visit its other blocks, and at
-   last every node outside its largest component does. A node visits only blocks
-   with a node of linkable size in one of its own bands. A pair is left out only if it
+   last every node outside its largest component does. A node visits the blocks with
+   a node of linkable size in one of its own bands. A pair is left out only if it
    shares no band, cannot be linked by size, or is in one component already, so no
    link is lost that would change a component.
 
@@ -318,19 +318,38 @@ def _visits(
     members: DataFrame, guests: DataFrame, bands: DataFrame, places: DataFrame, percent: int
 ) -> DataFrame:
     """Links of the roots of guests with those of other blocks, in chunks of guests. A
-    guest visits the blocks that have a node of a linkable size in one of its bands."""
+    guest visits at least the blocks that have a node of a linkable size in one of its
+    bands."""
     keys = ["cluster", "block"]
-    asked = (
-        guests.select("node", "n_shingles", F.col("block").alias("home"))
+    fits = (F.col("n_shingles") * 100 >= F.col("low") * percent) & (
+        F.col("high") * 100 >= F.col("n_shingles") * percent
+    )
+    asking = guests.select("node", "cluster", "n_shingles", "blocks", F.col("block").alias("home"))
+    asked = asking.join(bands, "node").select("node", "blocks", F.explode("bands").alias("band"))
+    # A guest whose bands have more places than its cluster has blocks goes to every
+    # block, so that at most one row for each block is made.
+    reach = places.groupBy("band").agg(F.count(F.lit(1)).alias("reach"))
+    wide = asked.join(reach, "band").groupBy("node").agg(
+        (F.sum("reach") >= F.first("blocks")).alias("wide")
+    )
+    asking = stored(asking.join(wide, "node"), "asking")
+    ranges = places.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    everywhere = (
+        asking.filter("wide")
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .join(ranges, keys)
+    )
+    somewhere = (
+        asking.filter(~F.col("wide"))
+        .drop("cluster")
         .join(bands, "node")
-        .select("node", "n_shingles", "home", F.explode("bands").alias("band"))
+        .withColumn("band", F.explode("bands"))
+        .join(places, "band")
     )
-    calls = (
-        asked.join(places, "band")
-        .filter(F.col("block") != F.col("home"))
-        .filter(F.col("n_shingles") * 100 >= F.col("low") * percent)
-        .filter(F.col("high") * 100 >= F.col("n_shingles") * percent)
+    calls = everywhere.select("node", "n_shingles", "home", *keys, "low", "high").unionByName(
+        somewhere.select("node", "n_shingles", "home", *keys, "low", "high")
     )
+    calls = calls.filter(fits & (F.col("block") != F.col("home")))
     calls = stored(calls.select("node", *keys).distinct(), "calls")
     chunks = calls.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")
@@ -378,7 +397,7 @@ def _joined_clusters(sets: DataFrame, bands: DataFrame, percent: int) -> DataFra
         "inside",
     )
     rooted = inside.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    large = sets.filter(F.col("blocks") > 1).drop("blocks")
+    large = sets.filter(F.col("blocks") > 1)
     if large.isEmpty():
         return rooted
     known = stored(large.join(rooted, "node"), "known")

@@ -135,3 +135,13 @@ def test_intersections_in_column_steps(monkeypatch):
     expected = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[4:]] for a in sets[:4]]
     monkeypatch.setattr(minhash, "_CELLS", 100)
     assert minhash.shared_counts(sets[:4], sets[4:]).tolist() == expected
+
+
+def test_many_rows_of_one_set(spark, monkeypatch):
+    """Equal rows with one id, and equal texts of many ids, beside near copies."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    texts = near_copies(8, 24, 60, 4)
+    rows = [(5, texts[0], "en", "s", 1)] * 150
+    rows += [(i + 10, t, "en", "s", 1) for i, t in enumerate(texts)]
+    rows += [(i + 50, texts[1], "en", "s", 1) for i in range(20)]
+    compare(spark, rows, 3, 85)
