@@ -3,12 +3,17 @@
 The index of a block of rows has a posting segment for each dimension and value:
 the rows that have this value there. A segment's impact on a query is the query's
 component times the value, so a row's score is the sum over its segments. Segments
-are added to the rows' accumulators by descending quantised impact. What is left
-can raise no row by more than the sum, over the dimensions, of the largest impact
-not yet added; with the k-th best exact score among the leading rows as a bound,
-rows that cannot reach it are out. When few rows are left, or when only impacts of
-zero and below remain, those rows are scored exactly. A row is dropped on proof
-only, so the result is exact, ties included.
+are added to the rows' accumulators by descending quantised impact: first the level of
+all positive ones above a floor and all negative ones below a multiple of it. Within a
+dimension values are in order, so these are a run of postings at either end. A dimension
+of which a row got no segment raises it by no more than the largest impact left there.
+With the k-th best exact score among some rows as a bound, rows that cannot reach it
+are out. If too many remain, the sums are made again down to a lower floor; else those
+are scored exactly. A row is dropped on proof only, so the result is exact, ties
+included.
+
+The first floor is one at which rows can be out: what all dimensions may still give is
+well below the bound of a sample of rows.
 
 Every block of rows meets every chunk of queries in a task of bounded size; each
 gives k rows per query, which are ranked at the end.
@@ -23,12 +28,14 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.graph import stored
 
-BLOCK_CELLS = 1 << 22  # components of a block's vectors; a block has 1,024 rows at least
-CHUNK_QUERIES = 512
-LEVELS = 12
-CHECKED_LEVELS = 4  # of the last levels, at which the bound is tried
+BLOCK_CELLS = 1 << 21  # components of a block's vectors; a block has 1,024 rows at least
+CHUNK_QUERIES = 1024
 FEW = 256  # rows scored exactly without going on
-_EXACT = 1 << 52  # doubles are exact for whole numbers up to this
+STRIDE = 16  # a sample has every 16th row
+_SHARE = 4  # one of so many rows may be scored exactly, which costs less than a level
+_FALL = 4  # from floor to floor, and from the negative floor to the positive one
+_DIMS = 8  # dimensions whose postings are added at once
+_EXACT = 1 << 51  # doubles are exact for whole numbers up to four times this
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -44,62 +51,100 @@ def quantised(vector: Column, scale: int) -> Column:
 class ImpactIndex:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
+        self.doubles = rows.astype(np.float64)
         n, dims = rows.shape
         # In floating point, as the least long has no counterpart.
-        self.largest = float(np.abs(rows.astype(np.float64)).max()) if rows.size else 0.0
+        self.largest = float(np.abs(self.doubles).max()) if rows.size else 0.0
         order = np.argsort(rows, axis=0, kind="stable").T
         values = np.take_along_axis(rows, order.T, axis=0).T
         fresh = np.ones((dims, n), bool)
         fresh[:, 1:] = values[:, 1:] != values[:, :-1]
-        self.postings = order.ravel()
+        self.postings = order.ravel().astype(np.int32)
+        self.values = values.ravel().astype(np.float64)
         self.start = np.flatnonzero(fresh.ravel())
-        self.end = np.append(self.start[1:], dims * n)
         self.dim = self.start // n if n else self.start
-        self.value = values.ravel()[self.start]
+        self.value = self.values[self.start]
+        self.first = np.searchsorted(self.dim, np.arange(dims))
+        # Used again by every query, as new memory costs as much as the work in it.
+        self._hits = np.empty(_DIMS * n, np.int64)
+        self._gains = np.empty(_DIMS * n)
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (score, then smaller id) of the rows with other ids."""
-        reach = self.largest * np.abs(query.astype(np.float64)).max(initial=0.0) * len(query)
+        weights = query.astype(np.float64)
+        reach = self.largest * np.abs(weights).max(initial=0.0) * len(query)
         if reach >= _EXACT:
             return self._best_of_large(query_id, query, k)
-        impact = query[self.dim] * self.value
-        up = np.flatnonzero(impact > 0)
-        up = up[np.argsort(-impact[up], kind="stable")]
-        impact = impact[up]
-        top = int(impact[0]) if len(up) else 0
-        highest = np.zeros(len(query), np.int64)
-        np.maximum.at(highest, self.dim[up], impact)
-        gained = np.zeros(len(self.ids))
-        others = self.ids != query_id
-        k = min(k, int(others.sum()))
+        own = self.ids == query_id
+        others = len(own) - int(own.sum())
+        k = min(k, others)
         if not k:
             return self.ids[:0], self.ids[:0]
-        done = 0
-        for level in range(LEVELS - 1, -1, -1):
-            floor = top * level // LEVELS  # impacts above this belong to the level
-            stop = int(np.searchsorted(-impact, -floor, "left"))
-            if stop > done:
-                part = up[done:stop]
-                hit = [self.postings[a:b] for a, b in zip(self.start[part], self.end[part])]
-                gained += np.bincount(
-                    np.concatenate(hit),
-                    np.repeat(impact[done:stop], self.end[part] - self.start[part]),
-                    minlength=len(gained),
-                )
-                done = stop
-            if level >= CHECKED_LEVELS:
-                continue
-            rest = np.minimum(highest, floor).sum()
-            leading = np.where(others, gained, -1.0)
-            leading = np.argpartition(-leading, k - 1)[:k]
-            bound = (self.rows[leading] @ query).min()
-            able = np.flatnonzero(others & (gained + rest >= bound))
-            if len(able) <= FEW or not floor:
+        impact = weights[self.dim] * self.value
+        bound = self._bound(slice(None, None, max(1, min(STRIDE, others // FEW))), own, weights, k)
+        floor, able = self._first_floor(impact, bound), np.flatnonzero(~own)
+        while len(able) > max(FEW, len(own) // _SHARE):
+            highest = self._accumulate(weights, impact, floor)
+            highest[own] = -np.inf
+            bound = max(bound, self._bound(self._leading(highest, k), own, weights, k))
+            able = np.flatnonzero((highest >= bound) & ~own)
+            if floor < 1:
                 break
-        scores = self.rows[able] @ query
+            floor /= _FALL
+        scores = self.doubles[able] @ weights
+        high = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        able, scores = able[high], scores[high].astype(np.int64)
         order = np.lexsort((self.ids[able], -scores))[:k]
         return self.ids[able][order], scores[order]
 
+    def _bound(self, some, own: np.ndarray, weights: np.ndarray, k: int) -> float:
+        """The k-th best exact score of some rows; the k-th best of all is no lower."""
+        scores = (self.doubles[some] @ weights)[~own[some]]
+        return np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
+
+    def _first_floor(self, impact: np.ndarray, bound: float) -> float:
+        """The largest impact, halved until rows may be out, or until it is below 1, when
+        only impacts of zero and below are left."""
+        highest = np.maximum.reduceat(impact, self.first)
+        floor = max(float(highest.max()), 0.0)
+        while floor >= 1 and np.minimum(highest, floor).sum() > bound * 3 / 4:
+            floor /= 2
+        return floor
+
+    def _leading(self, highest: np.ndarray, k: int) -> np.ndarray:
+        """About FEW rows with the highest sums, as a sample tells where those begin."""
+        sample = highest[::STRIDE]
+        n = min(len(sample), max(k, FEW) // STRIDE + 1)
+        return np.flatnonzero(highest >= np.partition(sample, -n)[-n])[: 4 * max(k, FEW)]
+
+    def _accumulate(self, weights: np.ndarray, impact: np.ndarray, floor: float) -> np.ndarray:
+        """The highest score that each row can have, by the segments of impacts beyond the
+        floors: their sum, and for the other dimensions the largest impact left there."""
+        n, dims = self.rows.shape
+        left = (impact <= floor) & (impact >= -_FALL * floor)
+        many = np.add.reduceat(left, self.first, dtype=np.int64)
+        largest = np.maximum.reduceat(np.where(left, impact, -np.inf), self.first)
+        largest = np.where(many > 0, largest, 0.0)
+        # Values rise within a dimension, so what is left is one run of segments.
+        below = np.where(weights[self.dim] > 0, impact < -_FALL * floor, impact > floor)
+        begin = self.first + np.add.reduceat(below, self.first, dtype=np.int64)
+        edges = np.append(self.start, dims * n)
+        low, high = edges[begin].tolist(), edges[begin + many].tolist()
+        highest = np.full(n, largest.sum())
+        for first in range(0, dims, _DIMS):
+            runs, at = [], 0
+            for d in range(first, min(first + _DIMS, dims)):
+                for a, b in ((d * n, low[d]), (high[d], d * n + n)):
+                    if a < b:
+                        runs.append(self.postings[a:b])
+                        gains = self._gains[at : at + b - a]
+                        np.multiply(self.values[a:b], weights[d], out=gains)
+                        gains -= largest[d]
+                        at += b - a
+            if runs:
+                hits = np.concatenate(runs, out=self._hits[:at])
+                highest += np.bincount(hits, self._gains[:at], minlength=n)
+        return highest
 
     def _best_of_large(self, query_id: int, query: np.ndarray, k: int):
         """The same where sums may leave the whole numbers that doubles hold: all rows

@@ -79,3 +79,66 @@ def test_every_row_of_an_id_is_a_candidate(spark):
     assert got[0] == [(40, 9), (5, 3), (5, 3), (5, 2), (6, 2), (40, 1)]
     # Asked with its least vector, against all rows of other ids.
     assert got[40] == [(5, 3), (5, 3), (5, 2), (6, 2), (0, 1)]
+
+
+def _index_best(ids, rows, query_id, query, k):
+    scores = rows.astype(object) @ query.astype(object)
+    order = sorted((-s, i) for s, i in zip(scores, ids.tolist()) if i != query_id)[:k]
+    return [(i, -s) for s, i in order]
+
+
+@pytest.mark.parametrize("kind", ["normal", "positive", "negative", "few values", "copies", "zeros"])
+def test_index_equals_brute_force(kind):
+    rng = np.random.default_rng(7)
+    for n, dims, k in [(1, 1, 20), (19, 3, 20), (300, 9, 20), (700, 17, 400), (5000, 24, 20)]:
+        rows = np.floor(rng.normal(size=(n, dims)) * 9).astype(np.int64)
+        if kind == "positive":
+            rows = np.abs(rows)
+        elif kind == "negative":
+            rows[1:] = -np.abs(rows[1:])
+        elif kind == "few values":
+            rows = np.sign(rows)
+        elif kind == "copies":
+            rows[n // 3 :] = rows[n // 3]
+        elif kind == "zeros":
+            rows[:, ::2] = 0
+            rows[: n // 2] = 0
+        ids = rng.permutation(n)
+        ids[-(n // 10) :] = ids[0]  # some rows share an id
+        index = top_k.ImpactIndex(ids, rows)
+        for at in (0, n // 2, n - 1):
+            for query in (rows[at], np.abs(rows[at]), -rows[at], rows[at] * 1000):
+                found, scores = index.best(ids[at], query, k)
+                expected = _index_best(ids, rows, ids[at], query, k)
+                assert list(zip(found.tolist(), scores.tolist())) == expected
+
+
+def test_index_up_to_the_limit_of_doubles():
+    rng = np.random.default_rng(8)
+    rows = rng.integers(-(1 << 23), 1 << 23, size=(3000, 4))
+    index = top_k.ImpactIndex(np.arange(3000), rows)
+    query = rng.integers(-(1 << 25), 1 << 25, size=4)
+    assert index.largest * np.abs(query).max() * 4 < top_k._EXACT
+    found, scores = index.best(5, query, 20)
+    assert list(zip(found.tolist(), scores.tolist())) == _index_best(
+        index.ids, rows, 5, query, 20
+    )
+
+
+def test_a_query_orders_few_rows(monkeypatch):
+    """On vectors without clusters; ordering the rows once per level took most of the time."""
+    ordered = []
+    for name in ("argpartition", "partition", "argsort", "lexsort"):
+
+        def counted(values, *args, plain=getattr(np, name), **named):
+            ordered.append(np.shape(values)[-1])
+            return plain(values, *args, **named)
+
+        monkeypatch.setattr(np, name, counted)
+    rng = np.random.default_rng(9)
+    rows = np.floor(rng.normal(size=(20000, 64)) * 8).astype(np.int64)
+    index = top_k.ImpactIndex(np.arange(20000), rows)
+    ordered.clear()
+    for at in range(10):
+        index.best(at, rows[at], 20)
+    assert sum(ordered) < 10 * 20000 / 2
